@@ -53,18 +53,23 @@ def count_table_close(c: Column) -> Column:
     return _occurrences(F.lower(c), "</table>")
 
 
-def reject_reason(raw: Column, cleaned: Column, image: Column) -> Column:
+def has_table(c: Column) -> Column:
+    """Does the text hold '<table' in any case? Null counts as no."""
+    return F.coalesce(F.contains(F.lower(c), F.lit("<table")), F.lit(False))
+
+
+def reject_reason(raw: Column, cleaned: Column, image: Column, lowered: Column | None = None) -> Column:
     """Code of the first validation rule a sample breaks, null when it is valid.
 
     The raw-length rule only needs the stripped raw text when the cleaned text, which is part
-    of it, is itself below the limit.
+    of it, is itself below the limit. `lowered` is lower(cleaned) where that is at hand.
     """
-    opened, closed = count_table_open(cleaned), count_table_close(cleaned)
+    lowered = F.lower(cleaned) if lowered is None else lowered
     size = F.length(cleaned)
     return (
         F.when(raw.isNull() | ((size < MIN_RAW) & (F.length(strip(raw)) < MIN_RAW)), "too_short_raw")
-        .when(opened == 0, "no_table")
-        .when(opened != closed, "unbalanced")
+        .when(~F.contains(lowered, F.lit("<table")), "no_table")
+        .when(_occurrences(lowered, "<table") != _occurrences(lowered, "</table>"), "unbalanced")
         .when(~size.between(MIN_CLEAN, MAX_CLEAN), "length_out_of_range")
         .when(image.isNull(), "no_image")
     )

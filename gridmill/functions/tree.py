@@ -1,7 +1,7 @@
 """Per-pair helpers of the scoring job: read one table, compare two.
 
-A node is a tuple (tag, colspan, rowspan, text, children). Only td nodes carry text: the cell's
-characters, with each tag inside the cell as one token.
+A node is a tuple (tag, colspan, rowspan, text, children). Only td nodes carry text: a string, or
+a tuple of characters and tags when there are tags inside the cell (each tag is one token).
 """
 
 import re
@@ -22,9 +22,10 @@ _SPAN = re.compile(r"""\b(colspan|rowspan)\s*=\s*["']?\s*([^\s"'>]*)""", re.I)
 
 def _close(path, *tags):
     """Drop open elements down to and including the innermost one of these tags, if any."""
-    at = max((i for i, n in enumerate(path) if n[0] in tags), default=None)
-    if at is not None:
-        del path[at:]
+    for at in range(len(path) - 1, -1, -1):
+        if path[at][0] in tags:
+            del path[at:]
+            return
 
 
 def read_table(html: str):
@@ -36,20 +37,22 @@ def read_table(html: str):
     root, path, nested = None, [], 0
     for closing, tag, attrs, text in _TOKEN.findall(html):
         cell = path[-1] if path and path[-1][0] in CELLS else None
-        tag = tag.lower()
         if text:
             if cell:
-                cell[3].extend(unescape(text) if "&" in text else text)
-        elif not tag or (root and not path):
+                cell[3].append(unescape(text) if "&" in text else text)
+            continue
+        tag = tag.lower()
+        if not tag or (root and not path):
             continue
         elif cell and (nested or tag not in GRID and not (closing and tag == "table")):
             nested += (tag == "table") * (-1 if closing else 1)
-            cell[3].append(f"<{closing}{tag}>")
+            cell[3].append((f"<{closing}{tag}>",))
         elif closing:
             _close(path, tag)
         elif path or tag == "table":
-            _close(path, *CLOSES.get(tag, ()))
-            spans = {k.lower(): int(v) for k, v in _SPAN.findall(attrs)} if tag in CELLS else {}
+            if tag in CLOSES:
+                _close(path, *CLOSES[tag])
+            spans = {k.lower(): int(v) for k, v in _SPAN.findall(attrs)} if attrs and tag in CELLS else {}
             node = [tag, spans.get("colspan", 1), spans.get("rowspan", 1), [], []]
             if path:
                 path[-1][4].append(node)
@@ -57,26 +60,34 @@ def read_table(html: str):
                 root = node
             if tag not in VOID:
                 path.append(node)
-    freeze = lambda n: (n[0], n[1], n[2], tuple(n[3]) if n[0] == "td" else (), tuple(map(freeze, n[4])))
-    return freeze(root) if root else None
+    return _frozen(root) if root else None
+
+
+def _frozen(node):
+    tag, colspan, rowspan, parts, children = node
+    if tag != "td":
+        return tag, colspan, rowspan, "", tuple(map(_frozen, children))
+    tagged = any(type(p) is tuple for p in parts)
+    return tag, colspan, rowspan, tuple(t for p in parts for t in p) if tagged else "".join(parts), ()
 
 
 def without_text(node):
-    return (*node[:3], (), tuple(map(without_text, node[4])))
+    return (*node[:3], "", tuple(map(without_text, node[4])))
 
 
 def size(node) -> int:
     return 1 + sum(map(size, node[4]))
 
 
-def preorder(node, parent=-1, depth=0, start=0):
+def preorder(root):
     """(node_id, parent, depth, node) in document order."""
-    yield start, parent, depth, node
-    at = start + 1
-    for child in node[4]:
-        for row in preorder(child, start, depth + 1, at):
-            yield row
-            at += 1
+    rows, todo = [], [(root, -1, 0)]
+    while todo:
+        node, parent, depth = todo.pop()
+        at = len(rows)
+        rows.append((at, parent, depth, node))
+        todo.extend((child, at, depth + 1) for child in reversed(node[4]))
+    return rows
 
 
 def _running_min(values, step, group):
@@ -117,12 +128,12 @@ def _postorder(forest):
         first.append(start)
         depth.append(level)
 
-    walk(("", 1, 1, (), tuple(forest)), 0)
+    walk(("", 1, 1, "", tuple(forest)), 0)
     return nodes, np.array(first), np.array(depth)
 
 
 def _substitution(left, right):
-    """Cost of turning each left node into each right node."""
+    """Cost of turning each left node into each right node: 1, or the text distance of like cells."""
     kinds, texts = {}, ({}, {})
     kind = [np.array([kinds.setdefault(n[:3], len(kinds)) for n in side]) for side in (left, right)]
     cost = (kind[0][:, None] != kind[1][None, :]).astype(float)
@@ -196,6 +207,8 @@ def tree_distance(a, b) -> float:
         break
     if not left or not right:
         return float(sum(map(size, left)) + sum(map(size, right)))
+    if len(left) == len(right) == 1 and not left[0][4] and not right[0][4]:
+        return float(_substitution(left, right)[0, 0])
     return forest_distance(left, right)
 
 

@@ -20,8 +20,9 @@ def with_cleaned(df: DataFrame) -> DataFrame:
 
 def with_reject_reason(df: DataFrame) -> DataFrame:
     """Add `cleaned` and `reason` (null = valid)."""
-    reason = H.reject_reason(F.col("html_table"), F.col("cleaned"), F.col("image"))
-    return once(with_cleaned(df), "reason", reason)
+    lowered = once(with_cleaned(df), "_lowered", F.lower("cleaned"))
+    reason = H.reject_reason(F.col("html_table"), F.col("cleaned"), F.col("image"), F.col("_lowered"))
+    return once(lowered, "reason", reason).drop("_lowered")
 
 
 def filter_and_clean(df: DataFrame) -> DataFrame:

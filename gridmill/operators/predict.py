@@ -1,8 +1,8 @@
 """Batch prediction with a user-supplied model, and the jobs built on it.
 
 A predictor is given as a factory without arguments: it is called once per Python worker task
-and returns a function (prompts, images) -> texts. When a batch fails, its rows are retried one
-by one so that only the failing rows carry an error.
+and returns a function (prompts, images) -> texts. A text may be an exception: the error of that row
+alone. When a whole batch raises, its rows are retried one by one.
 """
 
 from collections.abc import Callable, Iterator
@@ -19,27 +19,30 @@ from gridmill.sources.work import keep as materialize
 Predictor = Callable[[list[str], list[bytes]], list[str]]
 
 
-def _one(predict: Predictor, prompt: str, image: bytes) -> tuple:
+def _answers(predict: Predictor, prompts: list, images: list) -> list:
+    """One text or exception per row; a batch that fails as a whole is retried row by row."""
     try:
-        return predict([prompt], [image])[0], None
-    except Exception as e:  # the row is reported, the job goes on
-        return None, str(e)
+        texts = predict(prompts, images)
+        if len(texts) == len(prompts):
+            return list(texts)
+        texts = ValueError("predictor returned another number of texts")
+    except Exception as e:  # rows are reported, the job goes on
+        texts = e
+    if len(prompts) == 1:
+        return [texts]
+    return [a for p, i in zip(prompts, images) for a in _answers(predict, [p], [i])]
 
 
 def _runner(factory: Callable[[], Predictor], batch: int, keep: list[str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = factory()
         for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start:start + batch]
-                prompts, images = part["prompt"].tolist(), part["image"].tolist()
-                try:
-                    results = [(text, None) for text in predict(prompts, images)]
-                    if len(results) != len(part):
-                        raise ValueError("predictor returned another number of texts")
-                except Exception:
-                    results = [_one(predict, p, i) for p, i in zip(prompts, images)]
-                yield part[keep].assign(text=[t for t, _ in results], error=[e for _, e in results])
+            prompts, images = frame["prompt"].tolist(), frame["image"].tolist()
+            found = [a for at in range(0, len(frame), batch)
+                     for a in _answers(predict, prompts[at:at + batch], images[at:at + batch])]
+            failed = [isinstance(a, Exception) for a in found]
+            yield frame[keep].assign(text=[None if bad else a for a, bad in zip(found, failed)],
+                                     error=[str(a) if bad else None for a, bad in zip(found, failed)])
     return run
 
 

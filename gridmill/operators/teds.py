@@ -1,39 +1,56 @@
 """Scoring of predicted tables by tree-edit-distance similarity, as a Spark job.
 
 Most of the work is avoided or placed before any tree is read: blank sides and equal texts are
-settled by Column expressions, equal pairs are scored once, and the pairs left are dealt over
-many tasks. Only the comparison of one pair runs in Python.
+settled by Column expressions, the pairs left are dealt over many tasks, and a task scores equal
+pairs once. Only the comparison of one pair runs in Python.
 """
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gridmill import schema as S
 from gridmill.functions import html as H, tree
 from gridmill.operators import curate as C
-from gridmill.operators.pairing import content_key, pair_predictions
-from gridmill.operators.skew import HOT_ROWS, counted_hot_keys, salted_join
-from gridmill.sources.work import keep as materialize
+from gridmill.operators.pairing import pair_predictions
+from gridmill.operators.skew import HOT_ROWS
+
+NODE_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+SEEN = 200_000  # pairs remembered per task
 
 CLEANERS = {"full": H.clean_html, "strip": H.strip, "none": lambda c: c}
 
 
-@F.pandas_udf(T.ArrayType(S.NODE))
-def _nodes(html: pd.Series) -> pd.Series:
-    def rows(text):
-        root = tree.read_table(text) if text is not None else None
-        return [] if root is None else [
-            (i, parent, depth, n[0], n[1], n[2], "".join(n[3]) if n[0] == "td" else None)
-            for i, parent, depth, n in tree.preorder(root)]
-    return html.map(rows, na_action=None)
+def _shredder(html: str, keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, columns = [], [[] for _ in S.NODE]
+            for at, text in enumerate(batch.column(html).to_pylist()):
+                root = tree.read_table(text) if text is not None else None
+                for i, parent, depth, n in tree.preorder(root) if root else ():
+                    rows.append(at)
+                    cell = "".join(n[3]) if n[0] == "td" else None
+                    for column, value in zip(columns, (i, parent, depth, *n[:3], cell)):
+                        column.append(value)
+            repeated = batch.select(keep).take(pa.array(rows, pa.int64()))
+            nodes = [pa.array(c, t) for c, t in zip(columns, NODE_TYPES)]
+            yield pa.RecordBatch.from_arrays([*repeated.columns, *nodes], [*keep, *S.NODE.names])
+    return run
+
 
+def shred_table(df: DataFrame, html: str = "html_table", tasks: int | None = None) -> DataFrame:
+    """One row per table element, in document order: id, parent, depth, tag, spans, cell text.
 
-def shred_table(df: DataFrame, html: str = "html_table") -> DataFrame:
-    """One row per table element, in document order: id, parent, depth, tag, spans, cell text."""
+    Parsing is heavy next to reading; `tasks` deals the rows out first when the input has fewer
+    splits than the cluster has cores.
+    """
     keep = [c for c in df.columns if c != html]
-    return df.select(*keep, F.explode(_nodes(F.col(html))).alias("n")).select(*keep, "n.*")
+    rows = df.select(*keep, html)
+    rows = rows if tasks is None else rows.repartition(tasks, *keep)
+    return rows.mapInArrow(_shredder(html, keep), T.StructType([*df.select(*keep).schema, *S.NODE]))
 
 
 def _score(truth: str, pred: str, cap: int | None) -> tuple:
@@ -50,16 +67,28 @@ def _score(truth: str, pred: str, cap: int | None) -> tuple:
 
 
 def _scorer(cap: int | None):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            scores = [_score(t, p, cap) for t, p in zip(f["truth"], f["pred"])]
-            yield f[["pair", "n"]].join(pd.DataFrame(
-                scores, columns=["teds_structure", "teds_full", "score_error"], index=f.index))
+    @F.pandas_udf("teds_structure double, teds_full double, score_error string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        seen = {}  # copies of a pair are scored once per task; digests and three values each
+
+        def score(truth, pred):
+            if truth is None:
+                return None, None, None
+            key = hashlib.blake2b(f"{len(truth)}:{truth}{pred}".encode(), digest_size=16).digest()
+            if key not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen[key] = _score(truth, pred, cap)
+            return seen[key]
+
+        for truths, preds in batches:
+            yield pd.DataFrame([score(t, p) for t, p in zip(truths, preds)],
+                               columns=["teds_structure", "teds_full", "score_error"])
     return run
 
 
 def score_pairs(df: DataFrame, truth: str, pred: str, clean: str = "full", failure: Column | None = None,
-                node_cap: int | None = None, tasks: int | None = None, min_hot: int = HOT_ROWS) -> DataFrame:
+                node_cap: int | None = None, tasks: int | None = None) -> DataFrame:
     """Add teds_structure, teds_full and score_error; the two html columns are dropped.
 
     `clean` is what both sides go through first: full, strip or none. A side that is null, blank
@@ -74,32 +103,26 @@ def score_pairs(df: DataFrame, truth: str, pred: str, clean: str = "full", failu
     both = both.select(*keep, "_failure", "_c.truth", "_c.pred")
 
     result = lambda score, error: F.struct(score.cast("double").alias("score"), error.cast("string").alias("error"))
-    absent = lambda c: F.coalesce(H.count_table_open(F.col(c)) == 0, F.lit(True))
+    absent = lambda c: ~H.has_table(F.col(c))
     none = F.lit(None)
     known = F.when(F.col("_failure").isNotNull(), result(none, F.col("_failure"))).when(
         absent("truth") | absent("pred"), result(F.lit(0.0), none))
     if node_cap is None:
         known = known.when(F.col("truth") == F.col("pred"), result(F.lit(1.0), none))
-    # settled rows get a key of their own, so that the join below has no common null key
-    own = F.concat(F.lit("settled:"), F.hex(F.xxhash64(*keep)))
     cases = C.once(both, "known", known)
-    cases = C.once(cases, "pair", F.when(F.col("known").isNull(), content_key(F.col("truth"), F.col("pred")))
-                   .otherwise(own))
 
-    distinct = cases.where(F.col("known").isNull()).groupBy("pair").agg(
-        F.first("truth").alias("truth"), F.first("pred").alias("pred"), F.count(F.lit(1)).alias("n"))
-    # dealt anew by a fixed number: the time of a pair grows with the product of its sizes, and
-    # coalescing by bytes would put many expensive pairs into one task
+    # Rows are dealt anew by a fixed number of tasks: the time of a pair grows with the product of
+    # its sizes, so coalescing by bytes would put many expensive pairs together. A hash of the
+    # row, not of the pair, spreads copies of one pair. Settled rows travel without their html.
+    is_open = F.col("known").isNull()
     tasks = tasks or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scored = materialize(distinct.repartition(tasks, "pair").mapInPandas(
-        _scorer(node_cap), "pair string, n long, teds_structure double, teds_full double, score_error string"))
-    back = salted_join(scored.drop("n"), cases.select("pair", "known", *keep), "pair",
-                       counted_hot_keys(scored.select("pair", "n"), "pair", min_hot), spread=keep, how="right")
-    settled = F.col("known").isNotNull()
-    pick = lambda done, found: F.when(settled, F.col(done)).otherwise(F.col(found))
-    return back.select(*keep, pick("known.score", "teds_structure").alias("teds_structure"),
-                       pick("known.score", "teds_full").alias("teds_full"),
-                       pick("known.error", "score_error").alias("score_error"))
+    dealt = cases.select(*keep, "known", F.when(is_open, F.col("truth")).alias("truth"),
+                         F.when(is_open, F.col("pred")).alias("pred")).repartition(tasks, *keep)
+    scored = C.once(dealt, "_s", _scorer(node_cap)(F.col("truth"), F.col("pred")))
+    pick = lambda done, found: F.when(is_open, F.col(found)).otherwise(F.col(done))
+    return scored.select(*keep, pick("known.score", "_s.teds_structure").alias("teds_structure"),
+                         pick("known.score", "_s.teds_full").alias("teds_full"),
+                         pick("known.error", "_s.score_error").alias("score_error"))
 
 
 def eval_table(truth: DataFrame, preds: DataFrame, clean: str = "full", min_hot: int = HOT_ROWS) -> DataFrame:
@@ -109,7 +132,7 @@ def eval_table(truth: DataFrame, preds: DataFrame, clean: str = "full", min_hot:
     failure = F.when(F.col("pred_html").isNull() | F.col("error").isNotNull(),
                      F.coalesce(F.col("error"), F.lit("no prediction")))
     scored = score_pairs(pairs.withColumn("_f", failure).drop("error"), "truth_html", "pred_html", clean,
-                         F.col("_f"), min_hot=min_hot)
+                         F.col("_f"))
     return scored.drop("_f").withColumnRenamed("score_error", "error")
 
 

@@ -294,7 +294,7 @@ on_samples("map_rows", lambda df: P.map_rows(
 
 # --- scoring ------------------------------------------------------------------------------------
 
-on_samples("shred_table", lambda df: E.shred_table(df.select("sample_id", "html_table")))
+on_samples("shred_table", lambda df: E.shred_table(df.select("sample_id", "html_table"), tasks=32))
 
 
 def _scored(spark, folder):

@@ -385,7 +385,7 @@ ORACLE: dict[str, str] = {
     "dedup_predict": _sql(_SAMPLES, f"""
         SELECT sample_id, 'pre' AS stage, CASE WHEN NOT {_FAILS} THEN {_ANSWER} END AS pred_html, {_ERROR} AS error FROM samples"""),
     "tokenize": _sql(_SAMPLES, """
-        SELECT sample_id, len(w) AS n_tokens, list_sum(list_transform(w, lambda x: length(x))) AS sum_ids,
+        SELECT sample_id, len(w) AS n_tokens, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS sum_ids,
                CASE WHEN w IS NULL THEN 'Encoding failed: no text' END AS error
         FROM (SELECT sample_id, string_split(html_table, ' ') AS w FROM samples)"""),
     "map_rows": _sql(_SAMPLES, "SELECT sample_id, coalesce(length(html_table), -1) AS n_chars FROM samples"),
@@ -413,3 +413,21 @@ ORACLE: dict[str, str] = {
 }
 ORACLE["stream_throughput"] = ORACLE["log_throughput"]
 ORACLE["stream_eval_avg"] = ORACLE["eval_by_stage"]
+
+# column types as the engine gives them, where SQL's own choice is wider or narrower
+_TYPES = {
+    "INTEGER": {
+        "load_all_splits": "html_length", "char_length": "html_length", "topk_longest": "html_length",
+        "export_samples": "rank html_length", "topk_ranked": "rank html_length", "export_predictions": "rank",
+        "ocr_job": "row_index html_table_length", "ocr_summary": "row_index html_table_length",
+        "export_ocr_pairs": "row_index", "truncate_tokens": "attention", "clamp_counts": "n_clamped n_preserved",
+        "filter_token_length": "n_tokens", "tokenize": "n_tokens", "shred_table": "node_id parent",
+    },
+    "BIGINT": {
+        "audit_clamped": "n_bad", "training_step_plan": "batch accum devices epochs", "progress_marks": "valid",
+    },
+}
+for _type, _columns in _TYPES.items():
+    for _name, _list in _columns.items():
+        _casts = ", ".join(f"CAST({c} AS {_type}) AS {c}" for c in _list.split())
+        ORACLE[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE[_name]})"
