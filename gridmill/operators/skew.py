@@ -39,7 +39,7 @@ def salted_join(one: DataFrame, many: DataFrame, key: str, hot: list[tuple], spr
     """
     if not hot:
         return one.join(many, key, how)
-    schema = many.select(key).schema.add("_salts", "int")
+    schema = many.select(key).schema.add("_salts", "integer")
     salts = F.broadcast(one.sparkSession.createDataFrame([(k, int(s)) for k, s in hot], schema))
     spread = spread or [c for c in many.columns if c != key]
     dealt = many.join(salts, key, "left").withColumn(
