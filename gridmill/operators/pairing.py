@@ -6,9 +6,9 @@ from gridmill.functions import html as H
 from gridmill.operators.skew import HOT_ROWS, hot_keys, salted_join
 
 
-def pair_predictions(truth: DataFrame, preds: DataFrame, min_hot: int = HOT_ROWS) -> DataFrame:
+def pair_predictions(truth: DataFrame, preds: DataFrame, min_hot: int = HOT_ROWS, tasks: int | None = None) -> DataFrame:
     """Every truth row with its predictions; a missing prediction leaves nulls."""
-    return salted_join(truth, preds, "sample_id", hot_keys(preds, "sample_id", min_hot), how="left")
+    return salted_join(truth, preds, "sample_id", hot_keys(preds, "sample_id", min_hot), how="left", tasks=tasks)
 
 
 def compare_stages(preds: DataFrame, before: str, after: str, value: str = "pred_html") -> DataFrame:

@@ -33,8 +33,9 @@ def throughput(log: DataFrame, batch: int, accum: int, every: int = LOG_EVERY, b
     w = R.inside(["run_id"], "step")
     rows = R.with_carry(
         R.with_block(logged, "step", block).withColumn("_prev", F.lag(last).over(w)), ["run_id"],
-        [F.max_by(last, "step").alias("_last")],
-        lambda before, whole: [F.lag("_last").over(before).alias("_carry")])
+        [F.max("step").alias("_step"), F.max_by("_us", "step").alias("_last")],
+        lambda before, whole: [
+            F.lag(F.struct(F.col("_step").alias("step"), F.col("_last").alias("us"))).over(before).alias("_carry")])
     prev = F.coalesce(F.col("_prev"), F.col("_carry"))
     per_second = rate(F.col("step"), F.col("_us"), prev["step"], prev["us"], batch * accum)
     return rows.select("run_id", "step", per_second.alias("samples_per_sec"))

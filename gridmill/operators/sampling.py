@@ -1,10 +1,13 @@
 """Exact, seeded sampling and splitting without sorting the table in one place.
 
 Rows are ordered by md5(seed:id), ties by id. Counting rows per hash prefix gives 65,536
-numbers whatever the table size; their running sum tells which prefix holds the k-th row. Rows
-in other prefixes are decided from their own hash, so only 1/65536 of the table is ever ranked
-and no wide row is shuffled otherwise. Ids are unique (they are row positions), which is what
-makes the prefixes even.
+numbers whatever the table size; their running sum tells which prefix holds the k-th row, and
+ranking that prefix alone (1/65536 of the ids) gives the k-th row itself. Everything else is a
+comparison of a row's own hash with that cut point, so no row of the table is shuffled. Ids are
+unique (they are row positions), which is what makes the prefixes even.
+
+The table is read three times: to count, to rank one prefix, to label. Store an expensive table
+before splitting it.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -33,34 +36,31 @@ def _offsets(df: DataFrame, seed: int) -> DataFrame:
 
 
 def _cut(df: DataFrame, seed: int, k: Column) -> Column:
-    """Scalar struct (bucket, need): the prefix holding the k-th row, and how many of it count."""
-    cut = _offsets(df, seed).withColumn("_k", F.least(k.cast("bigint"), F.col("_total")))
-    reached = cut.where(F.col("_before") + F.col("_n") >= F.col("_k"))
-    edge = F.struct(F.col("_bucket").alias("bucket"), (F.col("_k") - F.col("_before")).alias("need"))
-    return reached.agg(F.min_by(edge, "_bucket").alias("cut")).scalar()
-
-
-def _partitioned(df: DataFrame, seed: int, k: Column) -> DataFrame:
-    """df with `_first`: is the row among the first k of the seeded order?"""
-    cut = _cut(df, seed, k)
-    keyed = _keyed(df, seed)
-    decided = keyed.where(F.col("_bucket") != cut["bucket"]).withColumn("_first", F.col("_bucket") < cut["bucket"])
+    """Scalar struct (key, id) of the k-th row in seeded order, the last row if there are fewer."""
+    rows = _offsets(df, seed).withColumn("_k", F.least(k.cast("bigint"), F.col("_total")))
+    found = rows.where((F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_n") >= F.col("_k")))
+    bucket = F.broadcast(found.select("_bucket", (F.col("_k") - F.col("_before")).alias("_need")))  # one row
     rank = F.row_number().over(W.partitionBy("_bucket").orderBy("_key", "sample_id"))
-    edge = (keyed.where(F.col("_bucket") == cut["bucket"]).withColumn("_rank", rank)
-            .withColumn("_first", F.col("_rank") <= cut["need"]).drop("_rank"))
-    return decided.unionByName(edge).drop("_key", "_bucket")
+    edge = _keyed(df.select("sample_id"), seed).join(bucket, "_bucket").withColumn("_rank", rank)
+    kth = edge.where(F.col("_rank") == F.col("_need"))
+    return kth.agg(F.max(F.struct("_key", "sample_id"))).scalar()
+
+
+def _is_first(df: DataFrame, seed: int, k: Column) -> Column:
+    """Is the row among the first k of the seeded order?"""
+    own = F.struct(O.hash_key(F.col("sample_id"), seed).alias("_key"), F.col("sample_id"))
+    return F.coalesce(own <= _cut(df, seed, k), F.lit(False))
 
 
 def split_exact(df: DataFrame, num: int, den: int, seed: int) -> DataFrame:
     """Relabel `split`: exactly n*num div den rows are train, the others validation."""
     k = O.div(F.col("_total") * num, den)
-    label = F.when(F.col("_first"), "train").otherwise("validation")
-    return _partitioned(df.drop("split"), seed, k).withColumn("split", label).drop("_first")
+    return df.withColumn("split", F.when(_is_first(df, seed, k), "train").otherwise("validation"))
 
 
 def sample_n(df: DataFrame, n: int, seed: int) -> DataFrame:
     """Exactly min(n, rows) rows, the same ones for the same seed."""
-    return _partitioned(df, seed, F.lit(n)).where("_first").drop("_first")
+    return df.where(_is_first(df, seed, F.lit(n)))
 
 
 def seeded_index(df: DataFrame, seed: int) -> DataFrame:

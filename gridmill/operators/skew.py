@@ -30,15 +30,17 @@ def counted_hot_keys(counts: DataFrame, key: str, min_rows: int = HOT_ROWS) -> l
 
 
 def salted_join(one: DataFrame, many: DataFrame, key: str, hot: list[tuple], spread: list[str] | None = None,
-                how: str = "inner") -> DataFrame:
+                how: str = "inner", tasks: int | None = None) -> DataFrame:
     """Join a table with unique keys to one whose keys repeat without bound.
 
     Rows of a hot key are dealt over its salts by a hash of `spread` (default: all other columns)
     and the matching unique row is repeated once per salt; other keys are joined as they are.
-    `how` is inner, left (keep every row of `one`) or right (keep every row of `many`).
+    `how` is inner, left (keep every row of `one`) or right (keep every row of `many`). With
+    `tasks`, the join has that many partitions, which adaptive execution does not merge.
     """
+    deal = lambda df, *keys: df if tasks is None else df.repartition(tasks, *keys)
     if not hot:
-        return one.join(many, key, how)
+        return deal(one, key).join(deal(many, key), key, how)
     schema = many.select(key).schema.add("_salts", "integer")
     salts = F.broadcast(one.sparkSession.createDataFrame([(k, int(s)) for k, s in hot], schema))
     spread = spread or [c for c in many.columns if c != key]
@@ -47,7 +49,7 @@ def salted_join(one: DataFrame, many: DataFrame, key: str, hot: list[tuple], spr
     ).drop("_salts").withColumn("_hit", F.lit(True))
     copies = one.join(salts, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-    joined = copies.join(dealt, [key, "_salt"], how)
+    joined = deal(copies, key, "_salt").join(deal(dealt, key, "_salt"), [key, "_salt"], how)
     if how == "left":  # a hot key has rows by definition: a copy that met none is not a miss
         joined = joined.where(F.col("_hit").isNotNull() | F.col("_salts").isNull())
     return joined.drop("_salt", "_salts", "_hit")

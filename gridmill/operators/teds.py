@@ -1,8 +1,8 @@
 """Scoring of predicted tables by tree-edit-distance similarity, as a Spark job.
 
 Most of the work is avoided or placed before any tree is read: blank sides and equal texts are
-settled by Column expressions, the pairs left are dealt over many tasks, and a task scores equal
-pairs once. Only the comparison of one pair runs in Python.
+settled by Column expressions, the pairs left are spread over tasks by row, and a task scores
+equal pairs once. Only the comparison of one pair runs in Python.
 """
 
 import hashlib
@@ -93,7 +93,9 @@ def score_pairs(df: DataFrame, truth: str, pred: str, clean: str = "full", failu
 
     `clean` is what both sides go through first: full, strip or none. A side that is null, blank
     or has no table scores 0. Rows with a `failure` text get it as their error and no score. With
-    `node_cap`, larger tables get an error instead of a score.
+    `node_cap`, larger tables get an error instead of a score. `tasks` deals the rows out by a hash
+    of the row, not of the pair, which spreads copies of one pair; without it they are scored
+    where they are.
     """
     clean_of = CLEANERS[clean]
     keep = [c for c in df.columns if c not in (truth, pred)]
@@ -111,13 +113,11 @@ def score_pairs(df: DataFrame, truth: str, pred: str, clean: str = "full", failu
         known = known.when(F.col("truth") == F.col("pred"), result(F.lit(1.0), none))
     cases = C.once(both, "known", known)
 
-    # Rows are dealt anew by a fixed number of tasks: the time of a pair grows with the product of
-    # its sizes, so coalescing by bytes would put many expensive pairs together. A hash of the
-    # row, not of the pair, spreads copies of one pair. Settled rows travel without their html.
+    # settled rows do not send their html to Python
     is_open = F.col("known").isNull()
-    tasks = tasks or 8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cases.select(*keep, "known", F.when(is_open, F.col("truth")).alias("truth"),
-                         F.when(is_open, F.col("pred")).alias("pred")).repartition(tasks, *keep)
+    sent = cases.select(*keep, "known", F.when(is_open, F.col("truth")).alias("truth"),
+                        F.when(is_open, F.col("pred")).alias("pred"))
+    dealt = sent if tasks is None else sent.repartition(tasks, *keep)
     scored = C.once(dealt, "_s", _scorer(node_cap)(F.col("truth"), F.col("pred")))
     pick = lambda done, found: F.when(is_open, F.col(found)).otherwise(F.col(done))
     return scored.select(*keep, pick("known.score", "_s.teds_structure").alias("teds_structure"),
@@ -125,14 +125,19 @@ def score_pairs(df: DataFrame, truth: str, pred: str, clean: str = "full", failu
                          pick("known.error", "_s.score_error").alias("score_error"))
 
 
-def eval_table(truth: DataFrame, preds: DataFrame, clean: str = "full", min_hot: int = HOT_ROWS) -> DataFrame:
-    """Every truth row with its predictions' scores; no prediction or a failed one has none."""
+def eval_table(truth: DataFrame, preds: DataFrame, clean: str = "full", min_hot: int = HOT_ROWS,
+               tasks: int | None = None) -> DataFrame:
+    """Every truth row with its predictions' scores; no prediction or a failed one has none.
+
+    Pairs are scored in the tasks of the join. Their number is fixed: the time of a pair grows
+    with the product of its sizes, so merging small partitions by bytes would lose cores.
+    """
+    tasks = tasks or int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pair_predictions(truth.select("sample_id", F.col("html_table").alias("truth_html")),
-                             preds.select("sample_id", "stage", "pred_html", "error"), min_hot)
+                             preds.select("sample_id", "stage", "pred_html", "error"), min_hot, tasks)
     failure = F.when(F.col("pred_html").isNull() | F.col("error").isNotNull(),
                      F.coalesce(F.col("error"), F.lit("no prediction")))
-    scored = score_pairs(pairs.withColumn("_f", failure).drop("error"), "truth_html", "pred_html", clean,
-                         F.col("_f"))
+    scored = score_pairs(pairs.withColumn("_f", failure).drop("error"), "truth_html", "pred_html", clean, F.col("_f"))
     return scored.drop("_f").withColumnRenamed("score_error", "error")
 
 

@@ -48,12 +48,19 @@ def test_topk_is_not_a_sort_and_reads_no_images(spark, tmp_path):
     assert "BroadcastHashJoin" in plan(flows.holdout(samples, 20))
 
 
-def test_split_ranks_one_bucket_only(spark, tmp_path):
+def test_split_shuffles_no_row(spark, tmp_path):
     samples = IO.read_samples(spark, stored(spark, tmp_path))
-    text = plan(P.split_exact(samples, 85, 100, 1))
-    assert "SinglePartition" not in re.sub(r"(?s)===== Subqueries =====.*", "", text)
-    main = text.split("===== Subqueries =====")[0]
-    assert main.count("\n(") and len(re.findall(r"\) Window", main)) == 1
+    main = plan(P.split_exact(samples, 85, 100, 1)).split("===== Subqueries =====")[0]
+    assert "Exchange" not in main and "Window" not in main
+    assert "Exchange" not in plan(P.sample_n(samples, 10, 1)).split("===== Subqueries =====")[0]
+
+
+def test_pairs_are_scored_in_the_tasks_of_the_join(spark):
+    from gridmill.operators import teds as E
+    truth = spark.range(5).select(F.col("id").alias("sample_id"), F.lit("a").alias("html_table"))
+    preds = spark.range(5).select(F.col("id").alias("sample_id"), *[F.lit("a").alias(c) for c in ("stage", "pred_html", "error")])
+    text = plan(E.eval_table(truth, preds))
+    assert text.count("ArrowEvalPython") >= 1 and len(re.findall(r"\n\(\d+\) Exchange", text)) == 2
 
 
 def test_log_windows_are_cut_into_blocks(spark):
