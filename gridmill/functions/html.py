@@ -14,14 +14,39 @@ MAX_CLEAN = 50_000
 TRUNCATE_TIERS = [(8, 8000), (4, 6000), (0, 4000)]
 
 # Both patterns are anchored, so the matcher looks at the edge of the text only. The closing
-# wrappers are matched on the reversed text; searching for `...\z` would try every position.
+# wrappers are matched on reversed text; searching for `...\z` would try every position.
 _OPENING = rf"(?iU)^{WS}*(?:```(?:html)?{WS}*)?(?:<html>{WS}*)?(?:<body>{WS}*)?"
 _CLOSING = rf"(?iU)^{WS}*(?:```{WS}*)?(?:>lmth/<{WS}*)?(?:>ydob/<{WS}*)?"
 _EDGE_WS = rf"(?U)^{WS}+"
 
+_TAIL = 96     # bytes looked at from the end
+_MARGIN = 16   # bytes that must be left of them: a closing wrapper and a split character fit in
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times in `body`."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _cut_end(c: Column, pattern: str) -> Column:
+    """Remove a match of the reversed pattern from the end.
+
+    Reversing a text, and counting its characters, costs a pass over it. So the match is made on
+    the last bytes and cut off by its length in bytes. When it comes so close to the start of the
+    tail that it might go on before it, the whole text is reversed.
+    """
+    raw = c.cast("binary")
+    tail = F.when(F.octet_length(c) <= _TAIL, c).otherwise(
+        F.substring(raw, F.octet_length(c) - _TAIL + 1, F.lit(_TAIL)).cast("string"))
+    found = F.octet_length(F.regexp_extract(F.reverse(tail), pattern, 0))
+    settled = lambda n: (F.octet_length(c) <= _TAIL) | (n <= _TAIL - _MARGIN)
+    return _let(found, lambda n: F.when(n == 0, c).when(
+        settled(n), F.substring(raw, F.lit(1), F.octet_length(c) - n).cast("string")).otherwise(
+        F.reverse(F.regexp_replace(F.reverse(c), pattern, ""))))
+
 
 def _cut_edges(c: Column, left: str, right: str) -> Column:
-    return F.reverse(F.regexp_replace(F.reverse(F.regexp_replace(c, left, "")), right, ""))
+    return _let(F.regexp_replace(c, left, ""), lambda rest: _cut_end(rest, right))
 
 
 def strip(c: Column) -> Column:

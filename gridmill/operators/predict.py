@@ -50,11 +50,11 @@ def run_predictor(df: DataFrame, keep: list[str], factory: Callable[[], Predicto
                   tasks: int | None = None) -> DataFrame:
     """Columns `keep` plus (text, error) for every row with a prompt and an image.
 
-    The rows are dealt over tasks first: prediction time has nothing to do with input bytes, so
-    file splits and coalesced shuffle partitions are no measure of it.
+    With `tasks` the rows are dealt over that many tasks first, which a source with few splits or
+    a shuffle merged by bytes calls for: prediction time has nothing to do with input bytes.
     """
-    tasks = tasks or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(*keep, "prompt", "image").repartition(tasks, keep[0])
+    rows = df.select(*keep, "prompt", "image")
+    rows = rows if tasks is None else rows.repartition(tasks, keep[0])
     schema = df.select(*keep).schema.add("text", "string").add("error", "string")
     return rows.mapInPandas(_runner(factory, batch, keep), schema)
 
@@ -68,20 +68,20 @@ def _finished(raw: DataFrame, stage: str, on_error: str, clean: str) -> DataFram
 
 
 def batch_predict(df: DataFrame, factory: Callable[[], Predictor], stage: str = "pre", prompt: Column | None = None,
-                  on_error: str = "report", clean: str = "full", batch: int = 8) -> DataFrame:
+                  on_error: str = "report", clean: str = "full", batch: int = 8, tasks: int | None = None) -> DataFrame:
     """(sample_id, stage, pred_html, error); a failing row gives null, '' or 'Error: ...'.
 
     The answers are checkpointed: a model call is too dear, and seldom repeatable enough, to be
     run again by every branch that reads them.
     """
     rows = df.select("sample_id", "image", (F.lit("") if prompt is None else prompt).alias("prompt"))
-    raw = materialize(run_predictor(rows, ["sample_id"], factory, batch))
+    raw = materialize(run_predictor(rows, ["sample_id"], factory, batch, tasks))
     return _finished(raw, stage, on_error, clean).select("sample_id", "stage", "pred_html", "error")
 
 
 def dedup_predict(df: DataFrame, factory: Callable[[], Predictor], stage: str = "pre", prompt: Column | None = None,
                   on_error: str = "report", clean: str = "full", batch: int = 8,
-                  min_hot: int = HOT_ROWS) -> DataFrame:
+                  min_hot: int = HOT_ROWS, tasks: int | None = None) -> DataFrame:
     """`batch_predict`, generating once per distinct (prompt, image).
 
     Duplicates collapse map-side before the shuffle, and the answers go back by a join that
@@ -91,7 +91,8 @@ def dedup_predict(df: DataFrame, factory: Callable[[], Predictor], stage: str =
     keyed = rows.withColumn("_key", content_key(F.col("prompt"), F.col("image")))
     distinct = keyed.groupBy("_key").agg(
         F.first("prompt").alias("prompt"), F.first("image").alias("image"), F.count(F.lit(1)).alias("n"))
-    raw = materialize(run_predictor(distinct, ["_key", "n"], factory, batch))
+    tasks = tasks or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    raw = materialize(run_predictor(distinct, ["_key", "n"], factory, batch, tasks))
     answers = _finished(raw, stage, on_error, clean)
     back = salted_join(answers.drop("n"), keyed.select("_key", "sample_id"), "_key",
                        counted_hot_keys(raw.select("_key", "n"), "_key", min_hot))
@@ -129,7 +130,7 @@ def ocr_job(df: DataFrame, factory: Callable[[], Predictor], k: int = 20, prompt
     """(row_index, html_table_length, ground_truth_html, ocr_result) of the k longest tables."""
     chosen = T.topk_longest(C.not_null_html(df), k)
     chosen = chosen.withColumn("prompt", F.lit("") if prompt is None else prompt)
-    raw = run_predictor(chosen, ["sample_id", "rank", "html_length", "html_table"], factory, batch=1)
+    raw = run_predictor(chosen, ["sample_id", "rank", "html_length", "html_table"], factory, batch=1, tasks=k)
     return _finished(raw, "ocr", on_error="prefix", clean="none").select(
         (F.col("rank") - 1).alias("row_index"), F.col("html_length").alias("html_table_length"),
         F.col("html_table").alias("ground_truth_html"), F.col("pred_html").alias("ocr_result"))

@@ -36,6 +36,11 @@ def test_clean_is_the_stepwise_rule(spark):
               "<!DOCTYPE html>"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(4000)]
     texts += ["", None, " ```html\n<html><body>" + TABLE + "</body></html>\n``` ", "``````", "```" * 3]
+    gap = lambda n: " " * n
+    for n in (40, *range(60, 100), 200):  # around the tail window
+        texts += [TABLE * 3 + "</body>" + gap(n) + "</html>\n```", TABLE * 3 + gap(n), TABLE * 3 + "</body></html>" + gap(n),
+                  gap(n) + TABLE + gap(n) + "</body>" + gap(n) + "</html>" + gap(n) + "```", gap(n), "x</html>" + gap(n) + "```",
+                  "é" * 60 + "</body>" + gap(n // 2) + "</html>" + gap(n // 3) + "```", "\U0001f600" * n + "</html>"]
     got = apply(spark, H.clean_html, texts)
     wrong = [(t, g, slow_clean(t)) for t, g in zip(texts, got) if g != slow_clean(t)]
     assert not wrong, wrong[:3]
