@@ -58,8 +58,7 @@ def filter_encodable(df: DataFrame, limit: int) -> DataFrame:
 def with_range_error(df: DataFrame, vocab: int) -> DataFrame:
     """Replace `error` by the encoding error or else the token-range error."""
     found = F.coalesce(F.col("error"), K.token_range_error(F.col("input_ids"), F.col("labels"), vocab))
-    return once(df.withColumnRenamed("error", "_error").withColumn("error", F.col("_error")).drop("_error"),
-                "found", found).drop("error").withColumnRenamed("found", "error")
+    return once(df, "_found", found).withColumn("error", F.col("_found")).drop("_found")
 
 
 def with_status(df: DataFrame, limit: int, vocab: int) -> DataFrame:

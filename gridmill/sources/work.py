@@ -28,3 +28,10 @@ def keep(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(work_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several passes will read, and read it back column by column."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
