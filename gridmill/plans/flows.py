@@ -5,13 +5,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 
 from gridmill.operators import curate as C, predict as P, ranking as T, sampling as S, teds as E
-from gridmill.sources.work import stage
+from gridmill.sources import work
 
 
 def curate_and_split(samples: DataFrame, num: int = 85, den: int = 100, seed: int = 3407) -> DataFrame:
     """Clean, validate and split exactly. The curated table is stored: counting and finding the cut
     point then read its ids only, instead of cleaning everything again."""
-    return S.split_exact(stage(C.filter_and_clean(samples), "curated"), num, den, seed)
+    return S.split_exact(work.stage(C.filter_and_clean(samples), "curated"), num, den, seed)
 
 
 def holdout(samples: DataFrame, k: int = 20) -> DataFrame:
@@ -28,6 +28,6 @@ def evaluate(samples: DataFrame, factory: Callable, stage: str, n: int | None =
              prompt: Column | None = None, policy: str = "zero") -> DataFrame:
     """Predict the first n valid samples (all of them by default), score them, average."""
     truth = C.filter_and_clean(samples)
-    truth = stage(truth if n is None else S.first_n(truth, n), "truth")
+    truth = work.stage(truth if n is None else S.first_n(truth, n), "truth")
     preds = P.dedup_predict(truth, factory, stage, prompt)
     return E.eval_by_stage(truth, preds, policy)
