@@ -28,8 +28,12 @@ def _close(path, *tags):
             return
 
 
-def read_table(html: str):
-    """Tree of the first table, None when the text has none. Bad spans raise ValueError.
+def lenient_span(text: str) -> int | None:
+    return int(text) if text.isdecimal() else None
+
+
+def parse(html: str, span=int):
+    """First table of a text as nested lists, None when the text has none. `span` reads a span.
 
     Rows and cells left open are closed by the next one, as browsers do. Inside a cell, any tag
     that is not part of the grid belongs to the cell's text, nested tables as a whole.
@@ -52,7 +56,7 @@ def read_table(html: str):
         elif path or tag == "table":
             if tag in CLOSES:
                 _close(path, *CLOSES[tag])
-            spans = {k.lower(): int(v) for k, v in _SPAN.findall(attrs)} if attrs and tag in CELLS else {}
+            spans = {k.lower(): span(v) for k, v in _SPAN.findall(attrs)} if attrs and tag in CELLS else {}
             node = [tag, spans.get("colspan", 1), spans.get("rowspan", 1), [], []]
             if path:
                 path[-1][4].append(node)
@@ -60,6 +64,12 @@ def read_table(html: str):
                 root = node
             if tag not in VOID:
                 path.append(node)
+    return root
+
+
+def read_table(html: str):
+    """Tree of the first table, None when the text has none. Bad spans raise ValueError."""
+    root = parse(html)
     return _frozen(root) if root else None
 
 

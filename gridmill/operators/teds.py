@@ -29,10 +29,10 @@ def _shredder(html: str, keep: list[str]):
         for batch in batches:
             rows, columns = [], [[] for _ in S.NODE]
             for at, text in enumerate(batch.column(html).to_pylist()):
-                root = tree.read_table(text) if text is not None else None
+                root = tree.parse(text, tree.lenient_span) if text is not None else None
                 for i, parent, depth, n in tree.preorder(root) if root else ():
                     rows.append(at)
-                    cell = "".join(n[3]) if n[0] == "td" else None
+                    cell = "".join(map("".join, n[3])) if n[0] == "td" else None
                     for column, value in zip(columns, (i, parent, depth, *n[:3], cell)):
                         column.append(value)
             repeated = batch.select(keep).take(pa.array(rows, pa.int64()))
@@ -44,6 +44,7 @@ def _shredder(html: str, keep: list[str]):
 def shred_table(df: DataFrame, html: str = "html_table", tasks: int | None = None) -> DataFrame:
     """One row per table element, in document order: id, parent, depth, tag, spans, cell text.
 
+    A span that is no number is null (scoring such a table is an error instead).
     Parsing is heavy next to reading; `tasks` deals the rows out first when the input has fewer
     splits than the cluster has cores.
     """

@@ -55,3 +55,13 @@ def test_shred(spark, tasks):
     assert [(r.sample_id, r.node_id, r.parent, r.depth, r.tag, r.text) for r in rows] == [
         (1, 0, -1, 0, "table", None), (1, 1, 0, 1, "tr", None), (1, 2, 1, 2, "td", "a"), (1, 3, 1, 2, "td", "b")]
     assert E.shred_table(df.select(F.col("sample_id"), "html_table")).columns == ["sample_id", *S.NODE.names]
+
+
+def test_shred_reads_what_scoring_refuses(spark):
+    deep = "<table>" + "<div>" * 3000 + "<tr><td colspan='x' rowspan='2'>a<b>c</b></td></tr></table>"
+    df = spark.createDataFrame([(1, deep)], "sample_id long, html_table string")
+    rows = E.shred_table(df).orderBy(F.desc("node_id")).collect()
+    assert len(rows) == 3003
+    assert (rows[0].tag, rows[0].colspan, rows[0].rowspan, rows[0].text) == ("td", None, 2, "a<b>c</b>")
+    out = E.score_pairs(pairs(spark, [(deep, A), (A.replace(">a", " colspan='2'>a"), deep.replace("'x'", "'1'"))]), "t", "p").collect()
+    assert all(r.score_error.startswith("parse_failed") and r.teds_full is None for r in out)
