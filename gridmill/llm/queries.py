@@ -1,19 +1,48 @@
 """The registered queries of the numbered operators."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmill.llm import quality_rules
+from gridmill.llm import bpe, quality_rules, token_counts, token_files
+from gridmill.sources.work import fresh_path
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, folder: str, limit: int = 2048) -> DataFrame:
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    counted = token_counts.with_prefix_counts(docs, WORD_BPE).select(
+        "doc_id", "n_bytes", token_counts.n_tokens("prefix_tokens").alias("n_tokens"),
+        token_counts.words_within("prefix_tokens", limit).alias("words_within_limit"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def op3_token_files(spark: SparkSession, folder: str, end_id: int = 2) -> DataFrame:
+    out = fresh_path(spark, "token_files")
+    token_files.write_token_table(table(spark, folder, "documents"), out, BYTE_BPE, end_id)
+    read = token_files.read_token_table(spark, out)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, WORD_BPE, decoded="decoded")
+    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
     counts = [F.col("stats")[c].alias(c) for c in quality_rules.COUNTS]
     return judged.select("doc_id", *counts, quality_rules.base_failed().alias("base_failed"), "kept")
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_files, op8_bpe, op10_quality_rules)}
 ORACLE = {}
