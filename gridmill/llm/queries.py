@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmill.llm import bpe, quality_rules, token_counts, token_files
+from gridmill.llm import bpe, quality_rules, simhash, token_counts, token_files
 from gridmill.sources.work import fresh_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -14,6 +14,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, folder: str, limit: int = 2048) -> DataFrame:
     docs = table(spark, folder, "documents").select(
         "doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
@@ -44,5 +48,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *counts, quality_rules.base_failed().alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_token_files, op8_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_token_files, op8_bpe, op10_quality_rules)}
 ORACLE = {}
