@@ -1,24 +1,51 @@
-"""The corpus pipeline: stages that each apply one operator to what the stage before kept."""
+"""The corpus pipeline: stages that each apply one operator to what the stage before kept.
+
+Every stage but the last returns the columns of documents; repeated runs give the same rows.
+"""
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridmill.llm import quality_rules
-from gridmill.llm.queries import table
+from gridmill.llm import bpe, decontaminate, quality_rules, secrets, simhash
+from gridmill.llm.queries import WORD_BPE, coded_digests, table
 from gridmill.sources.work import stage
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the learned rules keep."""
+    """Documents that the base rule and the learned rules keep; null and empty texts have too few words."""
     return quality_rules.judge(docs, table(spark, folder, "labels")).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", drop_low_quality)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates."""
+    return simhash.deduplicate(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    found = decontaminate.with_hits(docs, table(spark, folder, "benchmark"))
+    return found.where("NOT hits.contaminated").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents, with the secrets in their texts replaced and n_chars counted anew."""
+    masked = secrets.redacted(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All documents with their token ids (binary, unsigned 32-bit) and the digests of ids and decoded text."""
+    coded = bpe.encode(docs, WORD_BPE, decoded="decoded")
+    return coded.select(*docs.columns, "ids", *coded_digests())
+
+
+STAGES = [("quality rules", drop_low_quality), ("near duplicates", drop_near_duplicates),
+          ("decontamination", drop_contaminated), ("secrets", redact_secrets), ("encoding", encode)]
 
 ORACLE_SQL = None  # the stages learn, hash and encode beyond what SQL expresses; tests use brute force
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over the whole documents table, each written and read again."""
+    """All stages over the whole documents table, each written as Parquet and read again."""
     docs = table(spark, folder, "documents")
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, folder), name.replace(" ", "_"))

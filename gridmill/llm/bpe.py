@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-REMEMBERED = 400_000  # words and fragments kept per Python worker
+REMEMBERED = 250_000  # words and fragments kept per Python worker
 FAR = 1 << 40         # rank of a pair that no merge joins
 
 # The characters of the Unicode property White_Space, which no piece of a word reaches across.
@@ -151,8 +151,8 @@ class Vocabulary:
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers."""
-        self.forget()
         for some in groups(texts):
+            self.forget()
             words = [WORDS.findall(t) if t else [] for t in some]
             self.learn([w for w in set().union(*words) if w not in self.words])
             for w in words:
@@ -163,7 +163,7 @@ class Vocabulary:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def groups(texts: list[str | None], letters: int = 4_000_000) -> Iterator[list[str | None]]:
+def groups(texts: list[str | None], letters: int = 2_000_000) -> Iterator[list[str | None]]:
     """Runs of texts of about so many letters; a longer text is a run of its own."""
     run, size = [], 0
     for t in texts:

@@ -1,9 +1,9 @@
 """The registered queries of the numbered operators."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridmill.llm import bpe, quality_rules, simhash, token_counts, token_files
+from gridmill.llm import bpe, decontaminate, oracle, quality_rules, secrets, simhash, token_counts, token_files, url_filter
 from gridmill.sources.work import fresh_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -34,12 +34,40 @@ def op3_token_files(spark: SparkSession, folder: str, end_id: int = 2) -> DataFr
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+# The rules of the contract.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+             ("block", "net/fr/")]
+
+
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.with_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(r.kind) for r in secrets.BASE_RULES],
+                        F.sha2(secrets.digest(base), 256).alias("base_sha256"),
+                        secrets.digest(F.col("secrets")).alias("spans"))
+
+
+def coded_digests() -> list[Column]:
+    return [F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+            F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, WORD_BPE, decoded="decoded")
-    return coded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
-                        F.sha2("ids", 256).alias("ids_sha256"),
-                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.encode(docs, WORD_BPE, decoded="decoded").select("doc_id", *coded_digests())
+
+
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.with_hits(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"), "hits.contaminated")
 
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,5 +76,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *counts, quality_rules.base_failed().alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_counts, op3_token_files, op8_bpe, op10_quality_rules)}
-ORACLE = {}
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_token_counts, op3_token_files, op4_url_filter, op5_secrets, op8_bpe, op9_decontaminate,
+    op10_quality_rules)}
+ORACLE = oracle.ORACLE

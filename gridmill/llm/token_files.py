@@ -155,9 +155,9 @@ class Encoder:
             self.chunks.update(zip(run, [data[i:j] for i, j in zip(at, at[1:])]))
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
         for some in groups(texts):
+            if len(self.chunks) > REMEMBERED:
+                self.chunks.clear()
             cut = []
             for t in some:
                 if not t:
