@@ -3,7 +3,8 @@
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridmill.llm import bpe, decontaminate, oracle, quality_rules, secrets, simhash, token_counts, token_files, url_filter
+from gridmill.llm import (bpe, decontaminate, language_model, oracle, quality_rank, quality_rules, secrets, simhash, token_counts,
+                          token_files, url_filter)
 from gridmill.sources.work import fresh_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +54,23 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
                         secrets.digest(F.col("secrets")).alias("spans"))
 
 
+def _in_fold(fold: int, of: int) -> Column:
+    """Whether a document is held out, by the crc32 of its doc_id as text."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % of == fold, F.lit(False)).alias("held_out")
+
+
+def op6_quality_rank(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", _in_fold(0, 5), "text")
+    labels = table(spark, folder, "labels").where(~_in_fold(0, 5)).select("doc_id", "quality")
+    scored = quality_rank.with_score(docs, quality_rank.learn(docs, labels))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality_rank.CUT).cast("int").alias("predicted"))
+
+
+def op7_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", _in_fold(2, 7), "text")
+    return language_model.score(docs, "held_out").withColumnRenamed("key", "doc_id")
+
+
 def coded_digests() -> list[Column]:
     return [F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
             F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
@@ -77,6 +95,6 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash, op2_token_counts, op3_token_files, op4_url_filter, op5_secrets, op8_bpe, op9_decontaminate,
-    op10_quality_rules)}
+    op1_simhash, op2_token_counts, op3_token_files, op4_url_filter, op5_secrets, op6_quality_rank, op7_language_model,
+    op8_bpe, op9_decontaminate, op10_quality_rules)}
 ORACLE = oracle.ORACLE
