@@ -10,9 +10,15 @@ from gridmill.llm.queries import WORD_BPE, coded_digests, table
 from gridmill.sources.work import stage
 
 
+def carried(docs: DataFrame, *needed: str) -> DataFrame:
+    """Whole rows as one column beside what a stage works on, so that no other column's name can clash."""
+    return docs.select(F.struct("*").alias("_row"), *needed)
+
+
 def drop_low_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the base rule and the learned rules keep; null and empty texts have too few words."""
-    return quality_rules.judge(docs, table(spark, folder, "labels")).where("kept").select(*docs.columns)
+    judged = quality_rules.judge(carried(docs, "doc_id", "text"), table(spark, folder, "labels"))
+    return judged.where("kept").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -22,8 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    found = decontaminate.with_hits(docs, table(spark, folder, "benchmark"))
-    return found.where("NOT hits.contaminated").select(*docs.columns)
+    found = decontaminate.with_hits(carried(docs, "text"), table(spark, folder, "benchmark"))
+    return found.where("NOT hits.contaminated").select("_row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -33,9 +39,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents with their token ids (binary, unsigned 32-bit) and the digests of ids and decoded text."""
-    coded = bpe.encode(docs, WORD_BPE, decoded="decoded")
-    return coded.select(*docs.columns, "ids", *coded_digests())
+    """All documents with their token ids (binary, unsigned 32-bit) and the digests of ids and decoded text.
+
+    Older columns of these names are replaced.
+    """
+    coded = bpe.encode(carried(docs, "text"), WORD_BPE, decoded="decoded")
+    added = ["ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    return coded.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], "ids", *coded_digests())
 
 
 STAGES = [("quality rules", drop_low_quality), ("near duplicates", drop_near_duplicates),

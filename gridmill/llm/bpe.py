@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-REMEMBERED = 250_000  # words and fragments kept per Python worker
+REMEMBERED = 160_000  # words kept per Python worker, and as many again that were used before
 FAR = 1 << 40         # rank of a pair that no merge joins
 
 # The characters of the Unicode property White_Space, which no piece of a word reaches across.
@@ -32,6 +32,31 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(other)) for b in range(256)]
 
 
+class Memo(dict):
+    """Results by key; when it is full, those that were not asked for since the last time are forgotten."""
+
+    def __init__(self):
+        super().__init__()
+        self.before = {}
+
+    def missing(self, keys) -> list:
+        """The keys without a result; a result from before is taken over."""
+        out = []
+        for key in keys:
+            if key not in self:
+                known = self.before.get(key)
+                if known is None:
+                    out.append(key)
+                else:
+                    self[key] = known
+        return out
+
+    def turn(self) -> None:
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+
+
 class Vocabulary:
     """A tokenizer file with NFC, white space and lower case normalised, and words that end in a mark.
 
@@ -62,8 +87,8 @@ class Vocabulary:
         for token in self.ids:
             seen = [byte_of[x] for x in (token.removesuffix(self.end) if self.end else token)]
             self.inside[seen[:-1], seen[1:]] = True
-        self.pieces = {}  # piece -> packed ids
-        self.words = {}   # raw word -> packed ids
+        self.pieces = Memo()  # piece -> packed ids
+        self.words = Memo()   # raw word -> packed ids
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right
@@ -132,7 +157,7 @@ class Vocabulary:
         """Encode words that are not remembered yet; special tokens in them stand for themselves."""
         plain = [w for w in words if not self.cut_special.search(w)]
         found = list(self.split(plain))
-        new = list({p for pieces in found for p in pieces if p not in self.pieces})
+        new = self.pieces.missing({p for pieces in found for p in pieces})
         for group in ([p for p in new if len(p) <= 64], [p for p in new if len(p) > 64]):
             if group:  # long ones apart: they take many rounds
                 self.pieces.update(zip(group, self.merge(group)))
@@ -140,21 +165,16 @@ class Vocabulary:
             self.words[word] = b"".join([self.pieces[p] for p in pieces])
         for word in set(words).difference(plain):
             parts = [x for x in self.cut_special.split(word) if x]
-            self.learn([x for x in parts if x not in self.special and x not in self.words])
+            self.learn(self.words.missing({x for x in parts if x not in self.special}))
             self.words[word] = b"".join([self.special[x].to_bytes(4, "little") if x in self.special
                                          else self.words[x] for x in parts])
 
-    def forget(self) -> None:
-        for memo in (self.words, self.pieces):
-            if len(memo) > REMEMBERED:
-                memo.clear()
-
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each whole text as little-endian unsigned 32-bit integers."""
         for some in groups(texts):
-            self.forget()
+            self.words.turn(), self.pieces.turn()
             words = [WORDS.findall(t) if t else [] for t in some]
-            self.learn([w for w in set().union(*words) if w not in self.words])
+            self.learn(self.words.missing(set().union(*words)))
             for w in words:
                 yield b"".join([self.words[x] for x in w])
 
@@ -184,17 +204,18 @@ def vocabulary(path: str) -> Vocabulary:
 def appended(df: DataFrame, text: str, added: T.StructType, make) -> DataFrame:
     """Every row with its own columns and the `added` ones, which `make` gives as Arrow arrays per batch of texts.
 
-    All columns are kept by position, so names may clash with nothing but the added ones, which win.
+    Columns go by position, so no name can clash; an older column of an added name is replaced.
     """
     kept = [c for c in df.columns if c not in added.names]
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_text"))
+    rows = df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("_text"))
+    fields = [T.StructField(name, f.dataType) for name, f in zip(kept, rows.schema.fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             arrays = make(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*kept, *added.names])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *added.fields]))
+    return rows.mapInArrow(run, T.StructType([*fields, *added.fields]))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:

@@ -135,7 +135,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     text has no words; an item without words has no window; a null item_id counts as an empty
     string; items with equal ids count once. Words are compared by 64-bit hashes.
     """
-    sc, own = docs.sparkSession.sparkContext, docs.columns
+    sc, own = docs.sparkSession.sparkContext, [c for c in docs.columns if c != "hits"]
     found = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_doc"))
     columns = []
     for part in parts(benchmark, item, slice_words):

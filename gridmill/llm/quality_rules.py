@@ -66,10 +66,10 @@ def with_statistics(df: DataFrame, text: str = "text", into: str = "stats") -> D
 
     A null text counts as empty: all counts and shares are 0. Windows are compared by 64-bit
     hashes within one text; a text without a repeated window is not sorted. Other columns pass
-    through untouched, whatever their names.
+    through untouched, whatever their names; an older column of the same name is replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    measured = once(df.select(F.struct("*").alias("_row"), t.alias("_t")), "_w", _words(F.col("_t")))
+    measured = once(df.drop(into).select(F.struct("*").alias("_row"), t.alias("_t")), "_w", _words(F.col("_t")))
     n = F.size("_w")
     measured = once(measured, "_x1", F.transform("_w", lambda w: F.xxhash64(w)))
     for k in (1, 2, 4):  # spans of 2, 4 and 8 words, each from two of half the length

@@ -15,7 +15,7 @@ from functools import lru_cache
 from itertools import accumulate
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gridmill.llm.bpe import REMEMBERED, WORDS, Vocabulary, appended, byte_letters, groups, vocabulary
+from gridmill.llm.bpe import REMEMBERED, WORDS, Memo, Vocabulary, appended, byte_letters, groups, vocabulary
 
 SHORT = 48  # prefixes of longer pieces are not remembered, so that memory stays linear in the text
 
@@ -31,8 +31,8 @@ class PrefixCounter:
         self.pair = {(int(k >> 32), int(k & 0xFFFFFFFF)): (int(r), int(v.joined[r])) for k, r in zip(v.keys, v.by_key)}
         self.follows = {}  # (token, token) -> whether they may stand side by side
         self.states = {}   # prefix inside a word -> (last token, count)
-        self.counts = {}   # piece -> count
-        self.words = {}    # raw word -> count
+        self.counts = Memo()  # piece -> count
+        self.words = Memo()   # raw word -> count
 
     def symbols(self, token: int) -> list[int]:
         text, end = self.v.tokens[token], self.v.end
@@ -87,22 +87,20 @@ class PrefixCounter:
 
     def learn(self, words: list[str]) -> None:
         plain = [w for w in words if not self.v.cut_special.search(w)]
-        for word, pieces in zip(plain, self.v.split(plain)):
-            n = 0
-            for p in pieces:
-                known = self.counts.get(p)
-                if known is None:
-                    known = self.counts[p] = self.piece(p)
-                n += known
-            self.words[word] = n
+        found = list(self.v.split(plain))
+        for p in self.counts.missing({p for pieces in found for p in pieces}):
+            self.counts[p] = self.piece(p)
+        for word, pieces in zip(plain, found):
+            self.words[word] = sum([self.counts[p] for p in pieces])
         for word in set(words).difference(plain):
             parts = [x for x in self.v.cut_special.split(word) if x]
-            self.learn([x for x in parts if x not in self.v.special and x not in self.words])
+            self.learn(self.words.missing({x for x in parts if x not in self.v.special}))
             self.words[word] = sum(1 if x in self.v.special else self.words[x] for x in parts)
 
     def forget(self) -> None:
-        for memo in (self.states, self.counts, self.words, self.follows):
-            if len(memo) > REMEMBERED:
+        self.words.turn(), self.counts.turn()
+        for memo in (self.states, self.follows):
+            if len(memo) > 2 * REMEMBERED:
                 memo.clear()
 
     def running(self, texts: list[str | None]):
@@ -110,7 +108,7 @@ class PrefixCounter:
         for some in groups(texts):
             self.forget()
             words = [WORDS.findall(t) if t else [] for t in some]
-            self.learn([w for w in set().union(*words) if w not in self.words])
+            self.learn(self.words.missing(set().union(*words)))
             for w in words:
                 yield list(accumulate([self.words[x] for x in w]))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gridmill.llm.bpe import REMEMBERED, groups
+from gridmill.llm.bpe import Memo, groups
 
 MAGIC = b"GMTB"
 HEAD = struct.Struct("<4sBIIQqII")
@@ -133,13 +133,19 @@ class Encoder:
         vocab = self.tool.get_vocab()
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.chunks = {}
+        self.chunks = Memo()
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: list[str]) -> None:
-        """Chunks of one word after one space are sent fifty at a time: each starts with its only spaced token."""
+        """Chunks of one word after one space are sent fifty at a time: each starts with its only spaced token.
+
+        A full stop or comma after a letter is a piece of its own: it is put behind the word without it.
+        """
+        stopped = [c for c in chunks if c[-1] in ".," and c[-2:-1].isalpha() and c[-2:-1].isascii()]
+        bare = {c[:-1] for c in stopped}.union(x[-1] for x in stopped)
+        chunks = self.chunks.missing(bare.union(chunks).difference(stopped))
         plain = [c for c in chunks if c[0] == " " and " " not in c[1:] and "<|" not in c]
         other = list(set(chunks).difference(plain))
         self.chunks.update(zip(other, (np.array(x, self.kind).tobytes() for x in self.library(other))))
@@ -153,11 +159,12 @@ class Encoder:
             data = packed.tobytes()
             at = [*(starts * self.width).tolist(), len(data)]
             self.chunks.update(zip(run, [data[i:j] for i, j in zip(at, at[1:])]))
+        for c in stopped:
+            self.chunks[c] = self.chunks[c[:-1]] + self.chunks[c[-1]]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for some in groups(texts):
-            if len(self.chunks) > REMEMBERED:
-                self.chunks.clear()
+            self.chunks.turn()
             cut = []
             for t in some:
                 if not t:
@@ -166,7 +173,7 @@ class Encoder:
                     cut.append([c for c in self.CUT.split(t) if c])
                 else:
                     cut.append(t.replace(" ", "\0 ").split("\0") if "\0" not in t else self.CUT.split(t))
-            self.learn([c for c in set().union(*cut) if c not in self.chunks])
+            self.learn(self.chunks.missing(set().union(*cut)))
             for chunks in cut:
                 yield b"".join([self.chunks[c] for c in chunks])
 

@@ -1,0 +1,102 @@
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from gridmill.llm import simhash as S
+from gridmill.llm.components import components
+from tests.llm.helpers import DOCS, ODD, docs, prose
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    shingles = [" ".join(w[i:i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_groups(fps):
+    """Index of the smallest member of each one's group."""
+    root = list(range(len(fps)))
+    for _ in fps:
+        for i, a in enumerate(fps):
+            for j, b in enumerate(fps):
+                if (a ^ b).bit_count() <= 4:
+                    root[i] = root[j] = min(root[i], root[j])
+    return root
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = list(ODD)
+    for _ in range(12):
+        base = prose(rng, 120, 50).split()
+        for _ in range(rng.randrange(1, 5)):
+            copy = list(base)
+            for _ in range(rng.randrange(3)):
+                copy[rng.randrange(len(copy))] = "other"
+            texts.append(" ".join(copy))
+    table = docs(spark, texts).withColumn("fp", F.lit("mine")).withColumn("rank", F.lit(1)).withColumn("_row", F.lit(2))
+    got = {r[0]: (r[1], r[2]) for r in S.near_duplicates(table).collect()}
+    fps = [plain_fingerprint(t) for t in texts]
+    assert got == {i: (f"{f:016x}", g) for i, (f, g) in enumerate(zip(fps, plain_groups(fps)))}
+    kept = S.deduplicate(table)
+    assert kept.columns == table.columns
+    assert sorted(r[0] for r in kept.collect()) == sorted(set(plain_groups(fps)))
+
+
+def test_every_pair_within_the_radius_meets(spark):
+    rng = np.random.default_rng(3)
+    fps = set()
+    for centre in rng.integers(0, 1 << 62, 6):
+        for _ in range(60):
+            fps.add(int(centre) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)))
+    fps = sorted(fps)
+    rows = spark.createDataFrame([(f if f < 1 << 63 else f - (1 << 64),) for f in fps], "fp long")
+    found = {r["node"] % (1 << 64): r["root"] for r in components(S.links(rows)).collect()}
+    groups = plain_groups(fps)
+    for i, a in enumerate(fps):
+        for j, b in enumerate(fps):
+            same = found.get(a, a) == found.get(b, b)
+            assert same == (groups[i] == groups[j])
+
+
+def test_split_work_gives_the_same_links(monkeypatch):
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 1 << 20, 300).astype(np.uint64))
+    left = np.full(len(fps), 2)
+    whole = S.meeting(fps, left, 20)
+    monkeypatch.setattr(S, "AT_ONCE", 500)
+    split = S.meeting(fps, left, 20)
+    label = lambda m: S.roots(len(fps), m[:, 0], m[:, 1]).tolist()
+    assert label(whole) == label(split)
+
+
+def test_repeated_rows_and_null_keys(spark):
+    rows = [(1, "a b c d e", "", "", 1)] * 3 + [(None, "a b c d e", "", "", 1)] * 2 + [(None, "p q r s", "", "", 1)] * 2
+    table = spark.createDataFrame(rows, DOCS)
+    got = S.near_duplicates(table).collect()
+    assert len(got) == 7
+    assert {(r[0], r[2]) for r in got} == {(1, 1), (None, 1), (None, None)}
+    assert sorted((r[0] is None, r[1]) for r in S.deduplicate(table).collect()) == [(False, "a b c d e"), (True, "p q r s")]
+
+
+def test_empty_table_and_odd_radius(spark):
+    assert S.near_duplicates(docs(spark, [])).collect() == []
+    assert S.deduplicate(docs(spark, [])).collect() == []
+    with pytest.raises(ValueError):
+        S.links(spark.createDataFrame([], "fp long"), 3)
+
+
+def test_components_of_a_long_chain_and_a_hub(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000)]
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({found[i] for i in range(201)}) == 1
+    assert len({found[1000 + i] for i in range(300)}) == 1
+    assert found[0] != found[1000]
+    assert 5000 not in found
