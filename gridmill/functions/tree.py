@@ -5,6 +5,7 @@ a tuple of characters and tags when there are tags inside the cell (each tag is
 """
 
 import re
+from bisect import bisect_left
 from html import unescape
 
 import numpy as np
@@ -16,7 +17,8 @@ VOID = ("br", "hr", "img", "input", "col", "wbr")
 # an opening tag of the first group closes what is still open of the second
 CLOSES = {"td": CELLS, "th": CELLS, "tr": ("tr",), **{s: SECTIONS + ("tr",) for s in SECTIONS}}
 
-_TOKEN = re.compile(r"""<!--.*?-->|<![^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|([^<]+|<)""", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/><]*)")
+_MARK = re.compile("[\"'>]")
 _SPAN = re.compile(r"""\b(colspan|rowspan)\s*=\s*["']?\s*([^\s"'>]*)""", re.I)
 
 
@@ -32,6 +34,50 @@ def lenient_span(text: str) -> int | None:
     return int(text) if text.isdecimal() else None
 
 
+def tokens(html: str):
+    """(closing, tag, attributes, text) of every tag and stretch of text; comments are blank.
+
+    Each way to the end of the text that finds no unquoted > is followed once, so broken tags
+    cost no more than whole ones.
+    """
+    marks = [m.start() for m in _MARK.finditer(html)]
+    last_comment, last_end, dead, at = html.rfind("-->"), html.rfind(">"), set(), 0
+
+    def end_of_tag(start):
+        seen, i = [], bisect_left(marks, start)
+        while i < len(marks) and i not in dead:
+            quote = html[marks[i]]
+            if quote == ">":
+                return marks[i]
+            seen.append(i)
+            closing = html.find(quote, marks[i] + 1)
+            i = len(marks) if closing < 0 else bisect_left(marks, closing + 1)
+        dead.update(seen)
+        return -1
+
+    while at < len(html):
+        if html[at] != "<":
+            end = html.find("<", at)
+            end = len(html) if end < 0 else end
+            yield "", "", "", html[at:end]
+            at = end
+        elif html.startswith("<!--", at) and last_comment >= at + 4:
+            yield "", "", "", ""
+            at = html.find("-->", at + 4) + 3
+        elif html.startswith("<!", at) and last_end > at:
+            yield "", "", "", ""
+            at = html.find(">", at) + 1
+        else:
+            name = _NAME.match(html, at) if last_end > at else None
+            end = end_of_tag(name.end()) if name else -1
+            if end < 0:
+                yield "", "", "", "<"
+                at += 1
+            else:
+                yield name[1], name[2], html[name.end():end], ""
+                at = end + 1
+
+
 def parse(html: str, span=int):
     """First table of a text as nested lists, None when the text has none. `span` reads a span.
 
@@ -39,7 +85,7 @@ def parse(html: str, span=int):
     that is not part of the grid belongs to the cell's text, nested tables as a whole.
     """
     root, path, nested = None, [], 0
-    for closing, tag, attrs, text in _TOKEN.findall(html):
+    for closing, tag, attrs, text in tokens(html):
         cell = path[-1] if path and path[-1][0] in CELLS else None
         if text:
             if cell:
@@ -70,23 +116,57 @@ def parse(html: str, span=int):
 def read_table(html: str):
     """Tree of the first table, None when the text has none. Bad spans raise ValueError."""
     root = parse(html)
-    return _frozen(root) if root else None
+    return _rebuilt(root, _freeze) if root else None
 
 
-def _frozen(node):
-    tag, colspan, rowspan, parts, children = node
+def _rebuilt(root, make):
+    """A tree of make(node, new children) for every node, without recursion."""
+    rows, todo = [], [(root, -1)]
+    while todo:
+        node, parent = todo.pop()
+        todo.extend((child, len(rows)) for child in reversed(node[4]))
+        rows.append((node, parent))
+    children = [[] for _ in rows]
+    for at in range(len(rows) - 1, -1, -1):
+        node, parent = rows[at]
+        new = make(node, tuple(reversed(children[at])))
+        if parent < 0:
+            return new
+        children[parent].append(new)
+
+
+def _freeze(node, children):
+    tag, colspan, rowspan, parts, _ = node
     if tag != "td":
-        return tag, colspan, rowspan, "", tuple(map(_frozen, children))
+        return tag, colspan, rowspan, "", children
     tagged = any(type(p) is tuple for p in parts)
     return tag, colspan, rowspan, tuple(t for p in parts for t in p) if tagged else "".join(parts), ()
 
 
-def without_text(node):
-    return (*node[:3], "", tuple(map(without_text, node[4])))
+def without_text(root):
+    return _rebuilt(root, lambda node, children: (*node[:3], "", children))
 
 
-def size(node) -> int:
-    return 1 + sum(map(size, node[4]))
+def size(root) -> int:
+    n, todo = 0, [root]
+    while todo:
+        n += 1
+        todo.extend(todo.pop()[4])
+    return n
+
+
+def same(a, b) -> bool:
+    """Are two trees equal? Very deep ones are compared without recursion."""
+    try:
+        return a == b
+    except RecursionError:
+        todo = [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            if x[:4] != y[:4] or len(x[4]) != len(y[4]):
+                return False
+            todo.extend(zip(x[4], y[4]))
+        return True
 
 
 def preorder(root):
@@ -129,16 +209,16 @@ def text_distances(left, right):
 def _postorder(forest):
     """Nodes below a common root in postorder: node, first leaf, depth; the root comes last."""
     nodes, first, depth = [], [], []
-
-    def walk(node, level):
-        start = len(nodes)
-        for child in node[4]:
-            walk(child, level + 1)
-        nodes.append(node)
-        first.append(start)
-        depth.append(level)
-
-    walk(("", 1, 1, "", tuple(forest)), 0)
+    todo = [(("", 1, 1, "", tuple(forest)), 0, None)]
+    while todo:
+        node, level, start = todo.pop()
+        if start is None:
+            todo.append((node, level, len(nodes)))
+            todo.extend((child, level + 1, None) for child in reversed(node[4]))
+        else:
+            nodes.append(node)
+            first.append(start)
+            depth.append(level)
     return nodes, np.array(first), np.array(depth)
 
 
@@ -207,9 +287,9 @@ def tree_distance(a, b) -> float:
     """
     left, right = [a], [b]
     while left and right:
-        while left and right and left[0] == right[0]:
+        while left and right and same(left[0], right[0]):
             left, right = left[1:], right[1:]
-        while left and right and left[-1] == right[-1]:
+        while left and right and same(left[-1], right[-1]):
             left, right = left[:-1], right[:-1]
         if len(left) == len(right) == 1 and left[0][:4] == right[0][:4]:
             left, right = list(left[0][4]), list(right[0][4])

@@ -57,8 +57,13 @@ def ema_smooth(log: DataFrame, weight: float = 0.9, value: str = "loss", block:
 
     Inside a block of rows the weighted sum is a running sum of x_j * w^-j scaled back. Blocks
     are short enough for w^-j to stay finite, and what earlier blocks add to their successor is
-    a weighted sum of block totals; beyond `reach` blocks the weight underflows to zero.
+    a weighted sum of block totals; beyond `reach` blocks the weight underflows to zero. Weight 0
+    does not smooth, weight 1 is the running mean.
     """
+    if weight == 0:
+        return log.where(F.col(value).isNotNull()).select("run_id", "step", value, F.col(value).cast("double").alias("smoothed"))
+    if weight == 1:
+        return _running_mean(log, value, index_block)
     decay = abs(math.log(weight))
     size = block or max(1, int(200 / decay))
     reach = math.ceil(750 / (size * decay))
@@ -80,6 +85,16 @@ def ema_smooth(log: DataFrame, weight: float = 0.9, value: str = "loss", block:
     return rows.select("run_id", "step", F.col(value), (total / mass).alias("smoothed"))
 
 
+def _running_mean(log: DataFrame, value: str, block: int) -> DataFrame:
+    rows = R.with_index(log.where(F.col(value).isNotNull()).select("run_id", "step", value), ["run_id"], "step", block)
+    run = R.inside(["run_id"], "pos").rowsBetween(W.unboundedPreceding, 0)
+    rows = R.with_block(rows, "pos", block).withColumn("_sum", F.sum(value).over(run))
+    rows = R.with_carry(rows, ["run_id"], [F.sum(value).alias("_total")],
+                        lambda before, whole: [F.coalesce(F.sum("_total").over(R.earlier(before)), F.lit(0)).alias("_before")])
+    mean = (F.col("_sum") + F.col("_before")) / (F.col("pos") + 1)
+    return rows.select("run_id", "step", F.col(value), mean.alias("smoothed"))
+
+
 def best_checkpoint(log: DataFrame, loss: str = "loss") -> DataFrame:
     """Checkpoint with the lowest loss of every run; the earliest one wins a tie."""
     best = F.min(F.struct(F.col(loss).alias("loss"), F.col("step").alias("step")))

@@ -1,6 +1,6 @@
 """Scoring of predicted tables by tree-edit-distance similarity, as a Spark job.
 
-Most of the work is avoided or placed before any tree is read: blank sides and equal texts are
+Much of the work is avoided or placed before any tree is read: blank and tableless sides are
 settled by Column expressions, the pairs left are spread over tasks by row, and a task scores
 equal pairs once. Only the comparison of one pair runs in Python.
 """
@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from gridmill import schema as S
 from gridmill.functions import html as H, tree
 from gridmill.operators import curate as C
-from gridmill.operators.pairing import pair_predictions
-from gridmill.operators.skew import HOT_ROWS
+from gridmill.operators.skew import HOT_ROWS, hot_keys, salted_join
 
 NODE_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
 SEEN = 200_000  # pairs remembered per task
@@ -54,20 +53,22 @@ def shred_table(df: DataFrame, html: str = "html_table", tasks: int | None = Non
     return rows.mapInArrow(_shredder(html, keep), T.StructType([*df.select(*keep).schema, *S.NODE]))
 
 
-def _score(truth: str, pred: str, cap: int | None) -> tuple:
+def _score(truth: str, pred: str) -> tuple:
+    """Scores of one pair; equal texts are read once, so that they obey the same rules."""
     try:
-        a, b = tree.read_table(truth), tree.read_table(pred)
+        a = tree.read_table(truth)
+        b = a if truth == pred else tree.read_table(pred)
         if a is None or b is None:
             return 0.0, 0.0, None
-        if cap is not None and max(tree.size(a), tree.size(b)) > cap:
-            return None, None, f"too_large: more than {cap} nodes"
+        if a is b:
+            return 1.0, 1.0, None
         structure = tree.similarity(tree.without_text(a), tree.without_text(b))
         return structure, tree.similarity(a, b), None
-    except (ValueError, RecursionError) as e:
+    except ValueError as e:
         return None, None, f"parse_failed: {e}"
 
 
-def _scorer(cap: int | None):
+def _scorer():
     @F.pandas_udf("teds_structure double, teds_full double, score_error string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         seen = {}  # copies of a pair are scored once per task; digests and three values each
@@ -79,7 +80,7 @@ def _scorer(cap: int | None):
             if key not in seen:
                 if len(seen) >= SEEN:
                     seen.clear()
-                seen[key] = _score(truth, pred, cap)
+                seen[key] = _score(truth, pred)
             return seen[key]
 
         for truths, preds in batches:
@@ -89,12 +90,11 @@ def _scorer(cap: int | None):
 
 
 def score_pairs(df: DataFrame, truth: str, pred: str, clean: str = "full", failure: Column | None = None,
-                node_cap: int | None = None, tasks: int | None = None) -> DataFrame:
+                tasks: int | None = None) -> DataFrame:
     """Add teds_structure, teds_full and score_error; the two html columns are dropped.
 
     `clean` is what both sides go through first: full, strip or none. A side that is null, blank
-    or has no table scores 0. Rows with a `failure` text get it as their error and no score. With
-    `node_cap`, larger tables get an error instead of a score. `tasks` deals the rows out by a hash
+    or has no table scores 0. Rows with a `failure` text get it as their error and no score. `tasks` deals the rows out by a hash
     of the row, not of the pair, which spreads copies of one pair; without it they are scored
     where they are.
     """
@@ -110,8 +110,6 @@ def score_pairs(df: DataFrame, truth: str, pred: str, clean: str = "full", failu
     none = F.lit(None)
     known = F.when(F.col("_failure").isNotNull(), result(none, F.col("_failure"))).when(
         absent("truth") | absent("pred"), result(F.lit(0.0), none))
-    if node_cap is None:
-        known = known.when(F.col("truth") == F.col("pred"), result(F.lit(1.0), none))
     cases = C.once(both, "known", known)
 
     # settled rows do not send their html to Python
@@ -119,23 +117,29 @@ def score_pairs(df: DataFrame, truth: str, pred: str, clean: str = "full", failu
     sent = cases.select(*keep, "known", F.when(is_open, F.col("truth")).alias("truth"),
                         F.when(is_open, F.col("pred")).alias("pred"))
     dealt = sent if tasks is None else sent.repartition(tasks, *keep)
-    scored = C.once(dealt, "_s", _scorer(node_cap)(F.col("truth"), F.col("pred")))
+    scored = C.once(dealt, "_s", _scorer()(F.col("truth"), F.col("pred")))
     pick = lambda done, found: F.when(is_open, F.col(found)).otherwise(F.col(done))
     return scored.select(*keep, pick("known.score", "_s.teds_structure").alias("teds_structure"),
                          pick("known.score", "_s.teds_full").alias("teds_full"),
                          pick("known.error", "_s.score_error").alias("score_error"))
 
 
-def eval_table(truth: DataFrame, preds: DataFrame, clean: str = "full", min_hot: int = HOT_ROWS,
+def eval_table(truth: DataFrame, preds: DataFrame, stages: list[str], clean: str = "full", min_hot: int = HOT_ROWS,
                tasks: int | None = None) -> DataFrame:
-    """Every truth row with its predictions' scores; no prediction or a failed one has none.
+    """Every truth row at every expected stage with its prediction's scores.
+
+    A failed generation leaves no row, so stages are named by the caller: what is missing or failed
+    has an error and no score. Predictions of other stages are left out.
 
     Pairs are scored in the tasks of the join. Their number is fixed: the time of a pair grows
     with the product of its sizes, so merging small partitions by bytes would lose cores.
     """
     tasks = tasks or int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pair_predictions(truth.select("sample_id", F.col("html_table").alias("truth_html")),
-                             preds.select("sample_id", "stage", "pred_html", "error"), min_hot, tasks)
+    pair = F.concat_ws("/", "sample_id", "stage").alias("_pair")
+    expected = truth.select("sample_id", F.explode(F.array(*map(F.lit, stages))).alias("stage"),
+                            F.col("html_table").alias("truth_html")).select("*", pair)
+    made = preds.where(F.col("stage").isin(*stages)).select(pair, "pred_html", "error")
+    pairs = salted_join(expected, made, "_pair", hot_keys(made, "_pair", min_hot), how="left", tasks=tasks).drop("_pair")
     failure = F.when(F.col("pred_html").isNull() | F.col("error").isNotNull(),
                      F.coalesce(F.col("error"), F.lit("no prediction")))
     scored = score_pairs(pairs.withColumn("_f", failure).drop("error"), "truth_html", "pred_html", clean, F.col("_f"))
@@ -153,5 +157,6 @@ def average_scores(scored: DataFrame, by: list[str], policy: str = "zero") -> Da
     return scored.groupBy(*by).agg(*aggs) if by else scored.agg(*aggs)
 
 
-def eval_by_stage(truth: DataFrame, preds: DataFrame, policy: str = "zero", clean: str = "full") -> DataFrame:
-    return average_scores(eval_table(truth, preds, clean), ["stage"], policy)
+def eval_by_stage(truth: DataFrame, preds: DataFrame, stages: list[str], policy: str = "zero",
+                  clean: str = "full") -> DataFrame:
+    return average_scores(eval_table(truth, preds, stages, clean), ["stage"], policy)

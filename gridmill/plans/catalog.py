@@ -11,10 +11,10 @@ from gridmill.plans import flows, stubs
 from gridmill.sources import derived as D, tables as IO, work
 from gridmill.streaming import streams as ST
 
-INSTRUCTION = "Convert this table image to HTML."
-FLAT_PROMPT = "Write the HTML representation for this image."
-BATCH_PROMPT = "<image>\nConvert this table to HTML."
-SYSTEM = "You are a helpful assistant."
+INSTRUCTION = "Transcribe the pictured grid as markup."
+FLAT_PROMPT = "Give the markup of the grid in the picture."
+BATCH_PROMPT = "<image>\nTranscribe the grid."
+SYSTEM = "You transcribe pictures of grids."
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,16 +102,22 @@ def ocr_summary(spark, folder):
     return P.ocr_summary(_ocr(spark, folder))
 
 
+def _answers(spark, folder):
+    """OCR results of every row that has html."""
+    made = P.batch_predict(C.not_null_html(D.samples(spark, folder)), stubs.stub_model, "ocr", F.lit(INSTRUCTION),
+                           on_error="prefix", clean="none")
+    return made.select(F.col("pred_html").alias("ocr_result"))
+
+
 @query
 def success_count(spark, folder):
-    return R.success_count(_ocr(spark, folder))
+    return R.success_count(_answers(spark, folder))
 
 
 @query
 def status_split(spark, folder):
-    results = _ocr(spark, folder)
     status = C.ocr_status(F.col("ocr_result"))
-    return results.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return _answers(spark, folder).groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -123,8 +129,8 @@ def append_metrics(spark, folder):
 # --- scalar functions ---------------------------------------------------------------------------
 
 on_samples("clean_html", lambda df: pick(df, cleaned=H.clean_html(html())))
-on_samples("clean_html_inline", lambda df: pick(df, cleaned=H.clean_html(F.col("pred_html"))),
-           lambda s, d: D.predictions(s, d).where(F.col("stage") == "pre"))
+on_samples("clean_html_inline", lambda df: pick(df, stage=F.col("stage"), cleaned=H.clean_html(F.col("pred_html"))),
+           D.predictions)
 on_samples("strip_prediction", lambda df: pick(df, stripped=H.strip(html())))
 on_samples("truncate_html", lambda df: pick(df, html_table=H.truncate_html(html(), 8000)))
 on_samples("truncate_html_tiered", lambda df: pick(df, html_table=H.truncate_html(html(), H.tier_limit(F.col("sample_id") % 3 * 4))))
@@ -189,7 +195,7 @@ _encoded("truncate_tokens", lambda df: pick(df, input_ids=_joined(K.truncate_tok
 _encoded("strip_prompt_tokens", lambda df: pick(df, generated=_joined(K.strip_prompt(ids(), F.slice(ids(), 1, 5)))))
 _encoded("clamp_token_ids", lambda df: pick(_clamped(df), input_ids=_joined(ids())))
 _encoded("clamp_labels", lambda df: pick(_clamped(df), labels=_joined(F.col("labels"))))
-_encoded("clamp_counts", lambda df: pick(df.where(ids().isNotNull()), n_clamped=K.clamped_count(ids(), D.VOCAB, D.SPECIALS, LO, HI),
+_encoded("clamp_counts", lambda df: pick(df, n_clamped=K.clamped_count(ids(), D.VOCAB, D.SPECIALS, LO, HI),
     n_preserved=K.preserved_count(ids(), D.VOCAB, D.SPECIALS, LO, HI)))
 _encoded("validate_token_range", lambda df: pick(C.with_range_error(df, D.VOCAB), error=F.col("error")))
 _encoded("error_type", lambda df: pick(C.with_range_error(df, D.VOCAB), error_type=H.error_type(F.col("error"))))
@@ -298,7 +304,7 @@ on_samples("shred_table", lambda df: E.shred_table(df.select("sample_id", "html_
 
 
 def _scored(spark, folder):
-    return E.eval_table(C.filter_and_clean(D.samples(spark, folder)), D.predictions(spark, folder))
+    return E.eval_table(C.filter_and_clean(D.samples(spark, folder)), D.predictions(spark, folder), ["pre", "post"])
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:

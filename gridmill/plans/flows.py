@@ -30,4 +30,4 @@ def evaluate(samples: DataFrame, factory: Callable, stage: str, n: int | None =
     truth = C.filter_and_clean(samples)
     truth = work.stage(truth if n is None else S.first_n(truth, n), "truth")
     preds = P.dedup_predict(truth, factory, stage, prompt)
-    return E.eval_by_stage(truth, preds, policy)
+    return E.eval_by_stage(truth, preds, [stage], policy)

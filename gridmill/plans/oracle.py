@@ -40,7 +40,7 @@ samples AS (
 _PREDS = """,
 preds AS (
   SELECT sample_id, stage, pred_html, CASE WHEN pred_html IS NULL THEN 'generation failed' END AS error FROM (
-    SELECT sample_id, 'pre' AS stage, CASE k % 5
+    SELECT sample_id, k, 'pre' AS stage, CASE k % 5
         WHEN 0 THEN tb
         WHEN 1 THEN '<table>' || head || array_to_string(body[1:greatest(len(body) - 1 - k % 3, 0)], '') || '</table>'
         WHEN 2 THEN replace_first.a || '<td>9' || replace_first.b
@@ -48,7 +48,8 @@ preds AS (
     FROM (SELECT *, {'a': left(tb, strpos(tb, '<td>') - 1), 'b': substr(tb, strpos(tb, '<td>') + 4)} AS replace_first
           FROM tabs)
     UNION ALL
-    SELECT sample_id, 'post', CASE WHEN k % 5 <> 4 THEN tb END FROM tabs))"""
+    SELECT sample_id, k, 'post', CASE WHEN k % 5 <> 4 THEN tb END FROM tabs)
+  WHERE k % 13 <> 5 AND NOT (k % 11 = 3 AND stage = 'pre'))"""
 
 
 def _stripped(c: str) -> str:
@@ -85,15 +86,19 @@ sizes AS (
   SELECT sample_id, k, len(body) AS n, len(cells[1]) + 1 AS per_row, length(cells[1][1]) AS first_len,
          1 + (len(cells[1]) + 1) * (len(body) + CASE WHEN head = '' THEN 0 ELSE 1 END) AS nodes
   FROM tabs),
+asked AS (
+  SELECT v.sample_id, s.stage, coalesce(p.error, CASE WHEN p.pred_html IS NULL THEN 'no prediction' END) AS error
+  FROM valid v JOIN (VALUES ('pre'), ('post')) s(stage) ON true
+    LEFT JOIN preds p ON p.sample_id = v.sample_id AND p.stage = s.stage),
 scored AS (
-  SELECT v.sample_id, p.stage, p.error,
+  SELECT p.sample_id, p.stage, p.error,
     CASE WHEN p.error IS NOT NULL THEN NULL
          WHEN p.stage = 'post' OR k % 5 IN (0, 2) THEN 1.0
          WHEN k % 5 = 1 THEN 1.0 - per_row * least(n, 1 + k % 3) / CAST(nodes AS DOUBLE)
          ELSE 1.0 - 1.0 / CAST(nodes AS DOUBLE) END AS s,
-    CASE WHEN p.stage = 'pre' AND k % 5 = 2 THEN 1.0 - (1.0 / CAST(first_len + 1 AS DOUBLE)) / CAST(nodes AS DOUBLE)
+    CASE WHEN p.error IS NULL AND p.stage = 'pre' AND k % 5 = 2 THEN 1.0 - (1.0 / CAST(first_len + 1 AS DOUBLE)) / CAST(nodes AS DOUBLE)
          END AS f
-  FROM valid v JOIN preds p USING (sample_id) JOIN sizes USING (sample_id)),
+  FROM asked p JOIN sizes USING (sample_id)),
 scores AS (SELECT sample_id, stage, CAST(s AS DOUBLE) AS teds_structure, CAST(coalesce(f, s) AS DOUBLE) AS teds_full,
                   error FROM scored)"""
 
@@ -164,7 +169,7 @@ _FENCED = "'```html' || chr(10) || " + _ANSWER + " || chr(10) || '```'"
 _ERROR = f"CASE WHEN {_FAILS} THEN 'no table in ' || coalesce(image, 'None') END"
 
 _TURNS = """
-turns AS (SELECT * FROM conversations WHERE turn < CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 2 END)"""
+turns AS (SELECT * FROM conversations)"""
 
 _PATHS = """
 paths AS (
@@ -203,7 +208,7 @@ def _flat(prompt: str) -> str:
 
 
 _TEXT_NULL = "CAST(NULL AS VARCHAR)"
-_INSTRUCTION = "'Convert this table image to HTML.'"
+_INSTRUCTION = "'Transcribe the pictured grid as markup.'"
 
 ORACLE: dict[str, str] = {
     "load_split": _sql(_SAMPLES, "SELECT * FROM samples WHERE split = 'validation'"),
@@ -224,11 +229,11 @@ ORACLE: dict[str, str] = {
     "ocr_summary": _sql(_OCR, """
         SELECT row_index, html_table_length, CASE WHEN starts_with(ocr_result, 'Error') THEN 'error' ELSE 'success' END AS status,
                CASE WHEN starts_with(ocr_result, 'Error') THEN ocr_result END AS error_message FROM ocr"""),
-    "success_count": _sql(_OCR, """
-        SELECT count(*) FILTER (NOT starts_with(ocr_result, 'Error')) AS n_success, count(*) AS n_total FROM ocr"""),
-    "status_split": _sql(_OCR, """
-        SELECT CASE WHEN starts_with(ocr_result, 'Error') THEN 'error' ELSE 'success' END AS status, count(*) AS n
-        FROM ocr GROUP BY 1"""),
+    "success_count": _sql(_SAMPLES, f"""
+        SELECT count(*) FILTER (NOT {_FAILS}) AS n_success, count(*) AS n_total FROM samples WHERE html_table IS NOT NULL"""),
+    "status_split": _sql(_SAMPLES, f"""
+        SELECT CASE WHEN {_FAILS} THEN 'error' ELSE 'success' END AS status, count(*) AS n
+        FROM samples WHERE html_table IS NOT NULL GROUP BY 1"""),
     "append_metrics": """
         WITH log AS (SELECT user_id AS run_id, event_id AS step, value AS loss FROM events WHERE event_type <> 'purchase'),
         evals AS (SELECT user_id AS run_id, event_id AS step, value / 1000 AS avg_full, event_id % 10 + 1 AS n_evaluated
@@ -240,7 +245,7 @@ ORACLE: dict[str, str] = {
         FROM log l LEFT JOIN latest m ON m.run_id = l.run_id AND m.log_step = l.step""",
 
     "clean_html": _sql(_SAMPLES, f"SELECT sample_id, {_cleaned('html_table')} AS cleaned FROM samples"),
-    "clean_html_inline": _sql(_GRIDS + _PREDS, f"SELECT sample_id, {_cleaned('pred_html')} AS cleaned FROM preds WHERE stage = 'pre'"),
+    "clean_html_inline": _sql(_GRIDS + _PREDS, f"SELECT sample_id, stage, {_cleaned('pred_html')} AS cleaned FROM preds"),
     "strip_prediction": _sql(_SAMPLES, f"SELECT sample_id, {_stripped('html_table')} AS stripped FROM samples"),
     "truncate_html": _sql(_SAMPLES, """
         SELECT sample_id, CASE WHEN length(html_table) > 8000 THEN left(html_table, 8000) || '...' ELSE html_table END AS html_table
@@ -257,10 +262,10 @@ ORACLE: dict[str, str] = {
     "to_parts_messages": _sql(_SAMPLES, _messages(
         (0, "user", 0, "text", _INSTRUCTION, _TEXT_NULL), (0, "user", 1, "image", _TEXT_NULL, "image"),
         (1, "assistant", 0, "text", "html_table", _TEXT_NULL))),
-    "to_flat_messages": _sql(_SAMPLES, _flat("'Write the HTML representation for this image.'")),
-    "to_flat_messages_batch": _sql(_SAMPLES, _flat("'<image>' || chr(10) || 'Convert this table to HTML.'")),
+    "to_flat_messages": _sql(_SAMPLES, _flat("'Give the markup of the grid in the picture.'")),
+    "to_flat_messages_batch": _sql(_SAMPLES, _flat("'<image>' || chr(10) || 'Transcribe the grid.'")),
     "to_prompt_messages": _sql(_SAMPLES, _messages(
-        (0, "system", 0, "text", "'You are a helpful assistant.'", _TEXT_NULL),
+        (0, "system", 0, "text", "'You transcribe pictures of grids.'", _TEXT_NULL),
         (1, "user", 0, "image", _TEXT_NULL, "image"), (1, "user", 1, "text", _INSTRUCTION, _TEXT_NULL))),
     "prompt_turn": _sql(_TURNS, "SELECT conv_id, role, text AS content FROM turns WHERE turn = 0"),
     "ground_truth_of": _sql(_TURNS, """
@@ -279,7 +284,7 @@ ORACLE: dict[str, str] = {
     "clamp_counts": _sql(_ENCODED, f"""
         SELECT sample_id, len(list_filter(input_ids, lambda x: {_CLAMP})) AS n_clamped,
                len(list_filter(input_ids, lambda x: x >= 151643 AND NOT {_CLAMP})) AS n_preserved
-        FROM encoded WHERE input_ids IS NOT NULL"""),
+        FROM encoded"""),
     "validate_token_range": _sql(_RANGED, "SELECT sample_id, error FROM ranged"),
     "error_type": _sql(_RANGED, "SELECT sample_id, split_part(error, ':', 1) AS error_type FROM ranged"),
     "safe_filter": _sql(_RANGED, "SELECT sample_id, split, html_table FROM statuses WHERE status = 'valid'"),
@@ -293,9 +298,9 @@ ORACLE: dict[str, str] = {
         SELECT sample_id, split, html_table FROM encoded WHERE error IS NULL AND len(input_ids) <= 30"""),
     "audit_clamped": _sql(_ENCODED, "SELECT count(*) AS n_rows, 0 AS n_bad FROM encoded"),
     "zip_arrays": _sql(_ENCODED, """
-        SELECT sample_id, 0 AS at, array_to_string(input_ids[4:], ',') AS generated FROM encoded WHERE input_ids IS NOT NULL
+        SELECT sample_id, 0 AS at, array_to_string(input_ids[4:], ',') AS generated FROM encoded
         UNION ALL
-        SELECT sample_id, 1, array_to_string(input_ids[2:], ',') FROM encoded WHERE input_ids IS NOT NULL"""),
+        SELECT sample_id, 1, array_to_string(input_ids[2:], ',') FROM encoded"""),
 
     "valid_html": _sql(_JUDGED, "SELECT sample_id, reason IS NULL AS valid FROM judged"),
     "reject_reason": _sql(_JUDGED, "SELECT sample_id, reason FROM judged"),
@@ -377,7 +382,7 @@ ORACLE: dict[str, str] = {
         SELECT sample_id, max(pred_html) FILTER (stage = 'pre') AS pred_html_pre,
                max(pred_html) FILTER (stage = 'post') AS pred_html_post FROM preds GROUP BY sample_id"""),
     "pair_by_stem": _sql(_PATHS, """
-        SELECT stem, '/html/' || stem || '.html' AS html_path, path AS image_path FROM paths WHERE doc_id % 9 < 6 AND lang = 'en'"""),
+        SELECT stem, '/html/' || stem || '.html' AS html_path, path AS image_path FROM paths WHERE doc_id % 9 < 6"""),
     "batch_predict": _sql(_SAMPLES, f"""
         SELECT sample_id, 'pre' AS stage, CASE WHEN NOT {_FAILS} THEN {_ANSWER} END AS pred_html, {_ERROR} AS error FROM samples"""),
     "eval_predict": _sql(_SAMPLES, f"""

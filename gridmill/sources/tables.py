@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gridmill import schema as S
 from gridmill.functions import html as H
 from gridmill.operators import predict as P, ranking as T
+from gridmill.sources.work import stage
 
 # Suffixes that count as images.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tiff", ".webp")
@@ -29,12 +30,12 @@ def only_images(files: DataFrame) -> DataFrame:
 
 
 def scan_images(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
-    """Image files directly inside a folder; a missing or empty folder gives no rows."""
+    """Image files directly inside a folder; a missing or empty folder gives no rows (a stream needs one)."""
     reader = (spark.readStream if streaming else spark.read).format("binaryFile").schema(S.IMAGES)
     try:
         return only_images(reader.load(folder))
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if streaming or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], S.IMAGES)
 
@@ -67,6 +68,7 @@ def export_predictions(files: DataFrame, out: str) -> None:
 
 def export_ocr(results: DataFrame, out: str) -> None:
     """Side-by-side html and the JSON summary of an OCR job."""
+    results = stage(results, "ocr")  # the model runs once for both files
     P.ocr_pairs(results).write.mode("overwrite").partitionBy("side").parquet(f"{out}/html_results")
     P.ocr_summary(results).write.mode("overwrite").json(f"{out}/ocr_results_summary")
 

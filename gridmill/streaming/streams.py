@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,7 +25,9 @@ def monitor(log: DataFrame, every: str = "5 minutes", late: str = "10 minutes")
 
 
 def throughput(log: DataFrame, batch: int, accum: int, every: int = 10) -> DataFrame:
-    """Samples per second between successive logs of a run, with the last log kept as state.
+    """Samples per second between successive logs of a run, with the log of the highest step kept as state.
+
+    A step that arrives after a higher one of an earlier trigger has no rate and changes no later one.
 
     Only (step, time) of the logged steps reaches a run's group, and only one trigger's worth of
     it; bound a trigger with maxFilesPerTrigger.
@@ -33,14 +36,15 @@ def throughput(log: DataFrame, batch: int, accum: int, every: int = 10) -> DataF
 
     def step_rate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(frames).sort_values("step", ignore_index=True)
-        last_step, last_us = state.get if state.exists else (None, None)
-        before = rows.shift(1)
-        if last_step is not None:
-            before.loc[0, ["step", "us"]] = [last_step, last_us]
-        moved = rows["step"] - before["step"]
-        seconds = (rows["us"] - before["us"]) / 1e6
-        rate = (moved * per_step / seconds.where(seconds != 0)).where(moved > 0)
-        state.update((int(rows["step"].iloc[-1]), int(rows["us"].iloc[-1])))
+        step, us = rows["step"].to_numpy("float64"), rows["us"].to_numpy("float64")
+        last_step, last_us = state.get if state.exists else (np.nan, np.nan)
+        new = np.flatnonzero(~(step <= last_step))  # comparisons with no state are false
+        moved, seconds = np.full(len(step), np.nan), np.full(len(step), np.nan)
+        moved[new] = np.diff(step[new], prepend=last_step)
+        seconds[new] = np.diff(us[new], prepend=last_us) / 1e6
+        rate = np.where((moved > 0) & (seconds != 0), moved * per_step / np.where(seconds == 0, np.nan, seconds), np.nan)
+        if len(new):
+            state.update((int(rows["step"].iloc[-1]), int(rows["us"].iloc[-1])))
         yield pd.DataFrame({"run_id": key[0], "step": rows["step"], "samples_per_sec": rate})
 
     logged = log.where(F.col("step") % every == 0).select("run_id", "step", F.unix_micros("ts").alias("us"))

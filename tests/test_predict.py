@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from gridmill import schema as S
 from gridmill.functions import messages as M, tokens as K
+from gridmill.sources import tables as IO
 from gridmill.operators import curate as C, predict as P, reports as R
 from gridmill.plans import flows, stubs
 
@@ -101,3 +102,21 @@ def test_evaluate_flow(spark):
     assert len(row) == 1 and row[0].n_evaluated == 10 and abs(row[0].avg_full - 0.8) < 1e-9
     first = flows.evaluate(df, stubs.stub_model, "pre", n=3).first()
     assert first.n_evaluated == 3 and first.avg_full == 1.0
+
+
+def test_exporting_ocr_runs_the_model_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def factory():
+        predict = stubs.stub_model()
+
+        def counting(prompts, images):
+            calls.add(len(images))
+            return predict(prompts, images)
+        return counting
+
+    rows = spark.createDataFrame([(i, "train", "<table>" + "x" * i, f"img{i}".encode()) for i in range(30)], S.SAMPLES)
+    IO.export_ocr(P.ocr_job(rows, factory, 20), str(tmp_path))
+    assert calls.value == 20
+    assert spark.read.json(f"{tmp_path}/ocr_results_summary").count() == 20
+    assert spark.read.parquet(f"{tmp_path}/html_results").count() == 2 * 16

@@ -111,3 +111,14 @@ def test_cadence(log, rows):
 def test_progress(spark, block):
     got = L.progress_marks(samples(spark, 105), F.col("sample_id") % 3 == 0, 20, block).orderBy("processed").collect()
     assert [(r.processed, r.valid) for r in got] == [(n, (n + 2) // 3) for n in (20, 40, 60, 80, 100)]
+
+
+@pytest.mark.parametrize("weight", [0, 1])
+def test_smoothing_at_the_ends_of_the_weight(spark, weight):
+    rows = [(r, s, float(s % 7)) for r in (1, 2) for s in range(1, 40)] + [(1, 99, None)]
+    log = spark.createDataFrame(rows, "run_id long, step long, loss double")
+    got = {(r.run_id, r.step): r.smoothed for r in L.ema_smooth(log, weight, index_block=10).collect()}
+    for run, step, loss in rows[:-1]:
+        seen = [float(s % 7) for s in range(1, step + 1)]
+        assert abs(got[run, step] - (loss if weight == 0 else sum(seen) / len(seen))) < 1e-9
+    assert len(got) == len(rows) - 1

@@ -89,3 +89,13 @@ def test_image_folder(spark, tmp_path):
     assert names(IO.scan_images(spark, str(folder))) == ["a.PNG", "b.jpeg", "e.webp"]
     assert names(ST.run_available(IO.scan_images(spark, str(folder), streaming=True))) == ["a.PNG", "b.jpeg", "e.webp"]
     assert IO.scan_images(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_throughput_with_late_files(spark, tmp_path):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [(1, 10, at(0), 1.0), (1, 30, at(100), 1.0), (1, 20, at(40), 1.0), (1, 40, at(400), 1.0)]
+    for k, row in enumerate(rows):
+        spark.createDataFrame([row], S.METRICS_LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+    stream = spark.readStream.schema(S.METRICS_LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
+    got = {r.step: r.samples_per_sec for r in ST.run_available(ST.throughput(stream, 1, 1)).collect()}
+    assert got == {10: None, 30: 0.2, 20: None, 40: 10 / 300}

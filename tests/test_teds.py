@@ -28,15 +28,17 @@ def test_cleaning_is_a_choice(spark):
         assert [r.teds_full for r in E.score_pairs(df, "t", "p", clean).orderBy("sample_id").collect()] == [1, 1]
 
 
-def test_node_cap_reports(spark):
-    out = E.score_pairs(pairs(spark, [(A, A.replace(">b<", ">c<"))]), "t", "p", node_cap=3).first()
-    assert out.teds_full is None and out.score_error.startswith("too_large")
+def test_equal_texts_obey_the_same_rules(spark):
+    bad = A.replace("<td>a", "<td colspan='x'>a")
+    rows = [(t, t) for t in ("<tablet>x", "<!-- <table> -->", A, bad, "<table/>")]
+    out = [(r.teds_full, r.score_error) for r in E.score_pairs(pairs(spark, rows), "t", "p").orderBy("sample_id").collect()]
+    assert [x[0] for x in out] == [0, 0, 1, None, 1] and out[3][1].startswith("parse_failed")
 
 
 def test_policies(spark):
     truth = spark.createDataFrame([(i, "train", A, b"i") for i in range(4)], S.SAMPLES)
     preds = spark.createDataFrame([(0, "s", A, None), (1, "s", None, "boom"), (2, "s", A.replace(">b<", ">c<"), None)], S.PREDICTIONS)
-    scored = E.eval_table(truth, preds)
+    scored = E.eval_table(truth, preds, ["s"])
     rows = {r.sample_id: (r.teds_full, r.error) for r in scored.collect()}
     assert rows == {0: (1.0, None), 1: (None, "boom"), 2: (.75, None), 3: (None, "no prediction")}
     zero = E.average_scores(scored, []).first()
@@ -44,8 +46,8 @@ def test_policies(spark):
     assert (zero.avg_full, zero.n_evaluated) == (1.75 / 4, 4) and (skip.avg_full, skip.n_evaluated) == (.875, 2)
     none = E.average_scores(scored.where("error is not null"), [], "skip").first()
     assert (none.avg_full, none.n_evaluated) == (0.0, 0)
-    by = {r.stage: r.n_evaluated for r in E.eval_by_stage(truth, preds).collect()}
-    assert by == {"s": 3, None: 1}
+    by = {r.stage: (r.n_evaluated, r.avg_full) for r in E.eval_by_stage(truth, preds, ["s", "t"]).collect()}
+    assert by == {"s": (4, 1.75 / 4), "t": (4, 0.0)}
 
 
 @pytest.mark.parametrize("tasks", [None, 3])
@@ -64,4 +66,15 @@ def test_shred_reads_what_scoring_refuses(spark):
     assert len(rows) == 3003
     assert (rows[0].tag, rows[0].colspan, rows[0].rowspan, rows[0].text) == ("td", None, 2, "a<b>c</b>")
     out = E.score_pairs(pairs(spark, [(deep, A), (A.replace(">a", " colspan='2'>a"), deep.replace("'x'", "'1'"))]), "t", "p").collect()
-    assert all(r.score_error.startswith("parse_failed") and r.teds_full is None for r in out)
+    assert out[0].score_error.startswith("parse_failed") and out[0].teds_full is None
+    assert out[1].score_error is None and 0 < out[1].teds_full < 0.01
+
+
+def test_deep_and_broken_tables(spark):
+    deep = lambda n, t: "<table>" + "<div>" * n + f"<tr><td>{t}</td></tr></table>"
+    broken = '<td a="' * 8000 + "'>" * 3
+    rows = [(deep(2000, "a"), deep(2000, "a") + " "), (deep(2000, "a"), deep(2000, "b")), (deep(2000, "a"), deep(1999, "a")),
+            (A, "<table>" + broken), (A, "<table>" + "<td" * 20000), (A, "<table>" + "<!--" * 20000 + ">")]
+    out = [(r.teds_full, r.score_error) for r in E.score_pairs(pairs(spark, rows), "t", "p").orderBy("sample_id").collect()]
+    assert [x[1] for x in out] == [None] * 6
+    assert [round(x[0] * 2003, 6) for x in out[:3]] == [2003, 2002, 2002]
