@@ -26,8 +26,12 @@ def with_reject_reason(df: DataFrame) -> DataFrame:
 
 
 def filter_and_clean(df: DataFrame) -> DataFrame:
-    """Keep valid samples, with their html replaced by its cleaned form."""
-    kept = with_reject_reason(df).where(F.col("reason").isNull())
+    """Keep valid samples, with their html replaced by its cleaned form.
+
+    A sample without html or image is never valid; said first, the scan can leave it out.
+    """
+    present = df.where(F.col("html_table").isNotNull() & F.col("image").isNotNull())
+    kept = with_reject_reason(present).where(F.col("reason").isNull())
     return kept.select(*[F.col("cleaned").alias(c) if c == "html_table" else F.col(c) for c in df.columns])
 
 

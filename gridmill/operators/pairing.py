@@ -17,6 +17,12 @@ def compare_stages(preds: DataFrame, before: str, after: str, value: str = "pred
     return preds.groupBy("sample_id").agg(at(before).alias(f"{value}_{before}"), at(after).alias(f"{value}_{after}"))
 
 
+def score_delta(scored: DataFrame, before: str, after: str, value: str = "teds_full") -> DataFrame:
+    """(sample_id, score_delta): how much higher the later stage scores; null where either has no score."""
+    at = lambda stage: F.max(F.when(F.col("stage") == stage, F.col(value)))
+    return scored.groupBy("sample_id").agg((at(after) - at(before)).alias("score_delta"))
+
+
 def pair_by_stem(images: DataFrame, pages: DataFrame) -> DataFrame:
     """Image x.png with page x.html, by file stem; page stems are unique, image stems may repeat."""
     left = pages.select(H.path_stem(F.col("path")).alias("stem"), F.col("path").alias("html_path"))

@@ -237,14 +237,14 @@ on_samples("training_step_plan", lambda df: R.step_plan(
 
 # --- sampling and ranking -----------------------------------------------------------------------
 
-on_samples("train_val_split", lambda df: flows.curate_and_split(df).select("sample_id", "split"))
+on_samples("train_val_split", flows.split_ids)
 on_samples("ratio_split", lambda df: S.split_exact(df.select("sample_id", "split"), 99, 100, 42))
 on_samples("seeded_shuffle", lambda df: S.seeded_index(df, 3407).select("sample_id", "position"))
 on_samples("assign_training_batches", lambda df: S.assign_batches(df, 4, 2, 4, 42, drop_last=True))
 on_samples("first_n_eval", lambda df: S.first_n(C.filter_and_clean(df), 10).select("sample_id", "html_table"))
 on_samples("tiered_eval_sample", lambda df: S.tiered_sample(df.select("sample_id", "split"), 4, 5))
 on_samples("topk_longest", lambda df: flows.holdout(df, 20).select("sample_id", "html_length", "html_table"))
-on_samples("topk_ranked", lambda df: T.export_manifest(flows.holdout(df, 20)))
+on_samples("topk_ranked", flows.manifest)
 
 
 # --- run logs -----------------------------------------------------------------------------------
@@ -273,7 +273,11 @@ def pair_predictions(spark, folder):
     return J.pair_predictions(truth, D.predictions(spark, folder))
 
 
-on_samples("compare_stages", lambda df: J.compare_stages(df, "pre", "post"), D.predictions)
+@query
+def compare_stages(spark, folder):
+    texts = J.compare_stages(D.predictions(spark, folder), "pre", "post")
+    return texts.join(J.score_delta(_scored(spark, folder), "pre", "post"), "sample_id", "left").withColumn(
+        "score_delta", F.round("score_delta", 6))
 
 
 @query

@@ -14,6 +14,16 @@ def curate_and_split(samples: DataFrame, num: int = 85, den: int = 100, seed: in
     return S.split_exact(work.stage(C.filter_and_clean(samples), "curated"), num, den, seed)
 
 
+def split_ids(samples: DataFrame, num: int = 85, den: int = 100, seed: int = 3407) -> DataFrame:
+    """(sample_id, split) of the valid samples; only their ids are stored."""
+    return S.split_exact(work.stage(C.filter_and_clean(samples).select("sample_id"), "valid_ids"), num, den, seed)
+
+
+def manifest(samples: DataFrame, k: int = 20) -> DataFrame:
+    """File names and lengths of the k longest valid samples, without fetching their rows."""
+    return T.export_manifest(T.topk_ids(C.filter_and_clean(samples), k))
+
+
 def holdout(samples: DataFrame, k: int = 20) -> DataFrame:
     """The k longest valid samples, cleaned and ranked.
 

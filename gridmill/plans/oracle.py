@@ -378,9 +378,13 @@ ORACLE: dict[str, str] = {
 
     "pair_predictions": _sql(_JUDGED + _PREDS, """
         SELECT sample_id, html_table, stage, pred_html, error FROM valid LEFT JOIN preds USING (sample_id)"""),
-    "compare_stages": _sql(_GRIDS + _PREDS, """
-        SELECT sample_id, max(pred_html) FILTER (stage = 'pre') AS pred_html_pre,
-               max(pred_html) FILTER (stage = 'post') AS pred_html_post FROM preds GROUP BY sample_id"""),
+    "compare_stages": _sql(_SCORED, """
+        SELECT sample_id, pred_html_pre, pred_html_post, score_delta FROM (
+          SELECT sample_id, max(pred_html) FILTER (stage = 'pre') AS pred_html_pre,
+                 max(pred_html) FILTER (stage = 'post') AS pred_html_post FROM preds GROUP BY sample_id)
+        LEFT JOIN (
+          SELECT sample_id, round(max(teds_full) FILTER (stage = 'post') - max(teds_full) FILTER (stage = 'pre'), 6) AS score_delta
+          FROM scores GROUP BY sample_id) USING (sample_id)"""),
     "pair_by_stem": _sql(_PATHS, """
         SELECT stem, '/html/' || stem || '.html' AS html_path, path AS image_path FROM paths WHERE doc_id % 9 < 6"""),
     "batch_predict": _sql(_SAMPLES, f"""

@@ -18,7 +18,11 @@ def clean_filter(samples: DataFrame) -> DataFrame:
 
 
 def monitor(log: DataFrame, every: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Snapshot of the log per tumbling window; rows later than the watermark are dropped."""
+    """Snapshot of the log per tumbling window.
+
+    In append mode rows later than the watermark are dropped and closed windows leave the state; complete mode
+    keeps both.
+    """
     return log.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("loss").alias("sum_loss"), F.max("step").alias("max_step"),
     ).select(F.col("w.start").alias("window_start"), "n", "sum_loss", "max_step")
