@@ -1,13 +1,16 @@
 """Batch prediction with a user-supplied model, and the jobs built on it.
 
-A predictor is given as a factory without arguments: it is called once per Python worker task
-and returns a function (prompts, images) -> texts. A text may be an exception: the error of that row
+A predictor is given as a factory without arguments: it is called once per Python worker, which keeps
+the latest predictor, and returns a function (prompts, images) -> texts. A text may be an exception: the error of that row
 alone. When a whole batch raises, its rows are retried one by one.
 """
 
+import pickle
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridmill.functions import html as H
@@ -33,9 +36,17 @@ def _answers(predict: Predictor, prompts: list, images: list) -> list:
     return [a for p, i in zip(prompts, images) for a in _answers(predict, [p], [i])]
 
 
+@lru_cache(maxsize=1)
+def loaded(pickled: bytes) -> Predictor:
+    """The predictor of a pickled factory; a worker that runs several tasks loads it once."""
+    return pickle.loads(pickled)()
+
+
 def _runner(factory: Callable[[], Predictor], batch: int, keep: list[str]):
+    pickled = cloudpickle.dumps(factory)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = factory()
+        predict = loaded(pickled)
         for frame in frames:
             prompts, images = frame["prompt"].tolist(), frame["image"].tolist()
             found = [a for at in range(0, len(frame), batch)
@@ -84,15 +95,16 @@ def dedup_predict(df: DataFrame, factory: Callable[[], Predictor], stage: str =
                   min_hot: int = HOT_ROWS, tasks: int | None = None) -> DataFrame:
     """`batch_predict`, generating once per distinct (prompt, image).
 
-    Duplicates collapse map-side before the shuffle, and the answers go back by a join that
-    spreads a key with many copies.
+    Keys are counted without the images; the image of a key's smallest sample_id is then fetched straight into
+    the prediction tasks, and the answers go back by a join that spreads a key with many copies.
     """
     rows = df.select("sample_id", "image", (F.lit("") if prompt is None else prompt).alias("prompt"))
     keyed = rows.withColumn("_key", content_key(F.col("prompt"), F.col("image")))
-    distinct = keyed.groupBy("_key").agg(
-        F.first("prompt").alias("prompt"), F.first("image").alias("image"), F.count(F.lit(1)).alias("n"))
     tasks = tasks or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    raw = materialize(run_predictor(distinct, ["_key", "n"], factory, batch, tasks))
+    distinct = keyed.groupBy("_key").agg(F.min("sample_id").alias("sample_id"), F.count(F.lit(1)).alias("n"))
+    dealt = lambda d: d.repartition(tasks, "_key", "sample_id")
+    chosen = dealt(keyed).join(dealt(distinct), ["_key", "sample_id"])
+    raw = materialize(run_predictor(chosen, ["_key", "n"], factory, batch))
     answers = _finished(raw, stage, on_error, clean)
     back = salted_join(answers.drop("n"), keyed.select("_key", "sample_id"), "_key",
                        counted_hot_keys(raw.select("_key", "n"), "_key", min_hot))

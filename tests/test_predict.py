@@ -1,3 +1,5 @@
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridmill import schema as S
@@ -104,19 +106,31 @@ def test_evaluate_flow(spark):
     assert first.n_evaluated == 3 and first.avg_full == 1.0
 
 
-def test_exporting_ocr_runs_the_model_once(spark, tmp_path):
-    calls = spark.sparkContext.accumulator(0)
-
+def counting(folder):
+    """A factory that leaves a file for every load and every answered image."""
     def factory():
         predict = stubs.stub_model()
+        (folder / f"load-{uuid.uuid4()}").touch()
 
-        def counting(prompts, images):
-            calls.add(len(images))
+        def counted(prompts, images):
+            for _ in images:
+                (folder / f"call-{uuid.uuid4()}").touch()
             return predict(prompts, images)
-        return counting
+        return counted
+    return factory
 
+
+def test_exporting_ocr_runs_the_model_once(spark, tmp_path):
     rows = spark.createDataFrame([(i, "train", "<table>" + "x" * i, f"img{i}".encode()) for i in range(30)], S.SAMPLES)
-    IO.export_ocr(P.ocr_job(rows, factory, 20), str(tmp_path))
-    assert calls.value == 20
-    assert spark.read.json(f"{tmp_path}/ocr_results_summary").count() == 20
-    assert spark.read.parquet(f"{tmp_path}/html_results").count() == 2 * 16
+    (tmp_path / "seen").mkdir()
+    IO.export_ocr(P.ocr_job(rows, counting(tmp_path / "seen"), 20), f"{tmp_path}/out")
+    assert len(list((tmp_path / "seen").glob("call-*"))) == 20
+    assert spark.read.json(f"{tmp_path}/out/ocr_results_summary").count() == 20
+    assert spark.read.parquet(f"{tmp_path}/out/html_results").count() == 2 * 16
+
+
+def test_a_worker_loads_the_model_once(spark, tmp_path):
+    df = images(spark, [f"i{n}" for n in range(60)])
+    assert P.dedup_predict(df, counting(tmp_path), tasks=40).count() == 60
+    assert len(list(tmp_path.glob("call-*"))) == 60
+    assert len(list(tmp_path.glob("load-*"))) <= 8  # workers of local[8], not tasks
