@@ -19,8 +19,18 @@ def work_dir(spark: SparkSession) -> str:
     return made
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{work_dir(spark)}/gridmill-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/gridmill/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application staged; for the end of a job, when no DataFrame reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep(df: DataFrame) -> DataFrame:

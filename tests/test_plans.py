@@ -82,3 +82,11 @@ def test_hot_key_table_is_bounded(spark):
     assert K.HOT_SHARE <= 10_000
     df = spark.range(1000).select((F.col("id") % 10).alias("k"))
     assert len(K.hot_keys(df, "k", min_rows=1)) == 10
+
+
+def test_staged_tables_can_be_removed(spark, monkeypatch, tmp_path):
+    from gridmill.sources import work
+    monkeypatch.setattr(work, "work_dir", lambda _: str(tmp_path))
+    assert work.stage(spark.range(5).toDF("id"), "x").count() == 5 and any(tmp_path.iterdir())
+    work.clear(spark)
+    assert not any(p.name.startswith("gridmill") for p in tmp_path.iterdir())
