@@ -17,8 +17,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-REMEMBERED = 160_000  # words kept per Python worker, and as many again that were used before
+REMEMBERED = 240_000  # words kept per Python worker, and as many again that were used before
 FAR = 1 << 40         # rank of a pair that no merge joins
+AT_ONCE = 2_000       # rows whose results a worker holds at a time
 
 # The characters of the Unicode property White_Space, which no piece of a word reaches across.
 WHITE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -35,24 +36,23 @@ def byte_letters() -> list[str]:
 class Memo(dict):
     """Results by key; when it is full, those that were not asked for since the last time are forgotten."""
 
-    def __init__(self):
+    def __init__(self, limit: int = REMEMBERED):
         super().__init__()
-        self.before = {}
+        self.before, self.limit = {}, limit
 
     def missing(self, keys) -> list:
         """The keys without a result; a result from before is taken over."""
         out = []
-        for key in keys:
-            if key not in self:
-                known = self.before.get(key)
-                if known is None:
-                    out.append(key)
-                else:
-                    self[key] = known
+        for key in set(keys).difference(self):
+            known = self.before.get(key)
+            if known is None:
+                out.append(key)
+            else:
+                self[key] = known
         return out
 
     def turn(self) -> None:
-        if len(self) > REMEMBERED:
+        if len(self) > self.limit:
             self.before = dict(self)
             self.clear()
 
@@ -176,7 +176,7 @@ class Vocabulary:
             words = [WORDS.findall(t) if t else [] for t in some]
             self.learn(self.words.missing(set().union(*words)))
             for w in words:
-                yield b"".join([self.words[x] for x in w])
+                yield b"".join(map(self.words.__getitem__, w))
 
     def decode(self, ids: bytes) -> str:
         """Without a decoder in the file, tokens are joined by a space, special ones too."""
@@ -211,9 +211,11 @@ def appended(df: DataFrame, text: str, added: T.StructType, make) -> DataFrame:
     fields = [T.StructField(name, f.dataType) for name, f in zip(kept, rows.schema.fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            arrays = make(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*kept, *added.names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                arrays = make(batch.column(batch.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*kept, *added.names])
 
     return rows.mapInArrow(run, T.StructType([*fields, *added.fields]))
 

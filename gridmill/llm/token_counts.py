@@ -110,7 +110,7 @@ class PrefixCounter:
             words = [WORDS.findall(t) if t else [] for t in some]
             self.learn(self.words.missing(set().union(*words)))
             for w in words:
-                yield list(accumulate([self.words[x] for x in w]))
+                yield list(accumulate(map(self.words.__getitem__, w)))
 
 
 @lru_cache(maxsize=4)

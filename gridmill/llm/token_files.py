@@ -27,6 +27,7 @@ from gridmill.llm.bpe import Memo, groups
 MAGIC = b"GMTB"
 HEAD = struct.Struct("<4sBIIQqII")
 SAMPLE = 64            # one directory entry for so many values
+CHUNKS = 600_000       # chunks remembered per Python worker, and as many again from before
 BLOCK_IDS = 2_000_000  # a block is closed once it has so many ids; a longer document has its own
 
 
@@ -121,8 +122,8 @@ class Encoder:
     a text may be cut before each such space.
     """
 
-    CUT = re.compile(r"(?= [^\s᠎])")
-    ODD = re.compile(r" [\s᠎]|^ | $")
+    CUT = re.compile(r"(?= [^\s\u180e])")
+    ODD = re.compile(r" [\s\u180e]")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives the tasks the cores
@@ -133,7 +134,7 @@ class Encoder:
         vocab = self.tool.get_vocab()
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.chunks = Memo()
+        self.chunks = Memo(CHUNKS)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
@@ -163,19 +164,19 @@ class Encoder:
             self.chunks[c] = self.chunks[c[:-1]] + self.chunks[c[-1]]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for some in groups(texts):
+        for some in groups(texts, 4_000_000):
             self.chunks.turn()
             cut = []
             for t in some:
                 if not t:
                     cut.append([])
-                elif self.ODD.search(t):
+                elif t[0] == " " or t[-1] == " " or self.ODD.search(t):
                     cut.append([c for c in self.CUT.split(t) if c])
                 else:
                     cut.append(t.replace(" ", "\0 ").split("\0") if "\0" not in t else self.CUT.split(t))
             self.learn(self.chunks.missing(set().union(*cut)))
             for chunks in cut:
-                yield b"".join([self.chunks[c] for c in chunks])
+                yield b"".join(map(self.chunks.__getitem__, chunks))
 
 
 @lru_cache(maxsize=2)

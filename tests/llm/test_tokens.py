@@ -50,9 +50,9 @@ def test_no_merge_crosses_a_forced_boundary():
     assert packed(cut) == v.merge(["x", cut, "y"])[1]
 
 
-def test_forgetting_changes_nothing(monkeypatch, word_tool, texts):
-    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+def test_forgetting_changes_nothing(word_tool, texts):
     v = bpe.Vocabulary(WORD_BPE)
+    v.words.limit = v.pieces.limit = 3
     for _ in range(2):
         for text, ids in zip(texts, v.encode(texts)):
             assert np.frombuffer(ids, "<u4").tolist() == ids_of(word_tool, text)
