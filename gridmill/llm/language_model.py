@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridmill.sources.work import fresh_path
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_200_000
 PARTS = 4096            # at most so many hash ranges
 BUCKETS = 65            # by the bit length of the context's count
 BINS, PER_OCTAVE, LOWEST = 1024, 8, -40  # bins of log2(ratio of two probabilities); the first is ratio 0
