@@ -47,8 +47,18 @@ BASE_RULES = (
          ignore_case=True, group=2, least=8, base=True),
     Rule("access", r"AKIA[A-Z0-9]+", least=16, base=True),
     Rule("hex", r"[0-9a-f]+", least=32, base=True))
+# What may part the pieces of a key: white space, quoting, line breaks written as escapes. A piece is a long run of base64,
+# one that ends in padding, or all that is on its line.
+_GAP = r"""(?:[\s>"',]|\\+[nrt])"""
+_BREAK = r"(?:\n|\r|\\+[nr])"
+_PIECE = (rf"(?:{_GAP}*+[A-Za-z0-9+/]{{20,}}+={{0,2}}|{_GAP}++[A-Za-z0-9+/]++={{1,2}}"
+          rf"""|[\x20\t]*+{_BREAK}++[\x20\t>]*+[A-Za-z0-9+/]++(?=["',]*+[\x20\t]*+(?:{_BREAK}|\Z)))""")
+# A key goes from its header to its END line, whatever stands between but another line of dashes. Without an END line
+# it is the header with the attributes and pieces that follow.
+_KEY = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----"
+        rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info):[^\n\r\\]*+)*+{_PIECE}*+)")
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("forge_token", r"gh[opsru]_[A-Za-z0-9]{36,}"))
 RULES = BASE_RULES + MORE_RULES

@@ -87,6 +87,35 @@ def test_secrets_against_plain_search(spark):
     assert S.with_secrets(docs(spark, [])).collect() == []
 
 
+def planted_keys(rng):
+    """(text with a private key, pieces of its body): whole keys and keys without an END line."""
+    piece = lambda n: "".join(rng.choice("ABCDEFGHJKabcdefghjk0123456789+/") for _ in range(n))
+    for kind in ("", "RSA ", "OPENSSH ", "ENCRYPTED "):
+        for end in (f"-----END {kind}PRIVATE KEY-----", ""):
+            for line in ("\n", "\r\n", "\\n", "\n    ", "\n> ", " "):
+                body = [piece(64) for _ in range(3)] + [piece(19) + "="]
+                start = [f"-----BEGIN {kind}PRIVATE KEY-----"]
+                if kind == "RSA ":
+                    start += ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", ""] if line != " " else []
+                yield "before it " + line.join(start + body + [end]) + line + "after it all", body
+
+
+def test_private_keys_go_as_a_whole(spark):
+    keys = list(planted_keys(random.Random(3)))
+    out = [r["text"] for r in S.redacted(docs(spark, [k for k, _ in keys])).orderBy("doc_id").collect()]
+    for text, (was, body) in zip(out, keys, strict=True):
+        assert not any(b in text or b[:8] in text or b[-8:] in text for b in body) and "PRIVATE KEY" not in text, (was, text)
+        assert text.startswith("before it [SECRET]") and text.endswith("after it all") and text.count("[SECRET]") == 1
+    spans = [r["secrets"] for r in S.with_secrets(docs(spark, [k for k, _ in keys])).orderBy("doc_id").collect()]
+    for found, (was, body) in zip(spans, keys, strict=True):
+        key = next(s for s in found if s["kind"] == "private_key")
+        assert key["start"] == 10 and was[:key["end"]].rstrip().endswith(("-----", body[-1]))
+    apart = "-----BEGIN PRIVATE KEY----- is a header, -----BEGIN CERTIFICATE-----\nMIIabc\n-----END CERTIFICATE-----"
+    assert S.redacted(docs(spark, [apart])).first()["text"] == apart.replace("-----BEGIN PRIVATE KEY-----", "[SECRET]")
+    key = next(r for r in S.RULES if r.kind == "private_key")
+    assert S.trigram_query(key.pattern) == S.trigram_query("-----BEGIN [A-Z ]*PRIVATE KEY-----") != []
+
+
 def test_queries_hold_for_every_match():
     """What a rule demands is in each text that matches it; literals give demands, classes none."""
     assert S.trigram_query("[0-9a-f]+") == [] and S.trigram_query("a|secret") == [] and S.trigram_query("(abc)?x*") == []

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline as P
 from gridmill.llm.queries import WORD_BPE
 from tests.llm.helpers import DOCS, ODD, docs, prose
-from tests.llm.test_filters import plain_hits, plain_spans
+from tests.llm.test_filters import plain_hits, plain_spans, planted_keys
 from tests.llm.test_simhash import plain_fingerprint, plain_groups
 
 
@@ -37,6 +37,23 @@ def test_stages_on_planted_cases(spark, tmp_path):
         assert ("hunter2" in texts[i]) == bool(plain_spans(texts[i])) == ("[SECRET]" in r["text"])
 
 
+def test_no_part_of_a_private_key_is_left(spark, tmp_path):
+    rng = random.Random(12)
+    keys = list(planted_keys(rng))[::5]
+    texts = [f"{prose(rng, 60, 3000)} {key} {prose(rng, 60, 3000)}" for key, _ in keys] + [prose(rng, 80, 3000) for _ in range(20)]
+    texts += [" ".join(w + "###" for w in prose(rng, 60, 3000).split()) for _ in range(20)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i < len(texts) - 20), 0) for i in range(len(texts))]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(rng, 30, 3000))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {r["doc_id"]: r for r in P.run(spark, str(tmp_path)).collect()}
+    tool = Tokenizer.from_file(WORD_BPE)
+    for i, (key, body) in enumerate(keys):
+        text = rows[i]["text"]
+        assert "[SECRET]" in text and "PRIVATE KEY" not in text and not any(b[:8] in text or b[-8:] in text for b in body)
+        assert np.frombuffer(rows[i]["ids"], "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
+
+
 def test_each_stage_takes_odd_tables(spark):
     folder = "/root/testdata/sf0.001"
     odd = docs(spark, ODD + ODD[:3]).union(spark.createDataFrame([(None, "a b", None, None, None)] * 2, DOCS))
