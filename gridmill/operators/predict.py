@@ -96,14 +96,17 @@ def dedup_predict(df: DataFrame, factory: Callable[[], Predictor], stage: str =
     """`batch_predict`, generating once per distinct (prompt, image).
 
     Keys are counted without the images; the image of a key's smallest sample_id is then fetched straight into
-    the prediction tasks, and the answers go back by a join that spreads a key with many copies.
+    the prediction tasks, and the answers go back by a join that spreads a key with many copies. Ids may repeat or be
+    null: every row is kept once.
     """
     rows = df.select("sample_id", "image", (F.lit("") if prompt is None else prompt).alias("prompt"))
     keyed = rows.withColumn("_key", content_key(F.col("prompt"), F.col("image")))
+    known = F.coalesce(F.col("sample_id").cast("string"), F.lit("")).alias("_id")  # a key without ids is fetched by ''
     tasks = tasks or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = keyed.groupBy("_key").agg(F.min("sample_id").alias("sample_id"), F.count(F.lit(1)).alias("n"))
-    dealt = lambda d: d.repartition(tasks, "_key", "sample_id")
-    chosen = dealt(keyed).join(dealt(distinct), ["_key", "sample_id"])
+    dealt = lambda d: d.repartition(tasks, "_key", "_id")
+    chosen = dealt(keyed.select("_key", known, "prompt", "image")).join(dealt(distinct.select("_key", known, "n")), ["_key", "_id"])
+    chosen = chosen.dropDuplicates(["_key", "_id"])  # equal rows are in one partition already
     raw = materialize(run_predictor(chosen, ["_key", "n"], factory, batch))
     answers = _finished(raw, stage, on_error, clean)
     back = salted_join(answers.drop("n"), keyed.select("_key", "sample_id"), "_key",

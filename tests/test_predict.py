@@ -129,6 +129,18 @@ def test_exporting_ocr_runs_the_model_once(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/html_results").count() == 2 * 16
 
 
+def test_repeated_rows_and_null_ids_are_kept_once(spark, tmp_path):
+    rows = [(1, "train", None, b"a")] * 2 + [(None, "train", None, b"b")] * 2 + [(2, "train", None, b"c"), (None, "train", None, b"c")]
+    rows += [(None, "train", None, None), (3, "train", None, b"d"), (4, "train", None, b"d")]
+    df = spark.createDataFrame(rows, "sample_id long, split string, html_table string, image binary")
+    for min_hot in (1, 10 ** 6):
+        (tmp_path / str(min_hot)).mkdir()
+        model = counting(tmp_path / str(min_hot))
+        one, many = (sorted(map(str, f.collect())) for f in (P.dedup_predict(df, model, min_hot=min_hot), P.batch_predict(df, stubs.stub_model)))
+        assert one == many and len(one) == len(rows)
+        assert len(list((tmp_path / str(min_hot)).glob("call-*"))) == 5
+
+
 def test_a_worker_loads_the_model_once(spark, tmp_path):
     df = images(spark, [f"i{n}" for n in range(60)])
     assert P.dedup_predict(df, counting(tmp_path), tasks=40).count() == 60
