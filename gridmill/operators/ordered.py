@@ -42,6 +42,26 @@ def earlier(window) -> object:
     return window.rowsBetween(W.unboundedPreceding, -1)
 
 
+def with_totals_before(df: DataFrame, aggs: list[Column], names: list[str], levels: int = 2, size: int = BLOCK) -> DataFrame:
+    """`with_carry` of the totals `names` of earlier blocks as {name}_before, for one run over the whole table.
+
+    Totals are added up in groups of `size` blocks, those in groups again, and only the groups of the last level,
+    at most 16 of a 64-bit number, share a window.
+    """
+    def before(rows: DataFrame, levels: int) -> DataFrame:
+        rows = rows.withColumn("_group", div(F.col("_block"), size) if levels else F.lit(0))
+        over = earlier(W.partitionBy("_group").orderBy("_block"))
+        rows = rows.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(over), F.lit(0)) for c in names})
+        if not levels:
+            return rows.select("_block", *[f"{c}_before" for c in names])
+        groups = rows.groupBy(F.col("_group").alias("_block")).agg(*[F.sum(c).alias(c) for c in names])
+        above = before(groups, levels - 1).select(F.col("_block").alias("_group"), *[F.col(f"{c}_before").alias(f"{c}_above") for c in names])
+        return rows.join(above, "_group").select(
+            "_block", *[(F.col(f"{c}_before") + F.col(f"{c}_above")).alias(f"{c}_before") for c in names])
+
+    return df.join(before(df.groupBy("_block").agg(*aggs), levels), "_block")
+
+
 def with_index(df: DataFrame, by: list[str], order: str, size: int = BLOCK) -> DataFrame:
     """Add `pos`, the 0-based place of a row in its run."""
     blocked = with_block(df, order, size).withColumn("_rank", F.row_number().over(inside(by, order)))

@@ -147,10 +147,7 @@ def progress_marks(df: DataFrame, ok: Column, every: int, block: int = R.BLOCK)
     run = w.rowsBetween(W.unboundedPreceding, 0)
     rows = R.with_block(flags, "sample_id", block).withColumns(
         {"_rank": F.row_number().over(w), "_valid": F.sum("_ok").over(run)})
-    rows = R.with_carry(
-        rows, [], [F.count(F.lit(1)).alias("_n"), F.sum("_ok").alias("_v")],
-        lambda before, whole: [F.coalesce(F.sum(c).over(R.earlier(before)), F.lit(0)).alias(f"{c}_before")
-                               for c in ("_n", "_v")])
+    rows = R.with_totals_before(rows, [F.count(F.lit(1)).alias("_n"), F.sum("_ok").alias("_v")], ["_n", "_v"])
     counted = rows.select((F.col("_rank") + F.col("_n_before")).alias("processed"),
                           (F.col("_valid") + F.col("_v_before")).alias("valid"))
     return counted.where(F.col("processed") % every == 0)

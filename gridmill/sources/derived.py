@@ -6,7 +6,7 @@ Everything is computed row by row from `documents` (one table row per line of pr
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from gridmill.functions import order as O
 
@@ -159,12 +159,15 @@ def batched_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_turns(spark: SparkSession, folder: str) -> DataFrame:
-    """(conv_id, messages): up to two opening turns of every conversation.
+    """(conv_id, messages): the messages of the two lowest turns of every conversation, whatever their numbers.
 
-    Two conditional maxima instead of collecting the turns, so a long conversation costs nothing.
+    The rank is cut per map task before the shuffle, so a long conversation sends two turns per task.
     """
-    at = lambda t: F.max(F.when(F.col("turn") == t, F.struct("role", F.col("text").alias("content"))))
-    both = table(spark, folder, "conversations").groupBy("conv_id").agg(at(0).alias("a"), at(1).alias("b"))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").withColumn(
+        "_r", F.dense_rank().over(W.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn")))).where(F.col("_r") <= 2)
+    message = F.when(F.col("turn").isNotNull(), F.struct("role", F.col("text").alias("content")))
+    at = lambda r: F.max(F.when(F.col("_r") == r, message))
+    both = turns.groupBy("conv_id").agg(at(1).alias("a"), at(2).alias("b"))
     return both.select("conv_id", F.array_compact(F.array("a", "b")).alias("messages"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridmill import schema as S
 from gridmill.operators import ordered as O, runlog as L
+from gridmill.sources import derived as D
 from tests.test_sampling import samples
 
 START = dt.datetime(2024, 1, 1)
@@ -113,6 +114,29 @@ def test_progress(spark, block):
     assert [(r.processed, r.valid) for r in got] == [(n, (n + 2) // 3) for n in (20, 40, 60, 80, 100)]
 
 
+def test_progress_over_sparse_ids(spark):
+    """Totals of earlier blocks are added up by groups of blocks, so ids far apart do not meet in one window."""
+    rng = random.Random(5)
+    ids = sorted({rng.randrange(-1000, 1 << 62) for _ in range(30)} | set(range(40)))
+    df = spark.createDataFrame([(i, rng.random() < .5) for i in ids], "sample_id long, ok boolean")
+    blocked = O.with_block(df, "sample_id", 2)
+    for size in (3, O.BLOCK):
+        rows = O.with_totals_before(blocked, [F.count(F.lit(1)).alias("n")], ["n"], size=size).collect()
+        assert len(rows) == len(ids) and all(r.n_before == sum(i // 2 < r.sample_id // 2 for i in ids) for r in rows if r.sample_id >= 0)
+    marks = L.progress_marks(df, F.col("ok"), 10, 2)
+    ok = dict(df.collect())
+    assert {(r.processed, r.valid) for r in marks.collect()} == {(n, sum(ok[i] for i in ids[:n])) for n in range(10, len(ids) + 1, 10)}
+    assert "_group" in marks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_opening_turns_are_those_with_the_lowest_numbers(spark, tmp_path):
+    turns = [(1, t, "user", f"t{t}") for t in (5, 3, 0, 7)] + [(2, t, "user", f"t{t}") for t in (9, 4, 6)] + [(3, 2, "user", "t2")]
+    turns += [(4, None, "user", "x"), (5, None, "user", "x"), (5, 1, "user", "t1"), (5, 1, "user", "t1"), (5, 8, None, None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: [m.content for m in r.messages] for r in D.first_turns(spark, str(tmp_path)).collect()}
+    assert got == {1: ["t0", "t3"], 2: ["t4", "t6"], 3: ["t2"], 4: [], 5: ["t1", None]}
+
+
 @pytest.mark.parametrize("weight", [0, 1])
 def test_smoothing_at_the_ends_of_the_weight(spark, weight):
     rows = [(r, s, float(s % 7)) for r in (1, 2) for s in range(1, 40)] + [(1, 99, None)]
