@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridmill.llm import (bpe, decontaminate, language_model, oracle, quality_rank, quality_rules, secrets, simhash, token_counts,
-                          token_files, url_filter)
+from gridmill.llm import (bpe, decontaminate, language_model, merkle, oracle, quality_rank, quality_rules, secrets, simhash,
+                          token_counts, token_files, url_filter)
 from gridmill.sources.work import fresh_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -94,7 +94,17 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *counts, quality_rules.base_failed().alias("base_failed"), "kept")
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda n_chars: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    more = F.col("n_chars").cast("decimal(20)") + 1
+    made = merkle.manifest(docs, "lang", "doc_id", leaf(F.col("n_chars")), F.when(tampered, leaf(more)))
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_token_counts, op3_token_files, op4_url_filter, op5_secrets, op6_quality_rank, op7_language_model,
-    op8_bpe, op9_decontaminate, op10_quality_rules)}
+    op8_bpe, op9_decontaminate, op10_quality_rules, op12_merkle_manifest)}
 ORACLE = oracle.ORACLE
