@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridmill.llm import (bpe, decontaminate, language_model, merkle, oracle, quality_rank, quality_rules, secrets, simhash,
+from gridmill.llm import (bpe, conversations, decontaminate, language_model, merkle, oracle, quality_rank, quality_rules, secrets, simhash,
                           token_counts, token_files, url_filter)
 from gridmill.sources.work import fresh_path
 
@@ -104,7 +104,13 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.audit(conversations.damaged(rows)).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_token_counts, op3_token_files, op4_url_filter, op5_secrets, op6_quality_rank, op7_language_model,
-    op8_bpe, op9_decontaminate, op10_quality_rules, op12_merkle_manifest)}
+    op8_bpe, op9_decontaminate, op10_quality_rules, op12_merkle_manifest,
+    op13_conversation_repair)}
 ORACLE = oracle.ORACLE
