@@ -1,8 +1,12 @@
 """Batch prediction with a user-supplied model, and the jobs built on it.
 
-A predictor is given as a factory without arguments: it is called once per Python worker, which keeps
-the latest predictor, and returns a function (prompts, images) -> texts. A text may be an exception: the error of that row
-alone. When a whole batch raises, its rows are retried one by one.
+A predictor is given as a factory without arguments: it is called at the start of a task and returns a function
+(prompts, images) -> texts. A text may be an exception: the error of that row alone. When a whole batch raises, its rows are
+retried one by one.
+
+A model is dear to load, so a job has as many prediction tasks as there are places to run them (`workers`), however many
+partitions its input has; Python workers that Spark reuses load it less often still. On clusters with stage-level
+scheduling a resource profile gives those tasks executors of their own.
 """
 
 import pickle
@@ -11,13 +15,15 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.resource import ResourceProfile
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T_
 
 from gridmill.functions import html as H
 from gridmill.operators import curate as C, ranking as T
 from gridmill.operators.pairing import content_key
-from gridmill.operators.skew import HOT_ROWS, counted_hot_keys, salted_join
-from gridmill.sources.work import keep as materialize
+from gridmill.operators.skew import HOT_ROWS, counted_hot_keys, once_per_task, salted_join
+from gridmill.sources.work import keep as materialize, stage as store
 
 Predictor = Callable[[list[str], list[bytes]], list[str]]
 
@@ -38,36 +44,57 @@ def _answers(predict: Predictor, prompts: list, images: list) -> list:
 
 @lru_cache(maxsize=1)
 def loaded(pickled: bytes) -> Predictor:
-    """The predictor of a pickled factory; a worker that runs several tasks loads it once."""
+    """The predictor of a pickled factory; a Python worker that Spark reuses keeps it."""
     return pickle.loads(pickled)()
 
 
-def _runner(factory: Callable[[], Predictor], batch: int, keep: list[str]):
+def _runner(factory: Callable[[], Predictor], batch: int, budget: int, keep: list[str]):
     pickled = cloudpickle.dumps(factory)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = loaded(pickled)
+        predict = None
         for frame in frames:
+            predict = predict or loaded(pickled)  # not for an empty partition
             prompts, images = frame["prompt"].tolist(), frame["image"].tolist()
-            found = [a for at in range(0, len(frame), batch)
-                     for a in _answers(predict, prompts[at:at + batch], images[at:at + batch])]
+            found = [a for i, j in batches(prompts, images, batch, budget) for a in _answers(predict, prompts[i:j], images[i:j])]
             failed = [isinstance(a, Exception) for a in found]
             yield frame[keep].assign(text=[None if bad else a for a, bad in zip(found, failed)],
                                      error=[str(a) if bad else None for a, bad in zip(found, failed)])
     return run
 
 
-def run_predictor(df: DataFrame, keep: list[str], factory: Callable[[], Predictor], batch: int = 8,
-                  tasks: int | None = None) -> DataFrame:
+def batches(prompts: list, images: list, most: int, budget: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `most` rows whose prompts and images have at most `budget` bytes; a larger row is alone."""
+    start = size = 0
+    for at, (prompt, image) in enumerate(zip(prompts, images)):
+        own = len(prompt or "") + len(image or b"")
+        if at > start and (at - start == most or size + own > budget):
+            yield start, at
+            start, size = at, 0
+        size += own
+    if start < len(prompts):
+        yield start, len(prompts)
+
+
+def slots(df: DataFrame) -> int:
+    """Tasks that run at the same time."""
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
+def run_predictor(df: DataFrame, keep: list[str], factory: Callable[[], Predictor], batch: int = 8, budget: int = 64 << 20,
+                  workers: int | None = None, spread: bool = False, profile: ResourceProfile | None = None) -> DataFrame:
     """Columns `keep` plus (text, error) for every row with a prompt and an image.
 
-    With `tasks` the rows are dealt over that many tasks first, which a source with few splits or
-    a shuffle merged by bytes calls for: prediction time has nothing to do with input bytes.
+    At most `workers` tasks (default: as many as run at once) load the model once each. Rows stay where they are and
+    partitions are put together; with `spread` they are dealt out first, which a source with few splits or a shuffle
+    merged by bytes calls for: prediction time has nothing to do with input bytes. A batch has at most `batch` rows and
+    `budget` bytes of prompts and images.
     """
+    n = workers or slots(df)
     rows = df.select(*keep, "prompt", "image")
-    rows = rows if tasks is None else rows.repartition(tasks, keep[0])
+    rows = rows.repartition(n) if spread else rows.coalesce(n)
     schema = df.select(*keep).schema.add("text", "string").add("error", "string")
-    return rows.mapInPandas(_runner(factory, batch, keep), schema)
+    return rows.mapInPandas(_runner(factory, batch, budget, keep), schema, profile=profile)
 
 
 def _finished(raw: DataFrame, stage: str, on_error: str, clean: str) -> DataFrame:
@@ -79,41 +106,84 @@ def _finished(raw: DataFrame, stage: str, on_error: str, clean: str) -> DataFram
 
 
 def batch_predict(df: DataFrame, factory: Callable[[], Predictor], stage: str = "pre", prompt: Column | None = None,
-                  on_error: str = "report", clean: str = "full", batch: int = 8, tasks: int | None = None) -> DataFrame:
+                  on_error: str = "report", clean: str = "full", batch: int = 8, workers: int | None = None, spread: bool = False,
+                  profile: ResourceProfile | None = None) -> DataFrame:
     """(sample_id, stage, pred_html, error); a failing row gives null, '' or 'Error: ...'.
 
     The answers are checkpointed: a model call is too dear, and seldom repeatable enough, to be
     run again by every branch that reads them.
     """
     rows = df.select("sample_id", "image", (F.lit("") if prompt is None else prompt).alias("prompt"))
-    raw = materialize(run_predictor(rows, ["sample_id"], factory, batch, tasks))
+    raw = materialize(run_predictor(rows, ["sample_id"], factory, batch, workers=workers, spread=spread, profile=profile))
     return _finished(raw, stage, on_error, clean).select("sample_id", "stage", "pred_html", "error")
 
 
+def _keyed(df: DataFrame, prompt: Column | None) -> DataFrame:
+    rows = df.select("sample_id", "image", (F.lit("") if prompt is None else prompt).alias("prompt"))
+    return rows.withColumn("_key", content_key(F.col("prompt"), F.col("image")))
+
+
+KNOWN_ROWS = 100_000  # cached keys, 64 bytes each, that are broadcast
+
+
+def _one_per_key(keyed: DataFrame, known: DataFrame | None, workers: int) -> DataFrame:
+    """(_key, prompt, image): one row of each key that is not known, in `workers` partitions.
+
+    A key has many copies, so a partition first drops those it has seen, and one row per task and key crosses the shuffle
+    at most. A small cache filters rows before that, a large one where they arrive: images are shuffled once either way.
+    """
+    deal = lambda df: df.repartition(workers, "_key")
+    local = keyed.select("_key", "prompt", "image")
+    if known is None:
+        dealt = deal(once_per_task(local, "_key"))
+    elif known.count() <= KNOWN_ROWS:
+        dealt = deal(once_per_task(local.join(F.broadcast(known.select("_key")), "_key", "left_anti"), "_key"))
+    else:
+        dealt = deal(once_per_task(local, "_key")).join(deal(known.select("_key")), "_key", "left_anti")
+    return dealt.dropDuplicates(["_key"])
+
+
 def dedup_predict(df: DataFrame, factory: Callable[[], Predictor], stage: str = "pre", prompt: Column | None = None,
-                  on_error: str = "report", clean: str = "full", batch: int = 8,
-                  min_hot: int = HOT_ROWS, tasks: int | None = None) -> DataFrame:
+                  on_error: str = "report", clean: str = "full", batch: int = 8, min_hot: int = HOT_ROWS,
+                  workers: int | None = None, cache: str | None = None, profile: ResourceProfile | None = None) -> DataFrame:
     """`batch_predict`, generating once per distinct (prompt, image).
 
-    Keys are counted without the images; the image of a key's smallest sample_id is then fetched straight into
-    the prediction tasks, and the answers go back by a join that spreads a key with many copies. Ids may repeat or be
+    Keys are counted without the images and stored; images of equal content are dropped in the task that reads them, so a copy
+    does not cross the shuffle; the answers go back by a join that spreads a key with many copies. Ids may repeat or be
     null: every row is kept once.
+
+    `cache` names a table of answers by key, one per model and prompt template: known keys are not predicted again, new answers are
+    appended. Errors are not kept, so a failed key is tried again.
     """
-    rows = df.select("sample_id", "image", (F.lit("") if prompt is None else prompt).alias("prompt"))
-    keyed = rows.withColumn("_key", content_key(F.col("prompt"), F.col("image")))
-    known = F.coalesce(F.col("sample_id").cast("string"), F.lit("")).alias("_id")  # a key without ids is fetched by ''
-    tasks = tasks or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = keyed.groupBy("_key").agg(F.min("sample_id").alias("sample_id"), F.count(F.lit(1)).alias("n"))
-    dealt = lambda d: d.repartition(tasks, "_key", "_id")
-    chosen = dealt(keyed.select("_key", known, "prompt", "image")).join(dealt(distinct.select("_key", known, "n")), ["_key", "_id"])
-    chosen = chosen.dropDuplicates(["_key", "_id"])  # equal rows are in one partition already
-    raw = materialize(run_predictor(chosen, ["_key", "n"], factory, batch))
+    workers = workers or slots(df)
+    keyed = _keyed(df, prompt)
+    rows = store(keyed.select("sample_id", "_key"), "keys")
+    distinct = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
+    known = cached_answers(df.sparkSession, cache)
+    new = materialize(run_predictor(_one_per_key(keyed, known, workers), ["_key"], factory, batch, workers=workers, profile=profile))
+    if cache is not None:
+        new.where("error IS NULL").select("_key", "text").write.mode("append").parquet(cache)
+    raw = new if known is None else new.unionByName(
+        known.join(distinct.select("_key"), "_key", "left_semi").withColumn("error", F.lit(None).cast("string")))
     answers = _finished(raw, stage, on_error, clean)
-    back = salted_join(answers.drop("n"), keyed.select("_key", "sample_id"), "_key",
-                       counted_hot_keys(raw.select("_key", "n"), "_key", min_hot))
+    back = salted_join(answers, rows, "_key", counted_hot_keys(distinct, "_key", min_hot), spread=["sample_id"])
     return back.select("sample_id", "stage", "pred_html", "error")
 
 
+def cached_answers(spark: SparkSession, cache: str | None) -> DataFrame | None:
+    """(_key, text) of a stored cache as it is now; a key that two jobs answered has one row. None without a cache."""
+    if cache is None:
+        return None
+    schema = T_.StructType([T_.StructField("_key", T_.StringType()), T_.StructField("text", T_.StringType())])
+    try:
+        found = spark.read.schema(schema).parquet(cache)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return store(found.groupBy("_key").agg(F.min("text").alias("text")), "cached")
+
+
 def tokenize(df: DataFrame, encode: Callable[[], Callable[[str], tuple]], text: str = "html_table") -> DataFrame:
     """Add (input_ids, labels, error) from a user-supplied encoder, given as a factory."""
     @F.pandas_udf("input_ids array<int>, labels array<int>, error string")
@@ -133,8 +203,11 @@ def tokenize(df: DataFrame, encode: Callable[[], Callable[[str], tuple]], text:
     return C.once(df, "_enc", run(F.col(text))).select(*df.columns, "_enc.input_ids", "_enc.labels", "_enc.error")
 
 
-def map_rows(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Opaque batch-of-rows Python; anything a Column can express belongs in `select`."""
+def map_rows(df: DataFrame, fn: dict[str, Column] | Callable[[pd.DataFrame], pd.DataFrame], schema: str | None = None) -> DataFrame:
+    """Row to row: named Columns, or an opaque function of batches of rows with the schema of what it returns."""
+    if schema is None:
+        return df.select(*[c.alias(n) for n, c in fn.items()])
+
     def run(frames):
         for frame in frames:
             yield fn(frame)
@@ -145,7 +218,8 @@ def ocr_job(df: DataFrame, factory: Callable[[], Predictor], k: int = 20, prompt
     """(row_index, html_table_length, ground_truth_html, ocr_result) of the k longest tables."""
     chosen = T.topk_longest(C.not_null_html(df), k)
     chosen = chosen.withColumn("prompt", F.lit("") if prompt is None else prompt)
-    raw = run_predictor(chosen, ["sample_id", "rank", "html_length", "html_table"], factory, batch=1, tasks=k)
+    raw = run_predictor(chosen, ["sample_id", "rank", "html_length", "html_table"], factory, batch=1,
+                        workers=min(k, slots(df)), spread=True)
     return _finished(raw, "ocr", on_error="prefix", clean="none").select(
         (F.col("rank") - 1).alias("row_index"), F.col("html_length").alias("html_table_length"),
         F.col("html_table").alias("ground_truth_html"), F.col("pred_html").alias("ocr_result"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridmill.functions.order import div
 from gridmill.operators import ordered as R
+from gridmill.sources.work import stage
 
 LOG_EVERY = 10        # fixed value: logs are looked at on every tenth step
 EVAL_FROM_STEP = 50   # fixed value: first step that may be evaluated
@@ -124,25 +125,28 @@ def append_metrics(log: DataFrame, evals: DataFrame, metrics: list[str], block:
     """
     packed = F.struct(*metrics)
     none = F.lit(None)
-    marks = log.select("run_id", "step", F.col("step").alias("_log"), F.lit(0).alias("_kind"),
-                       none.cast(evals.select(packed.alias("m")).schema["m"].dataType).alias("_m"))
-    marks = marks.unionByName(evals.select("run_id", "step", none.cast("bigint").alias("_log"),
-                                           F.lit(1).alias("_kind"), packed.alias("_m")))
+    row = log.select(F.struct("*").alias("_row"))
+    marks = row.select(F.col("_row.run_id").alias("run_id"), F.col("_row.step").alias("step"), F.col("_row.step").alias("_log"),
+                       F.lit(0).alias("_kind"), none.cast(evals.select(packed.alias("m")).schema["m"].dataType).alias("_m"), "_row")
+    marks = stage(marks.unionByName(evals.select(
+        "run_id", "step", none.cast("bigint").alias("_log"), F.lit(1).alias("_kind"), packed.alias("_m"),
+        none.cast(row.schema["_row"].dataType).alias("_row"))), "marks")  # both sources are read once
     w = R.inside(["run_id"], "step", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    marks = R.with_carry(
-        R.with_block(marks, "step", block).withColumn("_seen", F.max("_log").over(w)), ["run_id"],
+    seen = R.with_carry(
+        R.with_block(marks.drop("_row"), "step", block).withColumn("_seen", F.max("_log").over(w)), ["run_id"],
         [F.max("_log").alias("_top")],
         lambda before, whole: [F.max("_top").over(R.earlier(before)).alias("_carry")])
-    latest = (marks.where(F.col("_kind") == 1)
+    latest = (seen.where(F.col("_kind") == 1)
               .withColumn("step_of_log", F.coalesce("_seen", "_carry"))
               .groupBy("run_id", "step_of_log").agg(F.max_by("_m", "step").alias("_m"))
               .select("run_id", F.col("step_of_log").alias("step"), "_m"))
-    return log.join(latest, ["run_id", "step"], "left").select(*log.columns, *[F.col(f"_m.{m}") for m in metrics])
+    rows = marks.where(F.col("_kind") == 0).select("run_id", "step", "_row")
+    return rows.join(latest, ["run_id", "step"], "left").select("_row.*", *[F.col(f"_m.{m}") for m in metrics])
 
 
 def progress_marks(df: DataFrame, ok: Column, every: int, block: int = R.BLOCK) -> DataFrame:
     """Rows processed and rows valid so far, reported at every `every`-th row by position."""
-    flags = df.select("sample_id", F.coalesce(ok, F.lit(False)).cast("bigint").alias("_ok"))
+    flags = stage(df.select("sample_id", F.coalesce(ok, F.lit(False)).cast("bigint").alias("_ok")), "flags")  # judged once
     w = R.inside([], "sample_id")
     run = w.rowsBetween(W.unboundedPreceding, 0)
     rows = R.with_block(flags, "sample_id", block).withColumns(

@@ -1,11 +1,15 @@
 """Joins that hold when one key owns a large part of the rows."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # A key is hot when it holds more than one in HOT_SHARE rows, so there are at most HOT_SHARE hot
 # keys and the table of them can be broadcast whatever the data size.
 HOT_SHARE = 10_000
 HOT_ROWS = 1_000_000  # and never below this many rows
+PACK = 10_000         # copies of an equal row that travel as one
 TRACKED = 65_536      # counters of the heavy-hitter sketch; error bound well below 1 / HOT_SHARE
 
 
@@ -33,8 +37,10 @@ def salted_join(one: DataFrame, many: DataFrame, key: str, hot: list[tuple], spr
                 how: str = "inner", tasks: int | None = None) -> DataFrame:
     """Join a table with unique keys to one whose keys repeat without bound.
 
-    Rows of a hot key are dealt over its salts by a hash of `spread` (default: all other columns)
-    and the matching unique row is repeated once per salt; other keys are joined as they are.
+    Rows of a hot key are dealt over its salts by a hash of `spread` (default: all other columns) and the matching unique
+    row is repeated once per salt; other keys are joined as they are. Equal rows have one hash, so those of hot keys are
+    counted first and travel as rows that stand for up to PACK copies; which row goes where depends on values alone, not
+    on the order in which a task that runs again meets them.
     `how` is inner, left (keep every row of `one`) or right (keep every row of `many`). With
     `tasks`, the join has that many partitions, which adaptive execution does not merge.
     """
@@ -44,12 +50,39 @@ def salted_join(one: DataFrame, many: DataFrame, key: str, hot: list[tuple], spr
     schema = many.select(key).schema.add("_salts", "integer")
     salts = F.broadcast(one.sparkSession.createDataFrame([(k, int(s)) for k, s in hot], schema))
     spread = spread or [c for c in many.columns if c != key]
-    dealt = many.join(salts, key, "left").withColumn(
-        "_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"), F.lit(0))
-    ).drop("_salts").withColumn("_hit", F.lit(True))
+    packed = many.join(salts, key).groupBy(*many.columns, "_salts").agg(F.count(F.lit(1)).alias("_n"))
+    packed = packed.withColumn("_pack", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / PACK))))
+    left = F.least(F.lit(PACK), F.col("_n") - F.col("_pack") * PACK).cast("int").alias("_times")
+    dealt = packed.select(*many.columns, F.pmod(F.xxhash64(*spread, "_pack"), F.col("_salts")).cast("int").alias("_salt"), left)
+    cold = many.join(salts, key, "left_anti").select(*many.columns, F.lit(0).alias("_salt"), F.lit(1).alias("_times"))
+    dealt = dealt.unionByName(cold).withColumn("_hit", F.lit(True))
     copies = one.join(salts, key, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
     joined = deal(copies, key, "_salt").join(deal(dealt, key, "_salt"), [key, "_salt"], how)
     if how == "left":  # a hot key has rows by definition: a copy that met none is not a miss
         joined = joined.where(F.col("_hit").isNotNull() | F.col("_salts").isNull())
-    return joined.drop("_salt", "_salts", "_hit")
+    repeated = joined.withColumn("_time", F.explode(F.array_repeat(F.lit(True), F.coalesce("_times", F.lit(1)))))
+    return repeated.drop("_salt", "_salts", "_hit", "_times", "_time")
+
+
+def once_per_task(df: DataFrame, key: str, remembered: int = 1 << 20) -> DataFrame:
+    """The rows without repeats of a key that the same task has already passed on.
+
+    A combiner for wide rows: what it lets through still has repeats of a key from several tasks, or beyond as many
+    keys as are `remembered`. Keys are digests or other short strings; null keys pass.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            new = []
+            for at, value in enumerate(batch.column(key).to_pylist()):
+                if value is None or value not in seen:
+                    new.append(at)
+                    if value is not None:
+                        seen.add(value)
+            if len(seen) > remembered:
+                seen.clear()
+            if new:
+                yield batch if len(new) == batch.num_rows else batch.take(pa.array(new, pa.int64()))
+
+    return df.mapInArrow(run, df.schema)

@@ -1,8 +1,8 @@
 """Scoring of predicted tables by tree-edit-distance similarity, as a Spark job.
 
 Much of the work is avoided or placed before any tree is read: blank and tableless sides are
-settled by Column expressions, the pairs left are spread over tasks by row, and a task scores
-equal pairs once. Only the comparison of one pair runs in Python.
+settled by Column expressions, of equal pairs one is scored, and the distinct pairs are dealt to tasks by
+estimated cost. Only the comparison of one pair runs in Python.
 """
 
 import hashlib
@@ -15,10 +15,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from gridmill import schema as S
 from gridmill.functions import html as H, tree
 from gridmill.operators import curate as C
-from gridmill.operators.skew import HOT_ROWS, hot_keys, salted_join
+from gridmill.operators.balance import dealt_by_cost
+from gridmill.operators.pairing import content_key
+from gridmill.operators.skew import HOT_ROWS, counted_hot_keys, hot_keys, once_per_task, salted_join
+from gridmill.sources.work import stage
 
 NODE_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
 SEEN = 200_000  # pairs remembered per task
+SCORES = T.StructType([T.StructField("key", T.StringType()), T.StructField("teds_structure", T.DoubleType()),
+                       T.StructField("teds_full", T.DoubleType()), T.StructField("score_error", T.StringType())])
+SCORE_TYPES = [pa.string(), pa.float64(), pa.float64(), pa.string()]
 
 CLEANERS = {"full": H.clean_html, "strip": H.strip, "none": lambda c: c}
 
@@ -89,15 +95,8 @@ def _scorer():
     return run
 
 
-def score_pairs(df: DataFrame, truth: str, pred: str, clean: str = "full", failure: Column | None = None,
-                tasks: int | None = None) -> DataFrame:
-    """Add teds_structure, teds_full and score_error; the two html columns are dropped.
-
-    `clean` is what both sides go through first: full, strip or none. A side that is null, blank
-    or has no table scores 0. Rows with a `failure` text get it as their error and no score. `tasks` deals the rows out by a hash
-    of the row, not of the pair, which spreads copies of one pair; without it they are scored
-    where they are.
-    """
+def _settled(df: DataFrame, truth: str, pred: str, clean: str, failure: Column | None) -> DataFrame:
+    """The other columns, `known` (the result where no tree is needed), `truth` and `pred` (null where it is known)."""
     clean_of = CLEANERS[clean]
     keep = [c for c in df.columns if c not in (truth, pred)]
     failure = F.lit(None).cast("string") if failure is None else failure
@@ -111,19 +110,71 @@ def score_pairs(df: DataFrame, truth: str, pred: str, clean: str = "full", failu
     known = F.when(F.col("_failure").isNotNull(), result(none, F.col("_failure"))).when(
         absent("truth") | absent("pred"), result(F.lit(0.0), none))
     cases = C.once(both, "known", known)
+    side = lambda c: F.when(F.col("known").isNull(), F.col(c)).alias(c)  # settled rows send no html to Python
+    return cases.select(*keep, "known", side("truth"), side("pred"))
 
-    # settled rows do not send their html to Python
-    is_open = F.col("known").isNull()
-    sent = cases.select(*keep, "known", F.when(is_open, F.col("truth")).alias("truth"),
-                        F.when(is_open, F.col("pred")).alias("pred"))
+
+def score_pairs(df: DataFrame, truth: str, pred: str, clean: str = "full", failure: Column | None = None,
+                tasks: int | None = None) -> DataFrame:
+    """Add teds_structure, teds_full and score_error where the rows are; the two html columns are dropped.
+
+    `clean` is what both sides go through first: full, strip or none. A side that is null, blank
+    or has no table scores 0. Rows with a `failure` text get it as their error and no score. `tasks` deals the rows out by a hash
+    of the row. For large tables `score_distinct` is the better way.
+    """
+    sent = _settled(df, truth, pred, clean, failure)
+    keep = [c for c in sent.columns if c not in ("known", "truth", "pred")]
     dealt = sent if tasks is None else sent.repartition(tasks, *keep)
     scored = C.once(dealt, "_s", _scorer()(F.col("truth"), F.col("pred")))
-    pick = lambda done, found: F.when(is_open, F.col(found)).otherwise(F.col(done))
+    pick = lambda done, found: F.when(F.col("known").isNull(), F.col(found)).otherwise(F.col(done))
     return scored.select(*keep, pick("known.score", "_s.teds_structure").alias("teds_structure"),
                          pick("known.score", "_s.teds_full").alias("teds_full"),
                          pick("known.error", "_s.score_error").alias("score_error"))
 
 
+def pair_cost(truth: Column, pred: Column) -> Column:
+    """About what a comparison takes: the product of the numbers of rows and cells, and reading both texts."""
+    nodes = lambda c: F.regexp_count(c, F.lit("(?i)<t[dhr]")).cast("double") + 1
+    return nodes(truth) * nodes(pred) + (F.length(truth) + F.length(pred)) / 20 + 1
+
+
+def _score_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = set()
+    for batch in batches:
+        rows = []
+        for key, truth, pred in zip(*(batch.column(c).to_pylist() for c in ("key", "truth", "pred"))):
+            if key not in seen:
+                seen.add(key)
+                rows.append((key, *_score(truth, pred)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SCORE_TYPES)], SCORES.names)
+
+
+def score_distinct(df: DataFrame, truth: str, pred: str, clean: str = "full", failure: Column | None = None, min_hot: int = HOT_ROWS,
+                   tasks: int | None = None) -> DataFrame:
+    """`score_pairs` for tables of any size: equal pairs are scored once and tasks have about equal cost.
+
+    Cleaned pairs are stored once. The costs of distinct pairs, by content digest, say where a pair is scored; copies are dropped in the
+    tasks that read them and meet the scores again by digest, a join that spreads pairs with many copies.
+    """
+    tasks = tasks or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = _settled(df, truth, pred, clean, failure)
+    keep = [c for c in sent.columns if c not in ("known", "truth", "pred")]
+    is_open = F.col("known").isNull()
+    both = stage(sent.withColumns({"key": F.when(is_open, content_key(F.col("truth"), F.col("pred"))),
+                                   "cost": F.when(is_open, pair_cost(F.col("truth"), F.col("pred")))}), "pairs")
+    todo = both.where("key IS NOT NULL")
+    costs = stage(todo.groupBy("key").agg(F.max("cost").alias("cost"), F.count(F.lit(1)).alias("n")), "costs")
+    copies = costs.agg(F.max("n")).first()[0] or 0
+    sides = todo.select("key", "truth", "pred")
+    dealt = dealt_by_cost(once_per_task(sides, "key") if copies > 1 else sides, costs, tasks)
+    scores = stage(dealt.mapInArrow(_score_once, SCORES), "scores")
+    found = salted_join(scores, todo.select(*keep, "key"), "key", counted_hot_keys(costs, "key", min_hot), spread=keep).drop("key")
+    settled = both.where("key IS NULL").select(*keep, F.col("known.score").alias("teds_structure"),
+                                               F.col("known.score").alias("teds_full"), F.col("known.error").alias("score_error"))
+    return found.select(*settled.columns).unionByName(settled)
+
+
 def eval_table(truth: DataFrame, preds: DataFrame, stages: list[str], clean: str = "full", min_hot: int = HOT_ROWS,
                tasks: int | None = None) -> DataFrame:
     """Every truth row at every expected stage with its prediction's scores.
@@ -131,18 +182,16 @@ def eval_table(truth: DataFrame, preds: DataFrame, stages: list[str], clean: str
     A failed generation leaves no row, so stages are named by the caller: what is missing or failed
     has an error and no score. Predictions of other stages are left out.
 
-    Pairs are scored in the tasks of the join. Their number is fixed: the time of a pair grows
-    with the product of its sizes, so merging small partitions by bytes would lose cores.
+    Distinct pairs are scored once, in `tasks` tasks of about equal cost.
     """
-    tasks = tasks or int(truth.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pair = F.concat_ws("/", "sample_id", "stage").alias("_pair")
     expected = truth.select("sample_id", F.explode(F.array(*map(F.lit, stages))).alias("stage"),
                             F.col("html_table").alias("truth_html")).select("*", pair)
     made = preds.where(F.col("stage").isin(*stages)).select(pair, "pred_html", "error")
-    pairs = salted_join(expected, made, "_pair", hot_keys(made, "_pair", min_hot), how="left", tasks=tasks).drop("_pair")
+    pairs = salted_join(expected, made, "_pair", hot_keys(made, "_pair", min_hot), how="left").drop("_pair")
     failure = F.when(F.col("pred_html").isNull() | F.col("error").isNotNull(),
                      F.coalesce(F.col("error"), F.lit("no prediction")))
-    scored = score_pairs(pairs.withColumn("_f", failure).drop("error"), "truth_html", "pred_html", clean, F.col("_f"))
+    scored = score_distinct(pairs.withColumn("_f", failure).drop("error"), "truth_html", "pred_html", clean, F.col("_f"), min_hot, tasks)
     return scored.drop("_f").withColumnRenamed("score_error", "error")
 
 

@@ -5,10 +5,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridmill.functions import html as H, messages as M, tokens as K
-from gridmill.operators import (curate as C, pairing as J, predict as P, ranking as T, reports as R, runlog as L,
+from gridmill.operators import (curate as C, observed as B, pairing as J, predict as P, ranking as T, reports as R, runlog as L,
                                 sampling as S, teds as E)
 from gridmill.plans import flows, stubs
-from gridmill.sources import derived as D, tables as IO, work
+from gridmill.sources import derived as D, keyed, tables as IO, work
+from gridmill.sources.files import write_files
 from gridmill.streaming import streams as ST
 
 INSTRUCTION = "Transcribe the pictured grid as markup."
@@ -65,7 +66,12 @@ def load_all_splits(spark, folder):
 
 
 on_samples("sample_n", lambda df: S.sample_n(df.select("sample_id", "split"), 5000, 42))
-on_samples("scan_image_folder", IO.only_images, D.image_paths)
+@query
+def scan_image_folder(spark, folder):
+    """The image files of a folder that holds a file per document."""
+    out = work.fresh_path(spark, "images")
+    write_files(D.image_files(spark, folder), out)
+    return IO.scan_images(spark, out).select(F.substring_index("path", "/", -1).alias("file"), "length")
 
 
 @query
@@ -80,7 +86,7 @@ def export_predictions(spark, folder):
     files = IO.prediction_files(D.predictions(spark, folder), ids, 20)
     path = work.fresh_path(spark, "predictions")
     IO.export_predictions(files, path)
-    return spark.read.parquet(path).select("stage", "rank", "html_file", "pred_html")
+    return IO.read_predictions(spark, path)
 
 
 def _ocr(spark, folder):
@@ -92,14 +98,20 @@ def ocr_job(spark, folder):
     return _ocr(spark, folder)
 
 
+def _exported(spark, folder):
+    path = work.fresh_path(spark, "ocr")
+    IO.export_ocr(_ocr(spark, folder), path)
+    return path
+
+
 @query
 def export_ocr_pairs(spark, folder):
-    return P.ocr_pairs(_ocr(spark, folder))
+    return IO.read_ocr_pairs(spark, _exported(spark, folder))
 
 
 @query
 def ocr_summary(spark, folder):
-    return P.ocr_summary(_ocr(spark, folder))
+    return IO.read_ocr_summary(spark, _exported(spark, folder))
 
 
 def _answers(spark, folder):
@@ -122,8 +134,12 @@ def status_split(spark, folder):
 
 @query
 def append_metrics(spark, folder):
-    merged = L.append_metrics(D.training_log(spark, folder), D.evaluations(spark, folder), ["avg_full", "n_evaluated"])
-    return merged.select("run_id", "step", "loss", F.round("avg_full", 6).alias("avg_full"), "n_evaluated")
+    """The stored log after a stream of evaluations has been merged into it."""
+    path = work.fresh_path(spark, "log")
+    IO.append_log(D.training_log(spark, folder), 0, path)
+    evals = D.evaluations(spark, folder, _stream(spark, folder, "events"))
+    IO.stream_metrics(evals, path, ["avg_full", "n_evaluated"], work.fresh_path(spark, "log-state"))
+    return keyed.read(spark, path).select("run_id", "step", "loss", F.round("avg_full", 6).alias("avg_full"), "n_evaluated")
 
 
 # --- scalar functions ---------------------------------------------------------------------------
@@ -225,8 +241,24 @@ on_samples("nonblank_pair", lambda df: C.nonblank(df, "truth", "pred").select("s
            lambda s, d: J.pair_predictions(
                D.samples(s, d).select("sample_id", html().alias("truth")),
                D.predictions(s, d).select("sample_id", "stage", F.col("pred_html").alias("pred"))))
-on_samples("require_non_empty", lambda df: C.require_non_empty(C.filter_and_clean(df)).agg(
-    F.count(F.lit(1)).alias("n")))
+SPLITS = ["train", "validation"]
+
+
+@query
+def require_non_empty(spark, folder):
+    """Rows of the curated table, after a write that fails where a split is left empty."""
+    out = work.fresh_path(spark, "curated")
+    B.write_curated(D.samples(spark, folder), out, SPLITS)
+    return IO.read_samples(spark, out).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def observed_filter_report(spark, folder):
+    """filter_report from the metrics of the write itself."""
+    metrics = B.write_curated(D.samples(spark, folder), work.fresh_path(spark, "curated"), SPLITS)
+    return B.filter_report(spark, metrics, SPLITS)
+
+
 on_samples("filter_report", R.filter_report)
 on_samples("reject_histogram", R.reject_histogram)
 on_samples("split_report", R.split_report)
@@ -275,9 +307,9 @@ def pair_predictions(spark, folder):
 
 @query
 def compare_stages(spark, folder):
-    texts = J.compare_stages(D.predictions(spark, folder), "pre", "post")
-    return texts.join(J.score_delta(_scored(spark, folder), "pre", "post"), "sample_id", "left").withColumn(
-        "score_delta", F.round("score_delta", 6))
+    preds = work.stage(D.predictions(spark, folder), "predictions")
+    truth = C.filter_and_clean(D.samples(spark, folder))
+    return flows.compare_stages(truth, preds, "pre", "post").withColumn("score_delta", F.round("score_delta", 6))
 
 
 @query
@@ -296,10 +328,8 @@ on_samples("dedup_predict", lambda df: _predictions(P.dedup_predict(df, stubs.st
 on_samples("tokenize", lambda df: P.tokenize(df.select("sample_id", "html_table"), stubs.stub_tokenizer).select(
     "sample_id", F.size("input_ids").alias("n_tokens"),
     F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("sum_ids"), "error"))
-on_samples("map_rows", lambda df: P.map_rows(
-    df.select("sample_id", "html_table"),
-    lambda f: f.assign(n_chars=f["html_table"].str.len().fillna(-1).astype("int64"))[["sample_id", "n_chars"]],
-    "sample_id long, n_chars long"))
+on_samples("map_rows", lambda df: P.map_rows(df, {
+    "sample_id": F.col("sample_id"), "n_chars": F.coalesce(F.length("html_table"), F.lit(-1)).cast("long")}))
 
 
 # --- scoring ------------------------------------------------------------------------------------
@@ -360,10 +390,18 @@ def stream_clean_filter(spark, folder):
     return done.select("sample_id", "split", "html_table", text("image").alias("image"))
 
 
+@query
+def stream_filter_report(spark, folder):
+    """filter_report from the metrics that the triggers of a cleaning stream report."""
+    stream = D.samples(spark, folder, lambda name: _stream(spark, folder, name))
+    _, progress = ST.run_watched(ST.watched(stream, SPLITS), B.Progress())
+    return B.filter_report(spark, progress.metrics(), SPLITS)
+
+
 @query
 def stream_monitor_5m(spark, folder):
     log = D.metrics_log(spark, folder, _stream(spark, folder, "events"))
-    done = ST.run_available(ST.monitor(log), "complete", "monitor")
+    done = ST.run_keyed(ST.monitor(log), ["window_start"], F.date_trunc("day", "window_start"), name="monitor")
     return done.select(F.unix_seconds("window_start").alias("window_start"), "n",
                        F.round("sum_loss", 4).alias("sum_loss"), "max_step")
 
@@ -371,17 +409,22 @@ def stream_monitor_5m(spark, folder):
 @query
 def stream_throughput(spark, folder):
     log = D.metrics_log(spark, folder, _stream(spark, folder, "events"))
-    done = ST.run_available(ST.throughput(log, 1, 4), name="throughput")
+    with ST.on_rocksdb(spark):
+        done = ST.run_available(ST.throughput(log, 1, 4), name="throughput")
     return done.select("run_id", "step", F.round("samples_per_sec", 6).alias("samples_per_sec"))
 
 
 @query
 def stream_dedup(spark, folder):
-    requests = _stream(spark, folder, "events").select(
-        F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", "user_id", "event_type", "props").alias("prompt"),
-        F.lit(None).cast("binary").alias("image"))
-    done = ST.run_available(ST.dedup(requests, "60 days"), name="dedup")
-    return done.select("prompt")
+    """Requests of an event stream: of equal ones the first is answered, with one model call for each content."""
+    events = _stream(spark, folder, "events")
+    requests = events.select(
+        F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("/", "event_type", "props").alias("prompt"),
+        F.col("user_id").cast("string").cast("binary").alias("image"))
+    requests = requests.withColumn("sample_id", F.xxhash64("prompt", "image"))
+    path = lambda name: work.fresh_path(spark, f"requests-{name}")
+    answers = ST.predict_once(ST.dedup(requests, "60 days"), stubs.stub_model, path("cache"), path("answers"), path("state"))
+    return answers.groupBy("pred_html", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -389,4 +432,4 @@ def stream_eval_avg(spark, folder):
     path = work.fresh_path(spark, "scored")
     _scored(spark, folder).write.parquet(path)
     stored = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return _rounded(ST.run_available(ST.eval_avg(stored), "complete", "averages"), "avg_structure", "avg_full")
+    return _rounded(ST.run_keyed(ST.eval_avg(stored), ["stage"], F.lit(0), name="averages"), "avg_structure", "avg_full")

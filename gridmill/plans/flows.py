@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 
-from gridmill.operators import curate as C, predict as P, ranking as T, sampling as S, teds as E
+from gridmill.operators import curate as C, pairing as J, predict as P, ranking as T, sampling as S, teds as E
 from gridmill.sources import work
 
 
@@ -34,6 +34,29 @@ def holdout(samples: DataFrame, k: int = 20) -> DataFrame:
     return C.filter_and_clean(T.with_ids(samples, ids, k))
 
 
+def stored_by_sample(df: DataFrame, name: str, buckets: int | None = None) -> DataFrame:
+    """Store rows in buckets of sample_id, sorted: tables stored this way with equal `buckets` are joined and grouped by
+    sample without a shuffle, however often. The table is in the session's catalog, its files are in the work folder."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = work.fresh_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    rows = df.repartition(n, "sample_id")  # one file per bucket
+    rows.write.bucketBy(n, "sample_id").sortBy("sample_id").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def compare_stages(truth: DataFrame, preds: DataFrame, before: str, after: str, value: str = "teds_full",
+                   clean: str = "full") -> DataFrame:
+    """One row per predicted sample: its text at either stage and how much higher the later one scores.
+
+    score_delta is null where either stage has no score or the sample is not in `truth`.
+    """
+    texts = J.compare_stages(preds, before, after)
+    delta = J.score_delta(E.eval_table(truth, preds, [before, after], clean), before, after, value)
+    return texts.join(delta, "sample_id", "left")
+
+
 def evaluate(samples: DataFrame, factory: Callable, stage: str, n: int | None = None,
              prompt: Column | None = None, policy: str = "zero") -> DataFrame:
     """Predict the first n valid samples (all of them by default), score them, average."""

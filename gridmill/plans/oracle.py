@@ -214,7 +214,9 @@ ORACLE: dict[str, str] = {
     "load_split": _sql(_SAMPLES, "SELECT * FROM samples WHERE split = 'validation'"),
     "load_all_splits": _sql(_SAMPLES, "SELECT sample_id, split, length(html_table) AS html_length FROM samples"),
     "sample_n": _sql(_SAMPLES, "SELECT sample_id, split FROM samples ORDER BY md5('42:' || sample_id), sample_id LIMIT 5000"),
-    "scan_image_folder": _sql(_PATHS, "SELECT path FROM paths WHERE doc_id % 9 < 6"),
+    "scan_image_folder": _sql(_PATHS, """
+        SELECT regexp_extract(path, '[^/]+$') AS file, octet_length(encode(text)) AS length
+        FROM paths JOIN documents USING (doc_id) WHERE doc_id % 9 < 6"""),
     "export_samples": _sql(_JUDGED, f"""
         SELECT rank, sample_id, 'sample_' || {_RANK} || '.png' AS image_file, 'sample_' || {_RANK} || '.html' AS html_file,
                html_length FROM ({_TOP20})"""),
@@ -418,10 +420,16 @@ ORACLE: dict[str, str] = {
     "stream_monitor_5m": _sql(_LOG, """
         SELECT CAST(epoch_us(ts) // 300000000 * 300 AS BIGINT) AS window_start, count(*) AS n, round(sum(loss), 4) AS sum_loss,
                max(step) AS max_step FROM log GROUP BY 1"""),
-    "stream_dedup": "SELECT DISTINCT user_id || '/' || event_type || '/' || props AS prompt FROM events",
+    "stream_dedup": """
+        SELECT CASE WHEN NOT fails THEN '<table><tr><td>' || image || '</td></tr></table>' END AS pred_html,
+               CASE WHEN fails THEN 'no table in ' || image END AS error, count(*) AS n
+        FROM (SELECT image, right(image, 1) IN ('4', '9') AS fails
+              FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS image, event_type, props FROM events))
+        GROUP BY ALL""",
 }
 ORACLE["stream_throughput"] = ORACLE["log_throughput"]
 ORACLE["stream_eval_avg"] = ORACLE["eval_by_stage"]
+ORACLE["observed_filter_report"] = ORACLE["stream_filter_report"] = ORACLE["filter_report"]
 
 # column types as the engine gives them, where SQL's own choice is wider or narrower
 _TYPES = {

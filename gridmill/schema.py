@@ -39,3 +39,10 @@ NODE = T.StructType([
     T.StructField("rowspan", T.IntegerType()),
     T.StructField("text", T.StringType()),
 ])
+
+OCR_SUMMARY = T.StructType([
+    T.StructField("row_index", T.IntegerType()),
+    T.StructField("html_table_length", T.IntegerType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("error_message", T.StringType()),
+])

@@ -124,9 +124,10 @@ def metrics_log(spark: SparkSession, folder: str, source: DataFrame | None = Non
                          F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("loss"))
 
 
-def evaluations(spark: SparkSession, folder: str) -> DataFrame:
-    """(run_id, step, avg_full, n_evaluated): purchases read as evaluations."""
-    return table(spark, folder, "events").where(F.col("event_type") == "purchase").select(
+def evaluations(spark: SparkSession, folder: str, source: DataFrame | None = None) -> DataFrame:
+    """(run_id, step, avg_full, n_evaluated): purchases read as evaluations; also from a streaming read of events."""
+    events = table(spark, folder, "events") if source is None else source
+    return events.where(F.col("event_type") == "purchase").select(
         F.col("user_id").alias("run_id"), F.col("event_id").alias("step"),
         (F.col("value") / 1000).alias("avg_full"), (F.col("event_id") % 10 + 1).alias("n_evaluated"))
 
@@ -136,12 +137,18 @@ def training_log(spark: SparkSession, folder: str) -> DataFrame:
     return metrics_log(spark, folder, table(spark, folder, "events").where(F.col("event_type") != "purchase"))
 
 
-def image_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """(path): one file per document, of nine kinds."""
+def image_paths(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """(path): one file per document, of nine kinds; and more columns of the document."""
     suffixes = F.array(*[F.lit(s) for s in (".jpg", ".JPEG", ".png", ".bmp", ".tiff", ".webp", ".txt", ".gif", "")])
     suffix = F.element_at(suffixes, (F.col("doc_id") % 9 + 1).cast("int"))
     return table(spark, folder, "documents").select(
-        F.concat(F.lit("/img/"), F.col("source"), F.lit("/d"), F.col("doc_id"), suffix).alias("path"))
+        F.concat(F.lit("/img/"), F.col("source"), F.lit("/d"), F.col("doc_id"), suffix).alias("path"), *more)
+
+
+def image_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, content): the files of `image_paths`, each with the text of its document."""
+    paths = image_paths(spark, folder, "text")
+    return paths.select(F.substring_index("path", "/", -1).alias("name"), F.col("text").cast("binary").alias("content"))
 
 
 def html_paths(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Readers and writers of sample, prediction and result tables."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridmill import schema as S
 from gridmill.functions import html as H
-from gridmill.operators import predict as P, ranking as T
+from gridmill.operators import predict as P, ranking as T, runlog as L
+from gridmill.sources import keyed
+from gridmill.sources.files import read_files, write_files
 from gridmill.sources.work import stage
 
 # Suffixes that count as images.
@@ -29,31 +31,51 @@ def only_images(files: DataFrame) -> DataFrame:
     return files.where(H.path_suffix(F.col("path")).isin(*IMAGE_SUFFIXES))
 
 
-def scan_images(spark: SparkSession, folder: str, streaming: bool = False) -> DataFrame:
-    """Image files directly inside a folder; a missing or empty folder gives no rows (a stream needs one)."""
-    reader = (spark.readStream if streaming else spark.read).format("binaryFile").schema(S.IMAGES)
+def _any_case(suffix: str) -> str:
+    return "*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix)
+
+
+IMAGE_GLOB = "{" + ",".join(map(_any_case, IMAGE_SUFFIXES)) + "}"
+
+
+def scan_images(spark: SparkSession, folder: str, streaming: bool = False, since: str | None = None) -> DataFrame:
+    """Image files directly inside a folder; a missing or empty folder gives no rows (a stream needs one).
+
+    Other files are left out while the folder is listed, and with `since` (a time, in the session's zone) those not changed after
+    it; a stream takes `since` as a filter. Contents are read only where `content` is used.
+    """
+    reader = (spark.readStream if streaming else spark.read).format("binaryFile").schema(S.IMAGES).option("pathGlobFilter", IMAGE_GLOB)
+    if since is not None and not streaming:
+        reader = reader.option("modifiedAfter", since)
     try:
-        return only_images(reader.load(folder))
+        found = only_images(reader.load(folder))
     except AnalysisException as e:
         if streaming or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], S.IMAGES)
+    return found if since is None else found.where(F.col("modificationTime") > F.lit(since).cast("timestamp"))
 
 
 def export_samples(df: DataFrame, k: int, out: str) -> DataFrame:
-    """Write the k longest rows with their file names, return the manifest."""
-    ranked = T.topk_longest(df, k)
-    files = ranked.select("rank", H.sample_file(F.col("rank"), ".png").alias("image_file"), "image",
-                          H.sample_file(F.col("rank"), ".html").alias("html_file"), "html_table")
-    files.write.mode("overwrite").parquet(out)
-    return T.export_manifest(ranked)
+    """Write the k longest rows as an image and an html file each, and return the manifest of the files that are there."""
+    ids = stage(T.topk_ids(df, k), "ranks")
+    files = T.with_ids(df, ids, k).select(F.inline(F.array(
+        F.struct(H.sample_file(F.col("rank"), ".png").alias("name"), F.col("image").alias("content")),
+        F.struct(H.sample_file(F.col("rank"), ".html").alias("name"), F.col("html_table").cast("binary").alias("content")))))
+    write_files(files, out)
+    name = F.regexp_replace("name", r"\.html$", "")
+    pages = read_files(df.sparkSession, out, "*.html").select(
+        name.alias("_stem"), F.length(F.col("content").cast("string")).alias("html_length"))
+    images = read_files(df.sparkSession, out, "*.png").select(F.regexp_replace("name", r"\.png$", "").alias("_stem"))
+    named = ids.select("rank", "sample_id", H.sample_file(F.col("rank"), "").alias("_stem"))
+    return T.export_manifest(named.join(pages.join(images, "_stem"), "_stem"))
 
 
 def prediction_files(preds: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
     """File name of every generated page of the ranked hold-out; failures write none."""
     good = preds.where(F.col("pred_html").isNotNull() & F.col("error").isNull())
     named = T.with_ids(good, ranks.select("sample_id", "rank"), k)
-    return named.select("stage", "rank", H.sample_file(F.col("rank"), "_pred.html").alias("html_file"), "pred_html")
+    return named.select("stage", H.sample_file(F.col("rank"), "_pred.html").alias("html_file"), "pred_html")
 
 
 def image_prediction_files(preds: DataFrame) -> DataFrame:
@@ -63,15 +85,69 @@ def image_prediction_files(preds: DataFrame) -> DataFrame:
 
 
 def export_predictions(files: DataFrame, out: str) -> None:
-    files.write.mode("overwrite").partitionBy("stage").parquet(out)
+    """One file per row, in a folder per stage."""
+    write_files(files.select(F.concat_ws("/", "stage", "html_file").alias("name"), F.col("pred_html").alias("content")), out)
+
+
+def read_predictions(spark: SparkSession, out: str) -> DataFrame:
+    """(stage, rank, html_file, pred_html) of the written pages; rank is null where the name has none."""
+    file = F.substring_index("name", "/", -1)
+    rank = F.regexp_extract(file, r"^sample_(\d+)_pred\.html$", 1)
+    return read_files(spark, out, "*.html").select(
+        F.substring_index("name", "/", 1).alias("stage"), F.nullif(rank, F.lit("")).cast("int").alias("rank"), file.alias("html_file"),
+        F.col("content").cast("string").alias("pred_html"))
 
 
 def export_ocr(results: DataFrame, out: str) -> None:
-    """Side-by-side html and the JSON summary of an OCR job."""
-    results = stage(results, "ocr")  # the model runs once for both files
-    P.ocr_pairs(results).write.mode("overwrite").partitionBy("side").parquet(f"{out}/html_results")
-    P.ocr_summary(results).write.mode("overwrite").json(f"{out}/ocr_results_summary")
+    """Side-by-side html files and the JSON summary of an OCR job."""
+    results = stage(results, "ocr")  # the model runs once for both
+    write_files(P.ocr_pairs(results).select(F.col("html_file").alias("name"), F.col("html").alias("content")), f"{out}/html_results")
+    P.ocr_summary(results).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{out}/ocr_results_summary")
+
+
+def read_ocr_pairs(spark: SparkSession, out: str) -> DataFrame:
+    """(row_index, side, html, html_file) of the written pages."""
+    at = lambda group: F.regexp_extract("name", r"^row_(\d+)_(.*)\.html$", group)
+    return read_files(spark, f"{out}/html_results", "*.html").select(
+        (at(1).cast("int") - 1).alias("row_index"), at(2).alias("side"), F.col("content").cast("string").alias("html"), F.col("name").alias("html_file"))
+
+
+def read_ocr_summary(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(S.OCR_SUMMARY).json(f"{out}/ocr_results_summary")
+
+
+# --- the stored training log ------------------------------------------------------------------------
+
+LOG_PARTS = 64  # a run's rows are in one of so many partitions of the stored log
+
+
+def _part_of_run() -> Column:
+    return F.pmod(F.xxhash64("run_id"), F.lit(LOG_PARTS))
+
+
+def append_log(rows: DataFrame, batch: int, path: str) -> None:
+    """Add log rows (run_id, step, ...), one per run and step, to a stored log; a batch that is added again changes nothing."""
+    keyed.merge(rows, batch, path, ["run_id", "step"], _part_of_run())
+
+
+def store_metrics(evals: DataFrame, batch: int, path: str, metrics: list[str]) -> None:
+    """Merge evaluations (run_id, step, metrics) into the last row of the stored log at or before their steps.
+
+    `eval_step` tells which evaluation a row holds: the one of the highest step wins, whatever the order of the batches,
+    and a batch that is stored again changes nothing. Evaluations before a run's first log row have no place.
+    """
+    spark = evals.sparkSession
+    evals = stage(evals.withColumn("eval_step", F.col("step")), "evals")
+    runs = evals.select(_part_of_run().cast("string").alias(keyed.PART)).distinct()
+    log = keyed.read_parts(spark, path, [r[0] for r in runs.collect()])  # at most LOG_PARTS
+    had = F.col("eval_step") if "eval_step" in log.columns else F.lit(None).cast("long")
+    slim = log.select("run_id", "step", had.alias("_had"))
+    placed = L.append_metrics(slim, evals, [*metrics, "eval_step"]).where(
+        F.col("eval_step").isNotNull() & (F.col("_had").isNull() | (F.col("eval_step") >= F.col("_had"))))
+    keyed.merge(placed.drop("_had"), batch, path, ["run_id", "step"], _part_of_run(), insert=False)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def stream_metrics(evals: DataFrame, path: str, metrics: list[str], state: str) -> None:
+    """`store_metrics` of a stream of evaluations, up to what is there; the next call with the same state goes on from there."""
+    evals.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(
+        lambda rows, batch: store_metrics(rows, batch, path, metrics)).start().awaitTermination()

@@ -6,9 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from gridmill.operators import curate as C, ranking as T, runlog as L, sampling as P, skew as K
+from gridmill.operators import curate as C, pairing as J, ranking as T, runlog as L, sampling as P, skew as K
 from gridmill.plans import flows
-from gridmill.sources import derived as D, tables as IO
+from gridmill.sources import derived as D, tables as IO, work
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -55,12 +55,45 @@ def test_split_shuffles_no_row(spark, tmp_path):
     assert "Exchange" not in plan(P.sample_n(samples, 10, 1)).split("===== Subqueries =====")[0]
 
 
-def test_pairs_are_scored_in_the_tasks_of_the_join(spark):
-    from gridmill.operators import teds as E
-    truth = spark.range(5).select(F.col("id").alias("sample_id"), F.lit("a").alias("html_table"))
-    preds = spark.range(5).select(F.col("id").alias("sample_id"), *[F.lit("a").alias(c) for c in ("stage", "pred_html", "error")])
-    text = plan(E.eval_table(truth, preds, ["a"]))
-    assert text.count("ArrowEvalPython") >= 1 and len(re.findall(r"\n\(\d+\) Exchange", text)) == 2
+def scans(text):
+    return len(re.findall(r"\n\(\d+\) Scan parquet", text))
+
+
+def test_judging_for_progress_marks_runs_once(spark, tmp_path, monkeypatch):
+    staged = []
+    monkeypatch.setattr(L, "stage", lambda df, name: staged.append(plan(df)) or work.stage(df, name))
+    samples = IO.read_samples(spark, stored(spark, tmp_path))
+    text = plan(L.progress_marks(C.with_reject_reason(samples), F.col("reason").isNull(), 1000))
+    assert [scans(t) for t in staged] == [1] and "Exchange" not in staged[0]
+    assert "```" not in text and "html_table" not in text  # what follows reads two numbers per row
+
+
+def test_metrics_read_both_sources_once(spark, tmp_path, monkeypatch):
+    staged = []
+    monkeypatch.setattr(L, "stage", lambda df, name: staged.append(plan(df)) or work.stage(df, name))
+    log = D.training_log(spark, FOLDER)
+    L.append_metrics(log, D.evaluations(spark, FOLDER), ["avg_full", "n_evaluated"])
+    assert [scans(t) for t in staged] == [2]
+
+
+def test_stored_predictions_pair_without_a_shuffle_of_html(spark):
+    truth = flows.stored_by_sample(C.filter_and_clean(D.samples(spark, FOLDER)).select("sample_id", "html_table"), "truth")
+    preds = flows.stored_by_sample(D.predictions(spark, FOLDER), "preds")
+    paired = J.pair_predictions(truth, preds).hint("merge")
+    text = plan(J.pair_predictions(truth.hint("merge"), preds))
+    assert "Exchange" not in text and text.count("Bucketed: true") == 2
+    assert paired.count() >= truth.count()
+    assert "Exchange" not in plan(J.compare_stages(preds, "pre", "post"))
+
+
+def test_images_are_listed_by_pushed_filters_without_contents(spark, tmp_path):
+    for name in ("a.PNG", "b.txt", "c.webp"):
+        (tmp_path / name).write_bytes(name.encode())
+    found = IO.scan_images(spark, str(tmp_path), since="2020-01-01 00:00:00")
+    text = plan(found.select("path", "length"))
+    assert re.search(r"PushedFilters: \[.*GreaterThan\(modificationTime", text) and "content" not in text.split("ReadSchema")[1]
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in found.collect()) == ["a.PNG", "c.webp"]
+    assert IO.scan_images(spark, str(tmp_path), since="2100-01-01 00:00:00").count() == 0
 
 
 def test_log_windows_are_cut_into_blocks(spark):
@@ -85,7 +118,6 @@ def test_hot_key_table_is_bounded(spark):
 
 
 def test_staged_tables_can_be_removed(spark, monkeypatch, tmp_path):
-    from gridmill.sources import work
     monkeypatch.setattr(work, "work_dir", lambda _: str(tmp_path))
     assert work.stage(spark.range(5).toDF("id"), "x").count() == 5 and any(tmp_path.iterdir())
     work.clear(spark)

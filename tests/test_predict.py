@@ -1,11 +1,14 @@
+import contextlib
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from gridmill import schema as S
 from gridmill.functions import messages as M, tokens as K
 from gridmill.sources import tables as IO
 from gridmill.operators import curate as C, predict as P, reports as R
+from gridmill.operators.skew import once_per_task
 from gridmill.plans import flows, stubs
 
 
@@ -125,8 +128,8 @@ def test_exporting_ocr_runs_the_model_once(spark, tmp_path):
     (tmp_path / "seen").mkdir()
     IO.export_ocr(P.ocr_job(rows, counting(tmp_path / "seen"), 20), f"{tmp_path}/out")
     assert len(list((tmp_path / "seen").glob("call-*"))) == 20
-    assert spark.read.json(f"{tmp_path}/out/ocr_results_summary").count() == 20
-    assert spark.read.parquet(f"{tmp_path}/out/html_results").count() == 2 * 16
+    assert IO.read_ocr_summary(spark, f"{tmp_path}/out").count() == 20
+    assert IO.read_ocr_pairs(spark, f"{tmp_path}/out").count() == 2 * 16
 
 
 def test_repeated_rows_and_null_ids_are_kept_once(spark, tmp_path):
@@ -141,8 +144,55 @@ def test_repeated_rows_and_null_ids_are_kept_once(spark, tmp_path):
         assert len(list((tmp_path / str(min_hot)).glob("call-*"))) == 5
 
 
-def test_a_worker_loads_the_model_once(spark, tmp_path):
-    df = images(spark, [f"i{n}" for n in range(60)])
-    assert P.dedup_predict(df, counting(tmp_path), tasks=40).count() == 60
-    assert len(list(tmp_path.glob("call-*"))) == 60
-    assert len(list(tmp_path.glob("load-*"))) <= 8  # workers of local[8], not tasks
+@contextlib.contextmanager
+def reuse(spark, on):
+    """Whether Spark keeps Python workers for later tasks."""
+    conf = spark._jvm.org.apache.spark.SparkEnv.get().conf()
+    before = conf.get("spark.python.worker.reuse", "true")
+    conf.set("spark.python.worker.reuse", str(on).lower())
+    try:
+        yield
+    finally:
+        conf.set("spark.python.worker.reuse", before)
+
+
+@pytest.mark.parametrize("on", [True, False])
+def test_model_loads_follow_slots_and_not_partitions(spark, tmp_path, on):
+    df = images(spark, [f"i{n}" for n in range(60)]).repartition(40)
+    with reuse(spark, on):
+        assert P.dedup_predict(df, counting(tmp_path)).count() == 60
+        assert len(list(tmp_path.glob("call-*"))) == 60
+        assert len(list(tmp_path.glob("load-*"))) <= 8
+        assert P.batch_predict(df, counting(tmp_path), workers=3).count() == 60
+        assert len(list(tmp_path.glob("load-*"))) <= 8 + 3
+        assert P.ocr_job(df, counting(tmp_path), 20).count() == 20
+        assert len(list(tmp_path.glob("load-*"))) <= 8 + 3 + 8
+    assert len(list(tmp_path.glob("call-*"))) == 140
+
+
+def test_batches_keep_to_rows_and_bytes():
+    parts = lambda sizes, most, budget: list(P.batches(["p"] * len(sizes), [b"x" * (n - 1) for n in sizes], most, budget))
+    assert parts([1, 1, 1, 1, 1], 2, 99) == [(0, 2), (2, 4), (4, 5)]
+    assert parts([5, 50, 5, 5, 1], 9, 10) == [(0, 1), (1, 2), (2, 4), (4, 5)]
+    assert parts([], 2, 9) == [] and list(P.batches([None], [None], 1, 1)) == [(0, 1)]
+
+
+def test_a_second_job_makes_no_model_call(spark, tmp_path):
+    df = images(spark, [f"i{n % 7}" for n in range(40)])
+    cache, seen = str(tmp_path / "cache"), tmp_path / "seen"
+    seen.mkdir()
+    calls = lambda: len(list(seen.glob("call-*")))
+    first = sorted(map(str, P.dedup_predict(df, counting(seen), cache=cache).collect()))
+    assert first == sorted(map(str, P.batch_predict(df, stubs.stub_model).collect())) and calls() == 7
+    # i4 fails and is tried again; all others are known
+    assert sorted(map(str, P.dedup_predict(df, counting(seen), cache=cache).collect())) == first and calls() == 8
+    more = images(spark, [f"i{n}" for n in range(10)])
+    assert P.dedup_predict(more, counting(seen), cache=cache).count() == 10 and calls() == 12
+
+
+def test_copies_do_not_cross_the_shuffle(spark, tmp_path):
+    df = images(spark, ["same"] * 5000 + ["other", None, None]).repartition(4)
+    keyed = P._keyed(df, None)
+    assert once_per_task(keyed, "_key").count() <= 3 * 4
+    assert P.dedup_predict(df, counting(tmp_path)).count() == 5003
+    assert len(list(tmp_path.glob("call-*"))) == 3

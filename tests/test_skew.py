@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridmill import schema as S
-from gridmill.operators import pairing as J, predict as P, skew as K, teds as E
+from gridmill.operators import balance as B, pairing as J, predict as P, skew as K, teds as E
 
 N = 3000
 
@@ -49,6 +49,18 @@ def test_hot_rows_are_dealt_out(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_equal_hot_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(K, "PACK", 50)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        many = spark.range(2000).select(F.lit(7).cast("long").alias("key"), F.lit("same").alias("row"))
+        out = K.salted_join(lookup(spark).hint("merge"), many, "key", [(7, 40)])
+        per_task = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(per_task) > 4 and sum(r["count"] for r in per_task) == 2000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_hot_sample_keeps_all_predictions(spark):
     truth = lookup(spark).select(F.col("key").alias("sample_id"), F.lit("<table></table>").alias("html_table"))
     preds = skewed(spark).select(F.col("key").alias("sample_id"), F.col("row").cast("string").alias("stage"),
@@ -85,3 +97,50 @@ def test_copies_of_a_pair_spread_over_tasks(spark):
     rows = out.collect()
     assert len(rows) == 400 and {round(r.teds_full, 6) for r in rows} == {round(2 / 3, 6)}
     assert len({r.task for r in rows}) == 8
+
+
+def grid(rows, text="a"):
+    return "<table>" + f"<tr><td>{text}</td></tr>" * rows + "</table>"
+
+
+def test_pairs_are_dealt_by_cost(spark):
+    """A few huge pairs among many small ones, all read from one partition; times are those of the tasks that score."""
+    import time
+
+    rows = [(i, grid(60 if i % 20 == 0 else 6, f"t{i}"), grid(60 if i % 20 == 0 else 6, f"u{i}")) for i in range(400)]
+    df = spark.createDataFrame(rows, "sample_id long, truth string, pred string").coalesce(1)
+    keyed = df.select(J.content_key(F.col("truth"), F.col("pred")).alias("key"), E.pair_cost(F.col("truth"), F.col("pred")).alias("cost"), "truth", "pred")
+    dealt = B.dealt_by_cost(keyed, keyed.select("key", "cost"), 8)
+    loads = [r["c"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.sum("cost").alias("c")).collect()]
+    assert len(loads) == 8 and max(loads) <= 1.2 * sum(loads) / 8
+
+    def timed(batches):
+        import pyarrow as pa
+        start = time.process_time()
+        for _ in E._score_once(batches):
+            pass
+        yield pa.RecordBatch.from_pydict({"s": [time.process_time() - start]})
+
+    for _ in range(2):  # the second time all workers run
+        seconds = sorted(r.s for r in dealt.mapInArrow(timed, "s double").collect())
+    assert seconds[-1] <= 2 * seconds[len(seconds) // 2]
+
+
+def test_scores_do_not_depend_on_the_dealing(spark):
+    a, b = grid(3), grid(3, "b")
+    rows = [(i, "s", [a, grid(2), "x", None][i % 4], [b, a, a, a, grid(9, f"{i}")][i % 5]) for i in range(200)]
+    df = spark.createDataFrame(rows, "sample_id long, stage string, t string, p string").repartition(5)
+    want = E.score_pairs(df, "t", "p")
+    for min_hot, tasks in ((5, 3), (10 ** 6, 40)):
+        got = E.score_distinct(df, "t", "p", min_hot=min_hot, tasks=tasks)
+        assert got.columns == want.columns and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert E.score_distinct(df.limit(0), "t", "p").count() == 0
+
+
+def test_lists_of_the_dealing_follow_the_tasks(spark):
+    costs = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("key"), (F.col("id") % 50 + 1).cast("double").alias("cost"))
+    listed, cells = B.assignment(costs, 4)
+    assert len(listed) <= B.PART * 4 and len(cells) <= B.CELLS * 4 and set(cells.values()) == {0, 1, 2, 3}
+    huge = costs.union(spark.createDataFrame([("huge", 1e9)], "key string, cost double"))
+    listed, cells = B.assignment(huge, 4)
+    assert set(listed) == {"huge"} and listed["huge"] not in cells.values()
