@@ -43,4 +43,13 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN met USING (doc_id)
 """
 
-ORACLE = {"op4_url_filter": URL_FILTER, "op9_decontaminate": DECONTAMINATE}
+WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT p.page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN firsts USING (digest)
+"""
+
+ORACLE = {"op4_url_filter": URL_FILTER, "op9_decontaminate": DECONTAMINATE, "op11_warc": WARC}

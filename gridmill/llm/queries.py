@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridmill.llm import (bpe, conversations, decontaminate, language_model, merkle, oracle, quality_rank, quality_rules, secrets, simhash,
-                          token_counts, token_files, url_filter)
+                          token_counts, token_files, url_filter, warc)
 from gridmill.sources.work import fresh_path
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -94,6 +94,14 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *counts, quality_rules.base_failed().alias("base_failed"), "kept")
 
 
+def op11_warc(spark: SparkSession, folder: str) -> DataFrame:
+    out = fresh_path(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages").select("page_id", "url", "html"), out)
+    return warc.read_pages(spark, out, payload=False).select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     leaf = lambda n_chars: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
@@ -111,6 +119,6 @@ def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_token_counts, op3_token_files, op4_url_filter, op5_secrets, op6_quality_rank, op7_language_model,
-    op8_bpe, op9_decontaminate, op10_quality_rules, op12_merkle_manifest,
+    op8_bpe, op9_decontaminate, op10_quality_rules, op11_warc, op12_merkle_manifest,
     op13_conversation_repair)}
 ORACLE = oracle.ORACLE
