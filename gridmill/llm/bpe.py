@@ -14,12 +14,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
 REMEMBERED = 240_000  # words kept per Python worker, and as many again that were used before
 FAR = 1 << 40         # rank of a pair that no merge joins
-AT_ONCE = 2_000       # rows whose results a worker holds at a time
+AT_ONCE = 2_000       # rows whose results a worker holds at a time, or
+BYTES_AT_ONCE = 16_000_000  # so many bytes of text; a longer text is alone
 
 # The characters of the Unicode property White_Space, which no piece of a word reaches across.
 WHITE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -196,6 +198,20 @@ def groups(texts: list[str | None], letters: int = 2_000_000) -> Iterator[list[s
         yield run
 
 
+def slices(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Runs of rows bounded by number and by the bytes of their texts (other columns than texts: by number)."""
+    if not (pa.types.is_string(texts.type) or pa.types.is_binary(texts.type)):
+        yield from (batch.slice(at, AT_ONCE) for at in range(0, batch.num_rows, AT_ONCE))
+        return
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        room = BYTES_AT_ONCE + (total[at - 1] if at else 0)
+        to = min(max(int(np.searchsorted(total, room, "right")), at + 1), at + AT_ONCE)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -212,8 +228,7 @@ def appended(df: DataFrame, text: str, added: T.StructType, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, AT_ONCE):
-                batch = whole.slice(at, AT_ONCE)
+            for batch in slices(whole, whole.column(whole.num_columns - 1)):
                 arrays = make(batch.column(batch.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*kept, *added.names])
 

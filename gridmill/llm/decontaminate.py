@@ -1,8 +1,8 @@
 """Benchmark decontamination by winnowing.
 
 Of every 9 neighbouring 5-word hashes the smallest is kept, so any shared run of 13 words or more has a kept
-hash in common. Kept hashes of a document are joined to those of the benchmark items, each meeting is
-extended word by word to the whole shared run, and runs of 13 words or more count. Items shorter than
+hash in common. Kept hashes of a document are joined to those of the benchmark items, and each meeting is
+extended to the windows of 13 words around it that some item has, compared word by word. Items shorter than
 13 words are one window of their own length; hashes of that length are all kept.
 """
 
@@ -63,46 +63,79 @@ def winnowed(hashes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hashes == most)
 
 
+class Windows:
+    """The windows of one size of a set of items: their hashes in order, where one of each stands, and whose they are."""
+
+    def __init__(self, items: list[np.ndarray], size: int):
+        self.size = size
+        hashes = [grams(words, size) for words in items]
+        entry = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
+        begin = np.cumsum([0, *map(len, items)])[:-1]
+        place = np.concatenate([b + np.arange(len(h)) for b, h in zip(begin, hashes)] or [np.empty(0, np.int64)])
+        every = np.concatenate(hashes or [np.empty(0, np.uint64)])
+        order = np.lexsort((entry, every))
+        every, self.entry = every[order], entry[order]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
+        self.hashes, self.place = every[first], place[order][first]
+        self.bounds = np.append(first, len(every))  # the entries of the i-th hash
+        self.words = np.concatenate(items or [np.empty(0, np.uint64)])
+
+    def find(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the windows of a document that begin at `starts` which some item has, and their numbers here."""
+        if not len(starts) or not len(self.hashes):
+            return starts[:0], starts[:0]
+        at = np.arange(self.size)
+        few = 4 * len(starts) < len(words)
+        own = grams(words[starts[:, None] + at].T, self.size)[0] if few else grams(words, self.size)[starts]
+        number = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        met = np.flatnonzero(self.hashes[number] == own)
+        same = (self.words[self.place[number[met]][:, None] + at] == words[starts[met][:, None] + at]).all(axis=1)
+        return starts[met[same]], number[met[same]]
+
+    def owners(self, numbers: np.ndarray) -> set[int]:
+        return set().union(*(self.entry[self.bounds[i]:self.bounds[i + 1]].tolist() for i in np.unique(numbers).tolist()))
+
+
 class Index:
-    """Fingerprints of benchmark items. Items with equal words are one entry with several ids."""
+    """Fingerprints and windows of benchmark items. Items with equal words are one entry with several ids."""
 
     def __init__(self, items: list[tuple[str, np.ndarray]]):
         ids = defaultdict(set)
         for item, words in items:
             ids[words.tobytes()].add(item)
-        self.words = [np.frombuffer(w, np.uint64) for w in ids]
+        found = [np.frombuffer(w, np.uint64) for w in ids]
         self.ids = [sorted(x) for x in ids.values()]
-        tables = defaultdict(lambda: defaultdict(list))  # words of a hash -> hash -> places
-        for entry, words in enumerate(self.words):
-            size = GRAM if len(words) >= WINDOW else len(words)
-            hashes = grams(words, size)
-            for at in winnowed(hashes).tolist() if len(words) >= WINDOW else [0]:
-                tables[size, len(words) >= WINDOW][int(hashes[at])].append((entry, at))
-        self.tables = [(size, long, np.array(sorted(t), np.uint64), dict(t)) for (size, long), t in tables.items()]
+        long = [i for i, words in enumerate(found) if len(words) >= WINDOW]
+        marks = [hashes[winnowed(hashes)] for hashes in (grams(found[i], GRAM) for i in long)]
+        self.marks = np.unique(np.concatenate(marks or [np.empty(0, np.uint64)]))
+        self.windows = [(Windows([found[i] for i in long], WINDOW), np.array(long))]
+        for size in sorted({len(w) for w in found if len(w) < WINDOW}):
+            some = [i for i, words in enumerate(found) if len(words) == size]
+            self.windows.append((Windows([found[i] for i in some], size), np.array(some)))
+
+    def candidates(self, words: np.ndarray) -> np.ndarray:
+        """Where windows begin that hold a fingerprint which the document shares with some item."""
+        hashes = grams(words, GRAM)
+        at = winnowed(hashes)
+        if not len(at) or not len(self.marks):
+            return np.empty(0, np.int64)
+        kept = hashes[at]
+        met = at[self.marks[np.minimum(np.searchsorted(self.marks, kept), len(self.marks) - 1)] == kept]
+        starts = np.unique((met[:, None] - np.arange(SLIDE)).ravel())
+        return starts[(starts >= 0) & (starts <= len(words) - WINDOW)]
 
     def find(self, words: np.ndarray) -> tuple[list[tuple[int, int]], list[str]]:
-        """Shared runs as (start, end) word positions, joined and in order, and the ids of their items."""
+        """Shared runs as (start, end) word positions, joined and in order, and the ids of their items.
+
+        A meeting of fingerprints is extended to all windows around it that some item has; a window that thousands of items
+        have is looked up once, and its owners are added once per document.
+        """
         runs, entries = [], set()
-        for size, long, known, places in self.tables:
-            hashes = grams(words, size)
-            at = winnowed(hashes) if long else np.arange(len(hashes))
-            kept = hashes[at]
-            met = at[known[np.minimum(np.searchsorted(known, kept), len(known) - 1)] == kept] if len(at) else at
-            reached = {}  # (entry, offset) -> end of the run already extended
-            for p in met.tolist():
-                for entry, q in places[int(hashes[p])]:
-                    if reached.get((entry, p - q), 0) > p:
-                        continue
-                    item = self.words[entry]
-                    back, ahead = min(p, q), min(len(words) - p, len(item) - q)
-                    differ = np.flatnonzero(words[p - back:p] != item[q - back:q])
-                    start = p - back + (int(differ[-1]) + 1 if len(differ) else 0)
-                    differ = np.flatnonzero(words[p:p + ahead] != item[q:q + ahead])
-                    end = p + (int(differ[0]) if len(differ) else ahead)
-                    reached[entry, p - q] = max(end, p + 1)
-                    if end - start >= min(WINDOW, len(item)):
-                        runs.append((start, end))
-                        entries.add(entry)
+        for windows, entry in self.windows:
+            starts = self.candidates(words) if windows.size == WINDOW else np.arange(max(0, len(words) - windows.size + 1))
+            starts, numbers = windows.find(words, starts)
+            runs += [(at, at + windows.size) for at in starts.tolist()]
+            entries.update(entry[list(windows.owners(numbers))].tolist() if len(numbers) else [])
         joined = []
         for start, end in sorted(runs):
             if joined and start <= joined[-1][1]:
@@ -112,17 +145,27 @@ class Index:
         return joined, sorted({i for e in entries for i in self.ids[e]})
 
 
+def hashed(benchmark: DataFrame, item: str, text: str = "text") -> DataFrame:
+    """(item, words): the word hashes of every item that has words, made in tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i or "", word_hashes(t)) for i, t in zip(*(c.to_pylist() for c in batch.columns))]
+            kept = [(i, w.tobytes()) for i, w in found if len(w)]
+            yield pa.RecordBatch.from_pydict({"item": pa.array([i for i, _ in kept], pa.string()), "words": pa.array([w for _, w in kept], pa.binary())})
+
+    return benchmark.select(F.col(item).cast("string"), F.col(text)).mapInArrow(run, "item string, words binary")
+
+
 def parts(benchmark: DataFrame, item: str, words: int) -> Iterator[list[tuple[str, np.ndarray]]]:
-    """Items in runs of at most so many words (a longer item is alone), one run at a time; at least one run."""
+    """Hashed items in runs of at most so many words (a longer item is alone), one run at a time; at least one run."""
     part, size = [], 0
-    for r in benchmark.select(F.col(item).cast("string"), "text").toLocalIterator():
-        found = word_hashes(r[1])
-        if len(found):
-            if part and size + len(found) > words:
-                yield part
-                part, size = [], 0
-            part.append((r[0] if r[0] is not None else "", found))
-            size += len(found)
+    for r in hashed(benchmark, item).toLocalIterator():
+        found = np.frombuffer(r["words"], np.uint64)
+        if part and size + len(found) > words:
+            yield part
+            part, size = [], 0
+        part.append((r["item"], found))
+        size += len(found)
     yield part
 
 

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, functions as F
 from gridmill.sources.work import fresh_path
 
 BLOCK_TOKENS = 1_200_000
-PARTS = 4096            # at most so many hash ranges
 BUCKETS = 65            # by the bit length of the context's count
 BINS, PER_OCTAVE, LOWEST = 1024, 8, -40  # bins of log2(ratio of two probabilities); the first is ratio 0
 ROUNDS = 60             # of expectation-maximisation
@@ -120,9 +119,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
 def counted(packed: DataFrame, order: int) -> DataFrame:
     """Per block, order and hash range the corpus counts of the block's distinct n-grams, in order of their hash.
 
-    `distinct` is the number of different n-grams of the range that occur in training, once per range.
+    `distinct` is the number of different n-grams of the range that occur in training, once per range. There are about as many
+    ranges, and tasks that add them up, as blocks: a block sends each n-gram once, so a range has about as many entries as
+    a block has n-grams, whatever the size of the corpus.
     """
-    bits = min(PARTS, max(16, packed.count())).bit_length() - 1
+    n_blocks = packed.count()
+    bits = max(16, n_blocks).bit_length() - 1
     shift = np.uint64(64 - bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +154,7 @@ def counted(packed: DataFrame, order: int) -> DataFrame:
                          "distinct": pa.array([int((total > 0).sum())] + [0] * (len(mine) - 1), pa.int64())})
 
     sent = packed.mapInArrow(send, "n int, part int, block long, keys binary, counts binary")
-    return sent.groupBy("n", "part").applyInArrow(add, "n int, part int, block long, totals binary, distinct long")
+    return sent.repartition(max(n_blocks, 1), "n", "part").groupBy("n", "part").applyInArrow(add, "n int, part int, block long, totals binary, distinct long")
 
 
 COUNTS = "block long, keys array<long>, held array<boolean>, lengths array<int>, counts array<binary>"
@@ -160,6 +162,8 @@ COUNTS = "block long, keys array<long>, held array<boolean>, lengths array<int>,
 
 def with_counts(packed: DataFrame, totals: DataFrame, order: int) -> DataFrame:
     """Every block with the corpus count of the n-gram at each token, one packed list per order."""
+    n_blocks = packed.count()
+
     def run(block: pa.Table, found: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         tokens = Tokens(row, order)
@@ -171,8 +175,9 @@ def with_counts(packed: DataFrame, totals: DataFrame, order: int) -> DataFrame:
         return pa.table({**{c: block.column(c) for c in ("block", "keys", "held", "lengths")},
                          "counts": pa.array([out], pa.list_(pa.binary()))})
 
-    mine = totals.select("block", "n", "part", "totals")
-    return packed.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(run, COUNTS)
+    deal = lambda df: df.repartition(max(n_blocks, 1), "block")
+    mine = deal(totals.select("block", "n", "part", "totals"))
+    return deal(packed).groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(run, COUNTS)
 
 
 class Model:

@@ -78,14 +78,16 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
           rows: int = 20_000) -> Ranker | float:
     """Fit on at most `rows` labelled documents, those with the smallest hash of the key.
 
-    The sample is bounded, so its ids may be broadcast and its features collected. Null keys and labels and keys with
+    The sample is bounded, so its ids may be broadcast and its features collected; it is put in the order of the keys' hashes, so
+    that the pairs do not depend on how the rows are stored. Labels are 0 and 1; null keys, other labels and keys with
     contradictory labels are left out. With one label only there is no pair: its share is the score of all.
     """
     one = labels.groupBy(key).agg(F.min(label).alias("_a"), F.max(label).alias("_b")).where(
-        F.col(key).isNotNull() & (F.col("_a") == F.col("_b"))).select(key, F.col("_a").alias("_label"))
-    chosen = one.orderBy(F.xxhash64(key), key).limit(rows)
-    found = with_features(docs.select(key, text).join(F.broadcast(chosen), key), text).select(
-        "_label", "features").limit(rows).collect()
+        F.col(key).isNotNull() & (F.col("_a") == F.col("_b")) & F.col("_a").isin(0, 1)).select(key, F.col("_a").alias("_label"))
+    order = [F.xxhash64(key), F.col(key)]
+    chosen = one.orderBy(*order).limit(rows)
+    found = with_features(docs.select(key, text).join(F.broadcast(chosen), key), text).orderBy(
+        *order, F.xxhash64(text)).select("_label", "features").limit(rows).collect()
     y = np.array([r[0] for r in found])
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5

@@ -5,12 +5,12 @@ distinct fingerprint stands for all its variants within 2 bits, and fingerprints
 linked. Sending 2,081 rows per fingerprint would cost more than the input itself, so what is shuffled
 is the variant's first bits: a fingerprint goes once to every prefix that some of its variants have
 (29 to some hundred rows), and the task of that prefix makes the rest of the variants, sorts them and
-links those that meet. All fingerprints of one variant lie within 4 bits of each other, so linking
-each to the smallest of them loses no group and lists no pairs.
+links those that meet. All fingerprints of one variant lie within 4 bits of each other, which is the check of the bit
+distance, so linking each to the smallest of them loses no group and lists no pairs.
 """
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +28,8 @@ BITS = 64
 RADIUS = 4
 AT_ONCE = 4_000_000  # variants sorted at a time in a task
 PER_PREFIX = 512     # fingerprints that own a prefix, about
+HOT = 20_000         # rows of a prefix that are dealt on by its next bits
+STEP = 4             # so many of them
 
 
 def fingerprint(text: str | None) -> int:
@@ -62,20 +64,43 @@ def masks(bits: int, most: int) -> np.ndarray:
                     np.uint64)
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each of n nodes' component."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(node, root) of all nodes that are not the root of their component: fewer than n rows."""
+    label = roots(n, a, b)
+    at = np.flatnonzero(label != np.arange(n))
+    return np.stack([at, label[at]], axis=1)
+
+
 def meeting(fps: np.ndarray, left: np.ndarray, bits: int) -> np.ndarray:
-    """Unique (owner, smallest owner) rows over the variants of the low `bits` bits, `left` flips each.
+    """(owner, owner) rows, fewer than owners, that span the groups of those that share a variant of the low `bits` bits,
+    `left` flips each.
 
-    More variants than are sorted at once are split by their next four bits, over and over.
+    More variants than are sorted at once are split by their next four bits, over and over; every part is reduced to
+    such rows before the next one is made.
     """
+    n = len(fps)
     sizes = [len(masks(bits, k)) for k in range(int(left.max(initial=0)) + 1)]
-    if sum(sizes[k] * int((left == k).sum()) for k in range(len(sizes))) > AT_ONCE and bits > 4:
-        low, found = np.uint64((1 << (bits - 4)) - 1), []
-        for top in range(16):
-            away = np.bitwise_count((fps >> np.uint64(bits - 4)) ^ np.uint64(top))
+    if sum(sizes[k] * int((left == k).sum()) for k in range(len(sizes))) > AT_ONCE and bits > STEP:
+        low, found = np.uint64((1 << (bits - STEP)) - 1), np.empty((0, 2), np.int64)
+        for top in range(1 << STEP):
+            away = np.bitwise_count((fps >> np.uint64(bits - STEP)) ^ np.uint64(top))
             near = np.flatnonzero(away <= left)
             if len(near) > 1:
-                found.append(near[meeting(fps[near] & low, left[near] - away[near], bits - 4)])
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+                part = near[meeting(fps[near] & low, left[near] - away[near], bits - STEP)]
+                found = forest(n, *np.concatenate([found, part]).T)
+        return found
     owners, variants = [], []
     for k in range(len(sizes)):
         own = np.flatnonzero(left == k)
@@ -88,48 +113,57 @@ def meeting(fps: np.ndarray, left: np.ndarray, bits: int) -> np.ndarray:
     bucket = np.cumsum(start) - 1
     first = np.minimum.reduceat(owners, np.flatnonzero(start))[bucket]
     met = owners != first
-    return np.unique(np.stack([owners[met], first[met]], axis=1), axis=0)
+    return forest(n, *np.divmod(np.unique(owners[met] * n + first[met]), max(n, 1)))
 
 
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node of each of n nodes' component."""
-    label = np.arange(n)
-    while True:
-        x, y = label[a], label[b]
-        if (x == y).all():
-            return label
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while (label[label] != label).any():
-            label = label[label]
+def _sent(fingerprints: DataFrame, prefix: int, half: int) -> DataFrame:
+    """(fp, prefix, used, left): every fingerprint once for each prefix of `used` bits that its variants have, and the
+    flips that are left."""
+    flips = F.explode(F.array(*[F.lit(int(m)).cast("long") for m in masks(prefix, half)]))
+    return fingerprints.select("fp", flips.alias("flip")).select(
+        "fp", F.shiftrightunsigned("fp", BITS - prefix).bitwiseXOR(F.col("flip")).alias("prefix"),
+        F.lit(prefix).alias("used"), (half - F.bit_count("flip")).alias("left"))
+
+
+def _sent_on(rows: DataFrame) -> DataFrame:
+    """The same rows by prefixes that are STEP bits longer."""
+    flip = F.filter(F.sequence(F.lit(0), F.lit((1 << STEP) - 1)), lambda m: F.bit_count(m) <= F.col("left"))
+    own = F.expr(f"shiftrightunsigned(fp, {BITS - STEP} - used)").bitwiseAND(F.lit((1 << STEP) - 1))
+    return rows.withColumn("flip", F.explode(flip)).select(
+        "fp", F.shiftleft("prefix", STEP).bitwiseOR(own.bitwiseXOR(F.col("flip"))).alias("prefix"),
+        (F.col("used") + STEP).alias("used"), (F.col("left") - F.bit_count("flip")).alias("left"))
 
 
 def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (a, b) that span every group of distinct fingerprints (column fp) linked at `radius` bits or fewer.
 
     Groups within a task are reduced to one row per member, so the output stays below the input rows of
-    the shuffle whatever the size of a group. The number of prefix bits follows the number of fingerprints;
-    it moves work between shuffle and task and changes no result.
+    the shuffle whatever the size of a group. The number of prefix bits follows the number of fingerprints, and prefixes
+    that very many share (texts of one template) are dealt on by their next bits, again and again; this moves work
+    between shuffle and tasks and changes no link.
     """
     if radius % 2 or radius < 2:
         raise ValueError("the radius must be even")
     half = radius // 2
-    prefix = min(24, max(4, (fingerprints.count() // PER_PREFIX).bit_length()))
-    rest = BITS - prefix
-    flips = F.explode(F.array(*[F.lit(int(m)).cast("int") for m in masks(prefix, half)]))
-    sent = fingerprints.select("fp", flips.alias("flip")).select(
-        F.shiftrightunsigned("fp", rest).cast("int").bitwiseXOR(F.col("flip")).alias("prefix"), "fp")
+    prefix = max(4, (fingerprints.count() // PER_PREFIX).bit_length())
+    rows, dealt = _sent(fingerprints, prefix, half), []
+    while prefix + 2 * STEP <= BITS:
+        hot = stage(rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("prefix"), "hot_prefixes")
+        if hot.isEmpty():
+            break
+        dealt.append(rows.join(hot, "prefix", "left_anti"))
+        rows, prefix = _sent_on(rows.join(hot, "prefix", "left_semi")), prefix + STEP
+    sent = reduce(DataFrame.unionByName, [*dealt, rows])
 
     def run(group: pa.Table) -> pa.Table:
         fps = np.sort(group.column("fp").to_numpy().view(np.uint64))
-        own = group.column("prefix")[0].as_py()
+        own, rest = group.column("prefix")[0].as_py(), BITS - group.column("used")[0].as_py()
         left = half - np.bitwise_count((fps >> np.uint64(rest)) ^ np.uint64(own)).astype(np.int64)
         met = meeting(fps & np.uint64((1 << rest) - 1), left, rest)
-        near = np.bitwise_count(fps[met[:, 0]] ^ fps[met[:, 1]]) <= radius  # verified
-        label = roots(len(fps), met[near, 0], met[near, 1])
-        at = np.flatnonzero(label != np.arange(len(fps)))
-        return pa.table({"a": fps[label[at]].view(np.int64), "b": fps[at].view(np.int64)})
+        a, b = fps[met[:, 0]], fps[met[:, 1]]
+        return pa.table({"a": b.view(np.int64), "b": a.view(np.int64)})
 
-    return sent.groupBy("prefix").applyInArrow(run, "a long, b long")
+    return sent.select("fp", "prefix", "used").groupBy("used", "prefix").applyInArrow(run, "a long, b long")
 
 
 def clustered(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -166,11 +200,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The row with the smallest key of each group, all columns as they are; of equal rows one stays."""
+    """The row with the smallest key of each group, all columns as they are.
+
+    Of rows with equal key and text the one with the smallest hash of all its columns stays; of equal rows, one. Null, empty and blank
+    texts are one group, as their fingerprint is zero. A null key comes after all others. An empty table stays empty.
+    """
     firsts = clustered(_ranked(df, key, text), radius).select("first").distinct().select(
         F.coalesce("first.key", F.lit(0)).alias("_k"), F.col("first.absent").alias("_a"), F.col("first.tie").alias("_t"))
     named = df.select(F.struct("*").alias("_row"), F.coalesce(key, F.lit(0)).alias("_k"),
-                      F.col(key).isNull().alias("_a"), F.xxhash64(text).alias("_t"))
-    order = Window.partitionBy("_k", "_a", "_t").orderBy(F.lit(0))
+                      F.col(key).isNull().alias("_a"), F.xxhash64(text).alias("_t"), F.xxhash64("*").alias("_h"))
+    order = Window.partitionBy("_k", "_a", "_t").orderBy("_h")
     single = named.withColumn("_n", F.row_number().over(order)).where("_n = 1")
     return single.join(firsts, ["_k", "_a", "_t"], "left_semi").select("_row.*")

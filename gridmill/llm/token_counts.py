@@ -143,13 +143,21 @@ def words_within(prefix_tokens: str, budget: int) -> Column:
 
 
 def tokens_before(path: str):
-    """A Column function (text, length): the exact tokens of the first `length` code points.
+    """A Column function (text, length, prefix_tokens): the exact tokens of the first `length` code points.
 
-    Inside a word the remembered prefix states are used, so nothing is encoded. A null text or
-    length counts as 0.
+    The stored count at the last word end before the cut is taken over; only the part of a word that the cut leaves is counted, from
+    the states of its prefixes. A null text or length counts as 0.
     """
     @F.pandas_udf("long")
-    def run(texts: pd.Series, lengths: pd.Series) -> pd.Series:
-        cut = [t[:int(n)] if t and n and n > 0 else "" for t, n in zip(texts, lengths.fillna(0))]
-        return pd.Series([x[-1] if x else 0 for x in counter(path).running(cut)], dtype="int64")
+    def run(texts: pd.Series, lengths: pd.Series, prefixes: pd.Series) -> pd.Series:
+        whole, parts = [], []
+        for text, n, prefix in zip(texts, lengths.fillna(0), prefixes):
+            cut = text[:int(n)] if text and n and n > 0 else ""
+            words = sum(1 for _ in WORDS.finditer(cut))
+            inside = len(cut) < len(text or "") and words > 0 and WORDS.match(cut[-1]) and WORDS.match(text[len(cut)])
+            done = words - 1 if inside else words
+            whole.append(int(prefix[done - 1]) if done else 0)
+            parts.append(next(iter(reversed(WORDS.findall(cut)))) if inside else "")
+        added = [x[-1] if x else 0 for x in counter(path).running(parts)]
+        return pd.Series([a + b for a, b in zip(whole, added)], dtype="int64")
     return run

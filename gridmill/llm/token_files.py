@@ -28,6 +28,7 @@ MAGIC = b"GMTB"
 HEAD = struct.Struct("<4sBIIQqII")
 SAMPLE = 64            # one directory entry for so many values
 CHUNKS = 600_000       # chunks remembered per Python worker, and as many again from before
+RUN = 4_096            # documents whose spans a reader holds at a time
 BLOCK_IDS = 2_000_000  # a block is closed once it has so many ids; a longer document has its own
 
 
@@ -44,11 +45,11 @@ class EliasFano:
 
     @staticmethod
     def pack(values: np.ndarray) -> bytes:
-        values = np.asarray(values, np.int64)
+        values = np.asarray(values, np.uint64)
         n = len(values)
-        width = max(0, int(values[-1] // n).bit_length() - 1) if n else 0
-        low = (values[:, None] >> np.arange(width)) & 1
-        ones = (values >> width) + np.arange(n)
+        width = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
+        low = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
+        ones = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         unary = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         unary[ones] = 1
         pack = lambda bits: np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
@@ -75,11 +76,22 @@ class EliasFano:
             low |= (int(self.low[bit // 8]) >> (bit % 8) & 1) << k
         return (self.select(i) - i) << self.width | low
 
-    def all(self) -> np.ndarray:
-        bits = lambda x: np.unpackbits(x, bitorder="little")
-        high = np.flatnonzero(bits(self.high))[:self.n] - np.arange(self.n)
-        low = bits(self.low)[:self.n * self.width].reshape(self.n, self.width).astype(np.int64)
-        return (high << self.width) | (low << np.arange(self.width)).sum(axis=1)
+    def run(self, start: int, end: int) -> np.ndarray:
+        """The values from `start` up to `end`: select at every place of the run, which begins at its directory entry."""
+        if start >= end:
+            return np.zeros(0, np.uint64)
+        at = int(self.directory[start // SAMPLE])
+        stop = -(-end // SAMPLE)
+        until = int(self.directory[stop]) if stop < len(self.directory) else 8 * len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[at // 8:-(-until // 8)], bitorder="little")) + at // 8 * 8
+        ones = ones[ones >= at][start % SAMPLE:start % SAMPLE + end - start]
+        high = (ones - np.arange(start, end)).astype(np.uint64) << np.uint64(self.width)
+        if not self.width:
+            return high
+        first = start * self.width
+        bits = np.unpackbits(self.low[first // 8:(end * self.width + 7) // 8], bitorder="little")
+        low = bits[first % 8:first % 8 + (end - start) * self.width].reshape(-1, self.width).astype(np.uint64)
+        return high | (low << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 def pack_block(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
@@ -87,14 +99,14 @@ def pack_block(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes
     named = np.array([d for d in doc_ids if d is not None], np.int64)
     first = int(named[0]) if len(named) else 0
     ends = EliasFano.pack(np.cumsum([len(x) // width for x in ids]))
-    names = EliasFano.pack(named - first)
+    names = EliasFano.pack(named.view(np.uint64) - np.int64(first).view(np.uint64))  # differences of up to 64 bits
     size = sum(map(len, ids)) // width
     return HEAD.pack(MAGIC, width, len(ids), len(ids) - len(named), size, first, len(ends), len(names)
                      ) + ends + names + b"".join(ids)
 
 
 class Block:
-    """Reads a block: `span(i)` and `ids(i)` by select, `doc_ids` and `ends` whole."""
+    """Reads a block by select: `span(i)` of one document, `spans` and `doc_ids` of a run of them."""
 
     def __init__(self, data: bytes):
         magic, self.width, self.n, self.unnamed, self.size, self.first, a, b = HEAD.unpack_from(data)
@@ -104,12 +116,19 @@ class Block:
         self.names = EliasFano(data[HEAD.size + a:HEAD.size + a + b])
         self.data, self.at = data, HEAD.size + a + b
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.unnamed + (self.names.all() + self.first).tolist()
+    def doc_ids(self, start: int, end: int) -> list[int | None]:
+        lead = max(0, min(end, self.unnamed) - start)
+        found = self.names.run(max(0, start - self.unnamed), max(0, end - self.unnamed)) + np.int64(self.first).view(np.uint64)
+        return [None] * lead + found.view(np.int64).tolist()
 
     def span(self, i: int) -> tuple[int, int]:
         return (self.ends[i - 1] if i else 0), self.ends[i]
 
+    def spans(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the documents of a run begin and end."""
+        ends = self.ends.run(start, end).astype(np.int64)
+        return np.append([self.ends[start - 1] if start else 0], ends[:-1]), ends
+
     def ids(self, start: int, end: int) -> np.ndarray:
         kind = "<u2" if self.width == 2 else "<u4"
         return np.frombuffer(self.data, kind, end - start, self.at + start * self.width)
@@ -189,7 +208,8 @@ def write_token_table(df: DataFrame, out: str, path: str, end_id: int, key: str
     """Encode whole texts, append `end_id` to each, and write blocks in ascending order of the key.
 
     Rows are ordered by range partitions (the hash of the text breaks ties, so a repeated key does not meet
-    in one task); a null text has the end id only, null keys come first. Rows: shard, block, the ids
+    in one task); a null text has the end id only, null keys come first. Keys are integers or texts of integers; any other key
+    is an error (ANSI mode, Spark's default) or counts as null. Other columns are not read; an empty table gives no block. Rows: shard, block, the ids
     of the shard before it (`start`), documents, ids, payload. Adaptive execution sets the shards' size.
     """
     ordered = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"), F.xxhash64(text).alias("_tie"))
@@ -237,11 +257,12 @@ def read_token_table(spark: SparkSession, out: str) -> DataFrame:
         for batch in batches:
             for start, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 block = Block(data)
-                ends = block.ends.all()
-                begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                ids = [block.ids(a, b).astype("<u4").tobytes() for a, b in zip(begins.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block.doc_ids(), pa.int64()), pa.array(begins + start), pa.array(ends - begins),
-                     pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                for at in range(0, block.n, RUN):
+                    to = min(at + RUN, block.n)
+                    begins, ends = block.spans(at, to)
+                    ids = [block.ids(a, b).astype("<u4").tobytes() for a, b in zip(begins.tolist(), ends.tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(block.doc_ids(at, to), pa.int64()), pa.array(begins + start), pa.array(ends - begins),
+                         pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -77,6 +77,43 @@ def test_split_work_gives_the_same_links(monkeypatch):
     assert label(whole) == label(split)
 
 
+def ball(n, bits, seed):
+    """Fingerprints around one template: few of their bits differ, and only among the last `bits`."""
+    rng = np.random.default_rng(seed)
+    centre = int(rng.integers(0, 1 << 62))
+    fps = set()
+    while len(fps) < n:
+        fps.add(centre ^ sum(1 << int(b) for b in rng.choice(bits, rng.integers(0, 6), replace=False)))
+    return sorted(fps)
+
+
+def test_hot_prefixes_are_dealt_on(spark, monkeypatch):
+    fps = ball(400, 60, 6) + ball(30, 40, 7)
+    rows = spark.createDataFrame([(f,) for f in fps], "fp long")
+    whole = {tuple(sorted(r)) for r in spark.createDataFrame(S.links(rows).collect() or [], "a long, b long").collect()}
+    monkeypatch.setattr(S, "HOT", 50)
+    found = {r["node"]: r["root"] for r in components(S.links(rows)).collect()}
+    plain = plain_groups(fps)
+    at = {f: i for i, f in enumerate(fps)}
+    for i, a in enumerate(fps):
+        for j in range(i):
+            assert (found.get(a, a) == found.get(fps[j], fps[j])) == (plain[i] == plain[j])
+    assert whole
+
+
+def test_a_dense_group_takes_linear_work():
+    """Links of 20,000 fingerprints around one template: rows stay below their number, time near proportion."""
+    import time
+    took = []
+    for n in (5_000, 20_000):
+        fps = np.array(ball(n, 48, 8), np.uint64)
+        start = time.process_time()
+        met = S.meeting(fps & np.uint64((1 << 48) - 1), np.full(n, 2), 48)
+        took.append(time.process_time() - start)
+        assert len(met) < n
+    assert took[1] < 8 * took[0]
+
+
 def test_repeated_rows_and_null_keys(spark):
     rows = [(1, "a b c d e", "", "", 1)] * 3 + [(None, "a b c d e", "", "", 1)] * 2 + [(None, "p q r s", "", "", 1)] * 2
     table = spark.createDataFrame(rows, DOCS)

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from gridmill.llm import bpe, token_counts as C, token_files as TF
 from gridmill.llm.queries import BYTE_BPE, WORD_BPE
-from tests.llm.helpers import ODD, docs
+from tests.llm.helpers import DOCS, ODD, docs
 
 ids_of = lambda tool, text: tool.encode(text or "", add_special_tokens=False).ids
 
@@ -70,17 +70,21 @@ def test_prefix_counts(spark, word_tool, texts):
 
 def test_every_prefix(spark, word_tool):
     text = "Thessalonians don't reordering, naïve <|endoftext|>x"
-    rows = spark.createDataFrame([(text, n) for n in range(len(text) + 1)] + [(None, 1), (text, None)], "t string, n int")
-    for t, n, count in rows.select("t", "n", C.tokens_before(WORD_BPE)("t", "n")).collect():
+    rows = spark.createDataFrame([(text, n) for n in range(len(text) + 9)] + [(None, 1), (text, None), ("", 3), (" \n ", 2)], "t string, n int")
+    rows = C.with_prefix_counts(rows, WORD_BPE, "t")
+    for t, n, count in rows.select("t", "n", C.tokens_before(WORD_BPE)("t", "n", "prefix_tokens")).collect():
         want = 0 if t is None or n is None else len(ids_of(word_tool, t[:n]))
         assert count == want, (t, n)
 
 
 def test_elias_fano():
-    for values in ([], [0], [5], [0, 0, 0, 7, 7, 900], list(range(300)), [10 ** 12], np.sort(np.random.default_rng(1).integers(0, 10 ** 9, 700)).tolist()):
-        packed = TF.EliasFano.pack(np.array(values, np.int64))
+    for values in ([], [0], [5], [0, 0, 0, 7, 7, 900], list(range(300)), [10 ** 12], [0, 2 ** 63, 2 ** 64 - 1], [2 ** 64 - 1], np.sort(np.random.default_rng(1).integers(0, 10 ** 9, 700)).tolist()):
+        packed = TF.EliasFano.pack(np.array(values, np.uint64))
         read = TF.EliasFano(packed)
-        assert read.all().tolist() == values == [read[i] for i in range(len(values))]
+        assert read.run(0, len(values)).tolist() == values == [read[i] for i in range(len(values))]
+        for a in range(0, len(values), 37):
+            for b in (a, a + 1, a + 64, a + 130, len(values)):
+                assert read.run(a, min(b, len(values))).tolist() == values[a:b]
     assert len(TF.EliasFano.pack(np.arange(0, 10 ** 6, 10))) < 10 ** 5  # far below eight bytes a value
 
 
@@ -102,10 +106,49 @@ def test_token_files(spark, tmp_path, byte_tool, texts):
     assert sorted(got, key=order) == sorted(want, key=order)
 
 
+def test_ids_of_the_whole_range(spark, tmp_path, byte_tool):
+    keys = [-2 ** 63, -2 ** 62, -2 ** 62 + 1, -1, 0, 2 ** 62, 2 ** 63 - 1]
+    table = spark.createDataFrame([(k, f"text {k}", "", "", 0) for k in keys], DOCS)
+    TF.write_token_table(table, str(tmp_path / "t"), BYTE_BPE, 2)
+    rows = sorted(TF.read_token_table(spark, str(tmp_path / "t")).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in rows] == keys
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in rows] == [ids_of(byte_tool, f"text {k}") + [2] for k in keys]
+
+
+def test_batches_are_cut_by_bytes(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(bpe, "BYTES_AT_ONCE", 10)
+    texts = ["a" * 4, None, "b" * 6, "c", "d" * 30, "", "e" * 10, "f"]
+    batch = pa.RecordBatch.from_pydict({"t": texts})
+    assert [b.column(0).to_pylist() for b in bpe.slices(batch, batch.column(0))] == [texts[:3], texts[3:4], texts[4:5], texts[5:7], texts[7:]]
+    monkeypatch.setattr(bpe, "AT_ONCE", 2)
+    assert [b.num_rows for b in bpe.slices(batch, batch.column(0))] == [2, 2, 1, 2, 1]
+    assert list(bpe.slices(batch.slice(0, 0), batch.column(0).slice(0, 0))) == []
+
+
+def test_very_long_texts(spark, tmp_path, word_tool, byte_tool):
+    """Five megabytes in one text, one of them a single word."""
+    rng = np.random.default_rng(5)
+    prose = " ".join(rng.choice(["alpha", "beta,", "naïve", "don't", "漢字", "x1y2"], 700_000).tolist())
+    long = [prose + " " + "ab" * 500_000, "short", None]
+    assert len(long[0].encode()) > 5_000_000
+    table = docs(spark, long)
+    ids = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in bpe.encode(table, WORD_BPE).collect()}
+    counts = {r["doc_id"]: r["n"] for r in C.with_prefix_counts(table, WORD_BPE).select("doc_id", C.n_tokens("prefix_tokens").alias("n")).collect()}
+    for i, t in enumerate(long):
+        assert ids[i] == ids_of(word_tool, t) and counts[i] == len(ids[i])
+    TF.write_token_table(table, str(tmp_path / "t"), BYTE_BPE, 2)
+    read = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in TF.read_token_table(spark, str(tmp_path / "t")).collect()}
+    assert read == {i: ids_of(byte_tool, t) + [2] for i, t in enumerate(long)}
+
+
 def test_block_access(byte_tool):
     data = TF.pack_block([None, 4, 9], [b"\1\0\2\0", b"", b"\3\0"], 2)
     block = TF.Block(data)
-    assert block.doc_ids() == [None, 4, 9]
+    assert block.doc_ids(0, 3) == [None, 4, 9] and block.doc_ids(1, 2) == [4] and block.doc_ids(0, 1) == [None]
+    assert [x.tolist() for x in block.spans(1, 3)] == [[2, 2], [2, 3]]
+    ends = [-2 ** 63, -2 ** 62, -2 ** 62 + 1, 2 ** 62, 2 ** 63 - 1]
+    assert TF.Block(TF.pack_block(ends, [b"\1\0"] * 5, 2)).doc_ids(0, 5) == ends
     assert [block.ids(*block.span(i)).tolist() for i in range(3)] == [[1, 2], [], [3]]
     with pytest.raises(ValueError):
         TF.Block(b"XXXX" + data[4:])
