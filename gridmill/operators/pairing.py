@@ -24,8 +24,10 @@ def score_delta(scored: DataFrame, before: str, after: str, value: str = "teds_f
 
 
 def pair_by_stem(images: DataFrame, pages: DataFrame) -> DataFrame:
-    """Image x.png with page x.html, by file stem; page stems are unique, image stems may repeat."""
-    left = pages.select(H.path_stem(F.col("path")).alias("stem"), F.col("path").alias("html_path"))
+    """Image x.png with page x.html, by file stem; image stems may repeat, a stem that two pages have is an error."""
+    left = pages.groupBy(H.path_stem(F.col("path")).alias("stem")).agg(F.min("path").alias("html_path"), F.count(F.lit(1)).alias("_n"))
+    twice = F.raise_error(F.format_string("%d pages have the stem %s", F.col("_n"), F.col("stem"))).cast("string")
+    left = left.select("stem", F.when(F.col("_n") > 1, twice).otherwise(F.col("html_path")).alias("html_path"))
     right = images.select(H.path_stem(F.col("path")).alias("stem"), F.col("path").alias("image_path"))
     return salted_join(left, right, "stem", hot_keys(right, "stem"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from gridmill.functions import html as H
 
 BROADCAST_ROWS = 100_000  # of (id, length, rank): a few MB
+PUSHED_ROWS = 1_000       # ids that are sent to the scan as a filter
 
 
 def topk_ids(df: DataFrame, k: int) -> DataFrame:
@@ -20,8 +21,16 @@ def topk_ids(df: DataFrame, k: int) -> DataFrame:
 
 
 def with_ids(df: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Fetch the wide rows of k chosen ids."""
-    return df.join(F.broadcast(ids) if k <= BROADCAST_ROWS else ids, "sample_id")
+    """Fetch the wide rows of k chosen ids.
+
+    A few ids are computed at once and become a filter of the scan, which skips the row groups and pages of a stored table that
+    hold none of them: the html and images of other rows are not read.
+    """
+    if k > PUSHED_ROWS:
+        return df.join(F.broadcast(ids) if k <= BROADCAST_ROWS else ids, "sample_id")
+    chosen = ids.collect()
+    few = df.sparkSession.createDataFrame(chosen, ids.schema)
+    return df.where(F.col("sample_id").isin([r["sample_id"] for r in chosen])).join(F.broadcast(few), "sample_id")
 
 
 def topk_longest(df: DataFrame, k: int) -> DataFrame:

@@ -6,13 +6,15 @@ ranking that prefix alone (1/65536 of the ids) gives the k-th row itself. Everyt
 comparison of a row's own hash with that cut point, so no row of the table is shuffled. Ids are
 unique (they are row positions), which is what makes the prefixes even.
 
-The table is read three times: to count, to rank one prefix, to label. Store an expensive table
+A split reads the table three times: to count, to rank one prefix, to label. Store an expensive table
 before splitting it.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gridmill.functions import order as O
+from gridmill.operators.ranking import with_ids
+from gridmill.sources.work import stage
 
 # Evaluation sizes by capacity tier (at least this many devices, quick, thorough).
 EVAL_TIERS = [(8, 50, 150), (4, 30, 100), (0, 20, 75)]
@@ -59,8 +61,13 @@ def split_exact(df: DataFrame, num: int, den: int, seed: int) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, seed: int) -> DataFrame:
-    """Exactly min(n, rows) rows, the same ones for the same seed."""
-    return df.where(_is_first(df, seed, F.lit(n)))
+    """Exactly min(n, rows) rows, the same ones for the same seed.
+
+    The ids are read once and stored; counting and ranking go over them. The table is read once more for the chosen rows.
+    """
+    ids = stage(df.select("sample_id"), "ids")
+    own = F.struct(O.hash_key(F.col("sample_id"), seed).alias("_key"), F.col("sample_id"))
+    return df.where(F.coalesce(own <= _cut(ids, seed, F.lit(n)), F.lit(False)))
 
 
 def seeded_index(df: DataFrame, seed: int) -> DataFrame:
@@ -87,8 +94,8 @@ def assign_batches(df: DataFrame, world: int, batch: int, accum: int, seed: int,
 
 
 def first_n(df: DataFrame, n: int) -> DataFrame:
-    """First n rows by position."""
-    return df.orderBy("sample_id").limit(n)
+    """First n rows by position; only ids are ranked, and the n rows are fetched by them."""
+    return with_ids(df, df.select("sample_id").orderBy("sample_id").limit(n), n).select(*df.columns)
 
 
 def tiered_sample(df: DataFrame, devices: int, evaluation: int) -> DataFrame:

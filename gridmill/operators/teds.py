@@ -95,7 +95,7 @@ def _scorer():
     return run
 
 
-def _settled(df: DataFrame, truth: str, pred: str, clean: str, failure: Column | None) -> DataFrame:
+def _settled(df: DataFrame, truth: str, pred: str, clean: str, failure: Column | None, blank: str = "zero") -> DataFrame:
     """The other columns, `known` (the result where no tree is needed), `truth` and `pred` (null where it is known)."""
     clean_of = CLEANERS[clean]
     keep = [c for c in df.columns if c not in (truth, pred)]
@@ -107,8 +107,11 @@ def _settled(df: DataFrame, truth: str, pred: str, clean: str, failure: Column |
     result = lambda score, error: F.struct(score.cast("double").alias("score"), error.cast("string").alias("error"))
     absent = lambda c: ~H.has_table(F.col(c))
     none = F.lit(None)
-    known = F.when(F.col("_failure").isNotNull(), result(none, F.col("_failure"))).when(
-        absent("truth") | absent("pred"), result(F.lit(0.0), none))
+    known = F.when(F.col("_failure").isNotNull(), result(none, F.col("_failure")))
+    if blank == "skip":
+        empty = lambda c: F.coalesce(H.strip(F.col(c)) == "", F.lit(True))
+        known = known.when(empty("truth") | empty("pred"), result(none, F.lit("blank")))
+    known = known.when(absent("truth") | absent("pred"), result(F.lit(0.0), none))
     cases = C.once(both, "known", known)
     side = lambda c: F.when(F.col("known").isNull(), F.col(c)).alias(c)  # settled rows send no html to Python
     return cases.select(*keep, "known", side("truth"), side("pred"))
@@ -151,14 +154,16 @@ def _score_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_distinct(df: DataFrame, truth: str, pred: str, clean: str = "full", failure: Column | None = None, min_hot: int = HOT_ROWS,
-                   tasks: int | None = None) -> DataFrame:
+                   tasks: int | None = None, blank: str = "zero") -> DataFrame:
     """`score_pairs` for tables of any size: equal pairs are scored once and tasks have about equal cost.
 
+    With blank = "skip", a pair with a side that is null or blank after cleaning has the error `blank` instead of the score 0.
+
     Cleaned pairs are stored once. The costs of distinct pairs, by content digest, say where a pair is scored; copies are dropped in the
     tasks that read them and meet the scores again by digest, a join that spreads pairs with many copies.
     """
     tasks = tasks or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = _settled(df, truth, pred, clean, failure)
+    sent = _settled(df, truth, pred, clean, failure, blank)
     keep = [c for c in sent.columns if c not in ("known", "truth", "pred")]
     is_open = F.col("known").isNull()
     both = stage(sent.withColumns({"key": F.when(is_open, content_key(F.col("truth"), F.col("pred"))),
@@ -176,7 +181,7 @@ def score_distinct(df: DataFrame, truth: str, pred: str, clean: str = "full", fa
 
 
 def eval_table(truth: DataFrame, preds: DataFrame, stages: list[str], clean: str = "full", min_hot: int = HOT_ROWS,
-               tasks: int | None = None) -> DataFrame:
+               tasks: int | None = None, blank: str = "zero") -> DataFrame:
     """Every truth row at every expected stage with its prediction's scores.
 
     A failed generation leaves no row, so stages are named by the caller: what is missing or failed
@@ -191,12 +196,13 @@ def eval_table(truth: DataFrame, preds: DataFrame, stages: list[str], clean: str
     pairs = salted_join(expected, made, "_pair", hot_keys(made, "_pair", min_hot), how="left").drop("_pair")
     failure = F.when(F.col("pred_html").isNull() | F.col("error").isNotNull(),
                      F.coalesce(F.col("error"), F.lit("no prediction")))
-    scored = score_distinct(pairs.withColumn("_f", failure).drop("error"), "truth_html", "pred_html", clean, F.col("_f"), min_hot, tasks)
+    scored = score_distinct(pairs.withColumn("_f", failure).drop("error"), "truth_html", "pred_html", clean, F.col("_f"), min_hot, tasks, blank)
     return scored.drop("_f").withColumnRenamed("score_error", "error")
 
 
 def average_scores(scored: DataFrame, by: list[str], policy: str = "zero") -> DataFrame:
-    """Mean scores. Policy zero: failures count as 0. Policy skip: failures are left out."""
+    """Mean scores. Policy zero: failures count as 0. Policy skip: failures are left out, and with them the blank pairs of a
+    table that was scored with blank = "skip"."""
     if policy == "zero":
         mean, n = lambda c: F.avg(F.coalesce(F.col(c), F.lit(0.0))), F.count(F.lit(1))
     else:
@@ -207,5 +213,5 @@ def average_scores(scored: DataFrame, by: list[str], policy: str = "zero") -> Da
 
 
 def eval_by_stage(truth: DataFrame, preds: DataFrame, stages: list[str], policy: str = "zero",
-                  clean: str = "full") -> DataFrame:
-    return average_scores(eval_table(truth, preds, stages, clean), ["stage"], policy)
+                  clean: str = "full", blank: str = "zero") -> DataFrame:
+    return average_scores(eval_table(truth, preds, stages, clean, blank=blank), ["stage"], policy)

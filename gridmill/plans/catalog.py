@@ -376,6 +376,13 @@ def eval_by_stage(spark, folder):
     return _rounded(E.average_scores(_scored(spark, folder), ["stage"], "zero"), "avg_structure", "avg_full")
 
 
+@query
+def predict_and_score(spark, folder):
+    """Predict every valid sample, score the answers, average: a model that repeats what it is told fails on some images."""
+    return _rounded(flows.evaluate(D.samples(spark, folder), stubs.echo_model, "echo", prompt=F.col("html_table")),
+                    "avg_structure", "avg_full")
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 def _stream(spark, folder, name):

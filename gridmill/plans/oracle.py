@@ -412,6 +412,9 @@ ORACLE: dict[str, str] = {
     "teds_avg_skip_policy": _sql(_SCORED, """
         SELECT round(avg(teds_structure), 6) AS avg_structure, round(avg(teds_full), 6) AS avg_full,
                count(teds_full) AS n_evaluated FROM scores"""),
+    "predict_and_score": _sql(_JUDGED, f"""
+        SELECT 'echo' AS stage, round(avg(CASE WHEN {_FAILS} THEN 0.0 ELSE 1.0 END), 6) AS avg_structure,
+               round(avg(CASE WHEN {_FAILS} THEN 0.0 ELSE 1.0 END), 6) AS avg_full, count(*) AS n_evaluated FROM valid"""),
     "eval_by_stage": _sql(_SCORED, """
         SELECT stage, round(avg(coalesce(teds_structure, 0)), 6) AS avg_structure,
                round(avg(coalesce(teds_full, 0)), 6) AS avg_full, count(*) AS n_evaluated FROM scores GROUP BY stage"""),

@@ -44,7 +44,8 @@ class _Throughput(StatefulProcessor):
         self.per_step, self.idle_ms = per_step, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "step long, us long", self.idle_ms)
+        self.handle = handle
+        self.last = handle.getValueState("last", "step long, us long")
         self.waiting = handle.getMapState("waiting", "bucket long, n long", "rows binary")
 
     def _rates(self, rows: np.ndarray, last: tuple | None) -> tuple[np.ndarray, tuple | None]:
@@ -79,22 +80,34 @@ class _Throughput(StatefulProcessor):
             yield pd.DataFrame({"run_id": key[0], "step": values[:, 0], "samples_per_sec": rate})
         if last is not None:
             self.last.update(last)
+            if self.idle_ms is not None:
+                for timer in self.handle.listTimers():
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(last[1] // 1000 + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def throughput(log: DataFrame, batch: int, accum: int, every: int = 10, idle_ms: int | None = None) -> DataFrame:
+def throughput(log: DataFrame, batch: int, accum: int, every: int = 10, idle_hours: int | None = None) -> DataFrame:
     """Samples per second between successive logs of a run, with the log of the highest step kept as state.
 
     A step that arrives after a higher one of an earlier trigger has no rate and changes no later one. A trigger's rows of a run
-    are sorted bucket by bucket of steps in the state store (RocksDB, see `on_rocksdb`), so a task holds one bucket of them. With
-    `idle_ms` the state of a run that logs nothing for so long expires; its next log is a first one again.
+    are sorted bucket by bucket of steps in the state store (RocksDB, see `on_rocksdb`), so a task holds one bucket of them.
+
+    With `idle_hours`, a run whose last log is that far behind the newest of all leaves the state: its next log is a first one
+    again; and rows that come as late as that are dropped.
     """
-    logged = log.where(F.col("step") % every == 0).select("run_id", "step", F.unix_micros("ts").alias("us"))
+    idle_ms = None if idle_hours is None else idle_hours * 3_600_000
+    logged = log.where(F.col("step") % every == 0).select("run_id", "step", F.unix_micros("ts").alias("us"), "ts")
+    logged = logged.drop("ts") if idle_ms is None else logged.withWatermark("ts", f"{idle_hours} hours")
     return logged.groupBy("run_id").transformWithStateInPandas(
         _Throughput(batch * accum, idle_ms), "run_id long, step long, samples_per_sec double", "append",
-        "ProcessingTime" if idle_ms else "None")
+        "None" if idle_ms is None else "EventTime")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

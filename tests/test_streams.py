@@ -72,15 +72,14 @@ def test_a_run_of_a_million_rows_in_one_trigger(spark, tmp_path):
 
 
 def test_the_state_of_an_idle_run_expires(spark, tmp_path):
-    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    out, state, src = (str(tmp_path / n) for n in ("out", "state", "src"))
-    got = {}
-    for step in (10, 20):
-        spark.createDataFrame([(1, step, at(step), 1.0)], S.METRICS_LOG).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(S.METRICS_LOG).parquet(src)
-        with ST.on_rocksdb(spark):
-            got = {r.step: r.samples_per_sec for r in ST.run_available(ST.throughput(stream, 1, 1, idle_ms=1), out, state).collect()}
-    assert got == {10: None, 20: None}
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    rows = [(1, 10, day(0)), (2, 10, day(10)), (3, 10, day(10)), (4, 10, day(10)), (1, 20, day(11)), (2, 20, day(11))]
+    for k, row in enumerate(rows):
+        spark.createDataFrame([(*row, 1.0)], S.METRICS_LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "idle"))
+    stream = spark.readStream.schema(S.METRICS_LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "idle"))
+    with ST.on_rocksdb(spark):
+        got = {(r.run_id, r.step): r.samples_per_sec for r in ST.run_available(ST.throughput(stream, 1, 1, idle_hours=48)).collect()}
+    assert got == {(1, 10): None, (2, 10): None, (3, 10): None, (4, 10): None, (1, 20): None, (2, 20): 10 / 86400}
 
 
 def test_monitor(spark, tmp_path):

@@ -50,6 +50,15 @@ def test_policies(spark):
     assert by == {"s": (4, 1.75 / 4), "t": (4, 0.0)}
 
 
+def test_blank_pairs_may_be_left_out(spark):
+    truth = spark.createDataFrame([(0, "train", A, b"i"), (1, "train", A, b"i"), (2, "train", " \n", b"i"), (3, "train", A, b"i")], S.SAMPLES)
+    preds = spark.createDataFrame([(0, "s", A, None), (1, "s", "```html\n ```", None), (2, "s", A, None), (3, "s", "text", None)], S.PREDICTIONS)
+    rows = {r.sample_id: (r.teds_full, r.error) for r in E.eval_table(truth, preds, ["s"], blank="skip").collect()}
+    assert rows == {0: (1.0, None), 1: (None, "blank"), 2: (None, "blank"), 3: (0.0, None)}
+    mean = lambda policy, **k: (lambda r: (r.avg_full, r.n_evaluated))(E.eval_by_stage(truth, preds, ["s"], policy, **k).first())
+    assert mean("skip", blank="skip") == (0.5, 2) and mean("skip") == (0.25, 4) and mean("zero", blank="skip") == (0.25, 4)
+
+
 @pytest.mark.parametrize("tasks", [None, 3])
 def test_shred(spark, tasks):
     df = spark.createDataFrame([(1, A), (2, None), (3, "x")], "sample_id long, html_table string")
