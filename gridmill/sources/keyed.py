@@ -13,10 +13,20 @@ from gridmill.sources.work import stage
 PART, BATCH = "_part", "_batch"
 
 
+def part_name(part: Column) -> Column:
+    """A partition's name; the letter keeps Spark from reading names as numbers or times, which would change `007`."""
+    return F.concat(F.lit("p"), part.cast("string"))
+
+
+def _open(spark: SparkSession, path: str) -> DataFrame:
+    """Partitions that a later batch has not touched lack the columns that it added."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """The rows of a table without the columns of its upkeep; a schema makes a table that is not there empty."""
     try:
-        return spark.read.parquet(path).drop(PART, BATCH)
+        return _open(spark, path).drop(PART, BATCH)
     except AnalysisException as e:
         if schema is None or e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
@@ -24,13 +34,13 @@ def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def read_parts(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
-    """The rows of some partitions; others are not opened."""
-    return spark.read.parquet(path).where(F.col(PART).cast("string").isin(parts)).drop(PART, BATCH)
+    """The rows of the partitions of some names; others are not opened."""
+    return _open(spark, path).where(F.col(PART).isin(parts)).drop(PART, BATCH)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(path)
+        return _open(spark, path)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
@@ -44,14 +54,14 @@ def merge(rows: DataFrame, batch: int, path: str, keys: list[str], part: Column,
     Columns that the table alone has stay, those that `rows` alone has are null in old rows. Keys may be null.
     """
     spark = rows.sparkSession
-    new = stage(rows.withColumns({PART: part.cast("string"), BATCH: F.lit(batch).cast("long")}), "merge_rows")
+    new = stage(rows.withColumns({PART: part_name(part), BATCH: F.lit(batch).cast("long")}), "merge_rows")
     parts = [r[0] for r in new.select(PART).distinct().collect()]  # partitions of one batch
     old = _stored(spark, path)
     if old is None:
         merged = new if insert else new.limit(0)
     else:
         here = F.col(PART).isin([p for p in parts if p is not None]) | (F.col(PART).isNull() if None in parts else F.lit(False))
-        old = old.withColumn(PART, F.col(PART).cast("string")).where(here)
+        old = old.where(here)
         a, b = old.select(F.struct("*").alias("a")), new.select(F.struct("*").alias("b"))
         on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, PART]]
         both = a.join(b, on, "full" if insert else "left")

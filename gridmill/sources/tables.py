@@ -138,7 +138,7 @@ def store_metrics(evals: DataFrame, batch: int, path: str, metrics: list[str]) -
     """
     spark = evals.sparkSession
     evals = stage(evals.withColumn("eval_step", F.col("step")), "evals")
-    runs = evals.select(_part_of_run().cast("string").alias(keyed.PART)).distinct()
+    runs = evals.select(keyed.part_name(_part_of_run())).distinct()
     log = keyed.read_parts(spark, path, [r[0] for r in runs.collect()])  # at most LOG_PARTS
     had = F.col("eval_step") if "eval_step" in log.columns else F.lit(None).cast("long")
     slim = log.select("run_id", "step", had.alias("_had"))

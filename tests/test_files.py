@@ -95,7 +95,15 @@ def test_merging_again_changes_nothing(spark, tmp_path):
         keyed.merge(rows, batch, path, ["k"], part)
         assert state() == want
     keyed.merge(frame([(3, 7), (9, 8)], "k long, w long"), 2, path, ["k"], part, insert=False)
-    assert {r.k: (r.v, r.w) for r in spark.read.parquet(path).collect()} == {1: ("a", None), 2: ("B", None), 3: ("c", 7), 4: ("d", None), None: ("n", None)}
+    assert {r.k: (r.v, r.w) for r in keyed.read(spark, path).collect()} == {1: ("a", None), 2: ("B", None), 3: ("c", 7), 4: ("d", None), None: ("n", None)}
+
+
+def test_partition_names_are_kept_as_they_are(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [("007", 1), ("7", 2), ("2024-01-01", 3), ("", 4), ("a/b=c", 5), (None, 6)]
+    for batch in (0, 1):
+        keyed.merge(spark.createDataFrame([(k, v + 10 * batch) for k, v in rows], "k string, v int"), batch, path, ["k"], F.col("k"))
+    assert {r.k: r.v for r in keyed.read(spark, path).collect()} == {k: v + 10 for k, v in rows}
 
 
 def test_metrics_are_merged_into_the_stored_log(spark, tmp_path):
