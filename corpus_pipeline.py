@@ -16,24 +16,37 @@ def carried(docs: DataFrame, *needed: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the base rule and the learned rules keep; null and empty texts have too few words."""
+    """Documents that the base rule and the learned rules keep; null and empty texts have too few words.
+
+    Repeated rows have one verdict. An empty table stays empty; without labels the base rule alone decides.
+    """
     judged = quality_rules.judge(carried(docs, "doc_id", "text"), table(spark, folder, "labels"))
     return judged.where("kept").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
+    """The document with the smallest doc_id of each group of near duplicates, as `op1` links them.
+
+    Of repeated rows one stays; texts that are null, empty or blank are one group; a null doc_id comes after all others. An
+    empty table stays empty.
+    """
     return simhash.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark."""
+    """Documents that are not contaminated by the benchmark.
+
+    A null or empty text has no words and stays, repeated rows stay or go together, an empty benchmark takes nothing.
+    """
     found = decontaminate.with_hits(carried(docs, "text"), table(spark, folder, "benchmark"))
     return found.where("NOT hits.contaminated").select("_row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents, with the secrets in their texts replaced and n_chars counted anew."""
+    """All documents, with the secrets in their texts replaced and n_chars counted anew.
+
+    A null text stays null, and its n_chars is null; repeated rows stay.
+    """
     masked = secrets.redacted(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
