@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     replaces both ends of every edge by what they point at and drops the edges that became loops, until none
     is left. Random orders have no long runs, so a chain shrinks by a share in each round. The first
     neighbour is a mergeable aggregate and the joins are on unique keys, so a hub is never gathered in one
-    task. Rounds are written to the checkpoint folder.
+    task. Rounds are written to the checkpoint folder. Repeated edges count once; edges with a null end and loops are left out,
+    and a table without other edges has no nodes.
     """
     left = keep(edges.where("a <> b").select("a", "b").distinct())
     found, turn = None, 0

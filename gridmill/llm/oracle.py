@@ -52,4 +52,59 @@ SELECT p.page_id, n AS payload_bytes, digest AS payload_digest,
 FROM p LEFT JOIN firsts USING (digest)
 """
 
-ORACLE = {"op4_url_filter": URL_FILTER, "op9_decontaminate": DECONTAMINATE, "op11_warc": WARC}
+# The unsigned crc32 of a text of ASCII letters, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda ch: ord(ch)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                           lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+def _leaf(n_chars: str) -> str:
+    fields = [f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+              for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(fields)})"
+
+
+def _nodes(name: str, leaves: str) -> str:
+    """All nodes (tree, level, pos, n, h) of the trees over leaves (tree, pos, n, h)."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, pos, n, h FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1
+  GROUP BY tree, level, pos // 2, n)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf('n_chars')} AS leaf,
+    CASE WHEN n_chars IS NOT NULL AND {CRC32.format('doc_id::VARCHAR')} % 7 = 0
+         THEN {_leaf('(n_chars::HUGEINT + 1)')} END AS changed
+  FROM documents),
+placed AS (
+  SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY tree) AS n
+  FROM leaves),
+{_nodes('nodes', 'placed')},
+subroots AS (
+  SELECT tree, h, level AS up, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+top_leaves AS (SELECT '' AS tree, pos, n, h FROM subroots),
+{_nodes('top', 'top_leaves')},
+root AS (SELECT h, level FROM top WHERE n = 1),
+path AS (
+  SELECT p.doc_id, p.leaf, p.tree, s.h AS subroot, p.pos, s.up, s.pos AS top_pos, 0 AS level,
+    coalesce(p.changed, p.leaf) AS node, '' AS proof
+  FROM placed p JOIN subroots s USING (tree)
+  UNION ALL
+  SELECT q.doc_id, q.leaf, q.tree, q.subroot, q.pos, q.up, q.top_pos, q.level + 1,
+    sha256(CASE WHEN here % 2 = 0 THEN node || coalesce(a.h, b.h, '') ELSE coalesce(a.h, b.h, '') || node END),
+    proof || coalesce(a.h, b.h, '')
+  FROM (SELECT *, CASE WHEN level < up THEN pos >> level ELSE top_pos >> (level - up) END AS here FROM path) q
+    LEFT JOIN nodes a ON q.level < up AND a.tree = q.tree AND a.level = q.level AND a.pos = xor(here, 1)
+    LEFT JOIN top b ON q.level >= up AND b.level = q.level - up AND b.pos = xor(here, 1)
+  WHERE q.level < up + (SELECT level FROM root))
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = root.h AS verified
+FROM path, root WHERE path.level = up + root.level
+"""
+
+ORACLE = {"op4_url_filter": URL_FILTER, "op9_decontaminate": DECONTAMINATE, "op11_warc": WARC,
+          "op12_merkle_manifest": MERKLE}

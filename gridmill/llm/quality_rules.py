@@ -224,6 +224,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "quality",
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
-    """Every document with its `stats` and `kept`, by rules learned from `labels`."""
+    """Every document with its `stats` and `kept`, by rules learned from `labels`.
+
+    A null or empty text has no words and fails the base rule; repeated rows have equal verdicts; without usable labels the base rule
+    alone decides; an empty table gives no rows. Older columns of these names are replaced, others pass through.
+    """
     rules = learn(labelled_sample(docs, labels, rows=sample_rows))
     return with_statistics(docs).withColumn("kept", verdict(rules))
