@@ -15,7 +15,7 @@ from gridmill.operators.observed import Progress, watched
 from gridmill.operators.pairing import content_key
 from gridmill.operators.predict import dedup_predict
 from gridmill.sources import keyed
-from gridmill.sources.work import fresh_path
+from gridmill.sources.work import fresh_path, stage
 
 
 def clean_filter(samples: DataFrame) -> DataFrame:
@@ -189,6 +189,7 @@ def predict_once(requests: DataFrame, factory: Callable, cache: str, out: str, s
     spark = requests.sparkSession
 
     def answer(rows: DataFrame, batch: int) -> None:
+        rows = stage(rows, "requests")  # several passes follow; state before this is run through once
         made = dedup_predict(rows, factory, "stream", F.col(prompt), cache=cache)
         made.withColumn("_batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "_batch").parquet(out)
