@@ -28,7 +28,8 @@ BITS = 64
 RADIUS = 4
 AT_ONCE = 4_000_000  # variants sorted at a time in a task
 PER_PREFIX = 512     # fingerprints that own a prefix, about
-HOT = 20_000         # rows of a prefix that are dealt on by its next bits
+HOT = 20_000         # rows of a prefix that are dealt on by its next bits, at least, and
+SHARE = 4            # so many times the rows of an even prefix
 STEP = 4             # so many of them
 
 
@@ -145,10 +146,12 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius % 2 or radius < 2:
         raise ValueError("the radius must be even")
     half = radius // 2
-    prefix = max(4, (fingerprints.count() // PER_PREFIX).bit_length())
+    n = fingerprints.count()
+    prefix = max(4, (n // PER_PREFIX).bit_length())
+    limit = max(HOT, SHARE * n * len(masks(prefix, half)) >> prefix)
     rows, dealt = _sent(fingerprints, prefix, half), []
     while prefix + 2 * STEP <= BITS:
-        hot = stage(rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("prefix"), "hot_prefixes")
+        hot = stage(rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("prefix"), "hot_prefixes")
         if hot.isEmpty():
             break
         dealt.append(rows.join(hot, "prefix", "left_anti"))

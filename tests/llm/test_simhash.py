@@ -92,6 +92,7 @@ def test_hot_prefixes_are_dealt_on(spark, monkeypatch):
     rows = spark.createDataFrame([(f,) for f in fps], "fp long")
     whole = {tuple(sorted(r)) for r in spark.createDataFrame(S.links(rows).collect() or [], "a long, b long").collect()}
     monkeypatch.setattr(S, "HOT", 50)
+    monkeypatch.setattr(S, "SHARE", 0)
     found = {r["node"]: r["root"] for r in components(S.links(rows)).collect()}
     plain = plain_groups(fps)
     at = {f: i for i, f in enumerate(fps)}
