@@ -299,7 +299,8 @@ def stretches(rows: DataFrame) -> DataFrame:
     turn, role and mark are those of the first row; `at` orders the stretches.
     """
     marked = stage(_flagged(rows).withColumn("_tie", F.monotonically_increasing_id()), "symbols")
-    ordered = marked.repartitionByRange(*ROW, "_tie").sortWithinPartitions(*ROW, "_tie").drop("_tie")
+    place = (*ROW, "symbol", "_tie")  # of equal rows the first has the smallest symbol: the others are its duplicates
+    ordered = marked.repartitionByRange(*place).sortWithinPartitions(*place).drop("_tie")
     conv = ordered.schema["conv"]
     kinds = dict(at="long", turn="long", role="string", mark="string", symbols="string", **{c: "long" for c in COUNTS}, costs="array<long>")
     schema = T.StructType([conv, *T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in kinds.items()))])

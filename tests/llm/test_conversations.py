@@ -131,6 +131,12 @@ def test_a_conversation_over_many_stretches(spark, tmp_path, monkeypatch):
     assert "".join(r.edit for r in fixed) == want[7].replace("D", "")
 
 
+def test_the_first_of_equal_rows_is_the_one_that_stays(spark, tmp_path):
+    """Rows that come twice, or many times, stand before their duplicates, whatever a join does to their order."""
+    table = 2 * some(random.Random(4), 200, 9) + 30 * [(950, 1, "user", "Again."), (950, 2, "assistant", "And no end")]
+    assert got(spark, tmp_path, table) == expected(table)
+
+
 def narrow(made):
     """Stretches with range partitions that adaptive execution leaves small."""
     def run(rows):
