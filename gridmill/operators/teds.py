@@ -22,6 +22,8 @@ from gridmill.sources.work import stage
 
 NODE_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
 SEEN = 200_000  # pairs remembered per task
+TASK_PAIRS = 100_000  # distinct pairs of a scoring task at most, on average
+READ_ROWS = 64  # rows of a batch that are Python texts at a time
 SCORES = T.StructType([T.StructField("key", T.StringType()), T.StructField("teds_structure", T.DoubleType()),
                        T.StructField("teds_full", T.DoubleType()), T.StructField("score_error", T.StringType())])
 SCORE_TYPES = [pa.string(), pa.float64(), pa.float64(), pa.string()]
@@ -33,13 +35,14 @@ def _shredder(html: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, columns = [], [[] for _ in S.NODE]
-            for at, text in enumerate(batch.column(html).to_pylist()):
-                root = tree.parse(text, tree.lenient_span) if text is not None else None
-                for i, parent, depth, n in tree.preorder(root) if root else ():
-                    rows.append(at)
-                    cell = "".join(map("".join, n[3])) if n[0] == "td" else None
-                    for column, value in zip(columns, (i, parent, depth, *n[:3], cell)):
-                        column.append(value)
+            for at, (text,) in enumerate(_rows_of(batch, html)):
+                found = tree.parse(text, tree.lenient_span) if text is not None else []
+                if found:
+                    tags, colspans, rowspans, parts, _, parents, depths = zip(*found)
+                    cells = ["".join(map("".join, p)) if t == "td" else None for t, p in zip(tags, parts)]
+                    rows.extend([at] * len(found))
+                    for column, values in zip(columns, (range(len(found)), parents, depths, tags, colspans, rowspans, cells)):
+                        column.extend(values)
             repeated = batch.select(keep).take(pa.array(rows, pa.int64()))
             nodes = [pa.array(c, t) for c, t in zip(columns, NODE_TYPES)]
             yield pa.RecordBatch.from_arrays([*repeated.columns, *nodes], [*keep, *S.NODE.names])
@@ -62,14 +65,14 @@ def shred_table(df: DataFrame, html: str = "html_table", tasks: int | None = Non
 def _score(truth: str, pred: str) -> tuple:
     """Scores of one pair; equal texts are read once, so that they obey the same rules."""
     try:
-        a = tree.read_table(truth)
-        b = a if truth == pred else tree.read_table(pred)
+        a = tree.read_trees(truth)
+        b = a if truth == pred else tree.read_trees(pred)
         if a is None or b is None:
             return 0.0, 0.0, None
         if a is b:
             return 1.0, 1.0, None
-        structure = tree.similarity(tree.without_text(a), tree.without_text(b))
-        return structure, tree.similarity(a, b), None
+        largest = max(a[2], b[2])
+        return tree.similarity(a[1], b[1], largest), tree.similarity(a[0], b[0], largest), None
     except ValueError as e:
         return None, None, f"parse_failed: {e}"
 
@@ -95,6 +98,18 @@ def _scorer():
     return run
 
 
+def _surely_read(html: Column) -> Column:
+    """Does a text begin with a table and name no spans? Then the table can be read, and equals its copy."""
+    return html.startswith("<table>") & ~F.rlike(html, F.lit("(?iu)(?:col|row)span"))
+
+
+def _rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """The values of some columns row by row; few rows at a time become Python objects."""
+    columns = [batch.column(n) for n in names]
+    for at in range(0, batch.num_rows, READ_ROWS):
+        yield from zip(*(c.slice(at, READ_ROWS).to_pylist() for c in columns))
+
+
 def _settled(df: DataFrame, truth: str, pred: str, clean: str, failure: Column | None, blank: str = "zero") -> DataFrame:
     """The other columns, `known` (the result where no tree is needed), `truth` and `pred` (null where it is known)."""
     clean_of = CLEANERS[clean]
@@ -112,6 +127,7 @@ def _settled(df: DataFrame, truth: str, pred: str, clean: str, failure: Column |
         empty = lambda c: F.coalesce(H.strip(F.col(c)) == "", F.lit(True))
         known = known.when(empty("truth") | empty("pred"), result(none, F.lit("blank")))
     known = known.when(absent("truth") | absent("pred"), result(F.lit(0.0), none))
+    known = known.when((F.col("truth") == F.col("pred")) & _surely_read(F.col("truth")), result(F.lit(1.0), none))
     cases = C.once(both, "known", known)
     side = lambda c: F.when(F.col("known").isNull(), F.col(c)).alias(c)  # settled rows send no html to Python
     return cases.select(*keep, "known", side("truth"), side("pred"))
@@ -145,9 +161,10 @@ def _score_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = set()
     for batch in batches:
         rows = []
-        for key, truth, pred in zip(*(batch.column(c).to_pylist() for c in ("key", "truth", "pred"))):
-            if key not in seen:
-                seen.add(key)
+        for key, truth, pred in _rows_of(batch, "key", "truth", "pred"):
+            short = bytes.fromhex(key)
+            if short not in seen:
+                seen.add(short)
                 rows.append((key, *_score(truth, pred)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SCORE_TYPES)], SCORES.names)
@@ -159,6 +176,9 @@ def score_distinct(df: DataFrame, truth: str, pred: str, clean: str = "full", fa
 
     With blank = "skip", a pair with a side that is null or blank after cleaning has the error `blank` instead of the score 0.
 
+    `tasks` is the least number of scoring tasks; there are more where the distinct pairs are many, since a task remembers its keys.
+    Equal texts that surely can be read need no tree, and no shuffle either.
+
     Cleaned pairs are stored once. The costs of distinct pairs, by content digest, say where a pair is scored; copies are dropped in the
     tasks that read them and meet the scores again by digest, a join that spreads pairs with many copies.
     """
@@ -170,7 +190,8 @@ def score_distinct(df: DataFrame, truth: str, pred: str, clean: str = "full", fa
                                    "cost": F.when(is_open, pair_cost(F.col("truth"), F.col("pred")))}), "pairs")
     todo = both.where("key IS NOT NULL")
     costs = stage(todo.groupBy("key").agg(F.max("cost").alias("cost"), F.count(F.lit(1)).alias("n")), "costs")
-    copies = costs.agg(F.max("n")).first()[0] or 0
+    copies, distinct = costs.agg(F.coalesce(F.max("n"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(tasks, -(-distinct // TASK_PAIRS))
     sides = todo.select("key", "truth", "pred")
     dealt = dealt_by_cost(once_per_task(sides, "key") if copies > 1 else sides, costs, tasks)
     scores = stage(dealt.mapInArrow(_score_once, SCORES), "scores")
