@@ -4,9 +4,10 @@ A predictor is given as a factory without arguments: it is called at the start o
 (prompts, images) -> texts. A text may be an exception: the error of that row alone. When a whole batch raises, its rows are
 retried one by one.
 
-A model is dear to load, so a job has as many prediction tasks as there are places to run them (`workers`), however many
-partitions its input has; Python workers that Spark reuses load it less often still. On clusters with stage-level
-scheduling a resource profile gives those tasks executors of their own.
+A model is dear to load, so Python workers that Spark reuses (its default) keep it from task to task, and `workers` bounds the
+tasks of a job, however many partitions its input has. Without a bound `batch_predict` takes its input as Spark cuts it, so that
+what a task reads does not grow with the table. On clusters with stage-level scheduling a resource profile gives those tasks
+executors of their own.
 """
 
 import pickle
@@ -85,14 +86,16 @@ def run_predictor(df: DataFrame, keep: list[str], factory: Callable[[], Predicto
                   workers: int | None = None, spread: bool = False, profile: ResourceProfile | None = None) -> DataFrame:
     """Columns `keep` plus (text, error) for every row with a prompt and an image.
 
-    At most `workers` tasks (default: as many as run at once) load the model once each. Rows stay where they are and
-    partitions are put together; with `spread` they are dealt out first, which a source with few splits or a shuffle
-    merged by bytes calls for: prediction time has nothing to do with input bytes. A batch has at most `batch` rows and
-    `budget` bytes of prompts and images.
+    At most `workers` tasks load the model once each (default: one task per partition, and a load per Python worker where Spark
+    reuses them). Rows stay where they are and partitions are put together; with `spread` they are dealt out first, to as many
+    tasks as run at once by default, which a source with few splits or a shuffle merged by bytes calls for: prediction time
+    has nothing to do with input bytes. A batch has at most `batch` rows and `budget` bytes of prompts and images.
     """
-    n = workers or slots(df)
     rows = df.select(*keep, "prompt", "image")
-    rows = rows.repartition(n) if spread else rows.coalesce(n)
+    if spread:
+        rows = rows.repartition(workers or slots(df))
+    elif workers:
+        rows = rows.coalesce(workers)
     schema = df.select(*keep).schema.add("text", "string").add("error", "string")
     return rows.mapInPandas(_runner(factory, batch, budget, keep), schema, profile=profile)
 

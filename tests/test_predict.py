@@ -170,6 +170,15 @@ def test_model_loads_follow_slots_and_not_partitions(spark, tmp_path, on):
     assert len(list(tmp_path.glob("call-*"))) == 140
 
 
+def test_partitions_stay_as_they_are_unless_workers_bound_them(spark, tmp_path):
+    """What a task reads does not grow with the table; the model is loaded by Python workers, not by tasks."""
+    df = images(spark, [f"i{n}" for n in range(60)]).repartition(40)
+    tasks = lambda **k: P.run_predictor(df.withColumn("prompt", F.lit("")), ["sample_id"], counting(tmp_path), **k).rdd.getNumPartitions()
+    assert tasks() == 40 and tasks(workers=3) == 3
+    assert P.batch_predict(df, counting(tmp_path)).count() == 60
+    assert len(list(tmp_path.glob("call-*"))) == 60 and len(list(tmp_path.glob("load-*"))) <= 16
+
+
 def test_batches_keep_to_rows_and_bytes():
     parts = lambda sizes, most, budget: list(P.batches(["p"] * len(sizes), [b"x" * (n - 1) for n in sizes], most, budget))
     assert parts([1, 1, 1, 1, 1], 2, 99) == [(0, 2), (2, 4), (4, 5)]
