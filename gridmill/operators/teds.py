@@ -39,7 +39,7 @@ def _shredder(html: str, keep: list[str]):
                 found = tree.parse(text, tree.lenient_span) if text is not None else []
                 if found:
                     tags, colspans, rowspans, parts, _, parents, depths = zip(*found)
-                    cells = ["".join(map("".join, p)) if t == "td" else None for t, p in zip(tags, parts)]
+                    cells = [("".join(map("".join, p)) if p else "") if t == "td" else None for t, p in zip(tags, parts)]
                     rows.extend([at] * len(found))
                     for column, values in zip(columns, (range(len(found)), parents, depths, tags, colspans, rowspans, cells)):
                         column.extend(values)

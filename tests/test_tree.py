@@ -95,3 +95,14 @@ def test_large_tables_that_share_nothing():
     rows = lambda t: "".join(f"<tr><td>{t}{i}</td><td>{t}{i * 7 % 13}</td></tr>" for i in range(60))
     a, b = (X.read_table(f"<table>{rows(t)}</table>") for t in "xy")
     assert 0 < X.similarity(a, b) < 1
+
+
+def test_whole_tags_are_found_at_once_and_as_the_long_way_finds_them():
+    rng = random.Random(11)
+    bits = ["<table>", "<tr>", "<td>", "a b", "</td>", "<td colspan=\"2\">", "<td x='\"'>", "</tr>", "<br/>", "&amp;", "é", "'", ">"]
+    odd = ["<", "<td a='>'>", "<!-- x -->", "\"", "<td\"", "<td a<b>", "</"]
+    for k in range(3000):
+        html = "".join(rng.choice(bits + odd * (k % 2)) for _ in range(rng.randrange(20)))
+        found = X.tokens(html)
+        assert list(found) == list(X.any_tokens(html))
+        assert k % 2 or isinstance(found, list)
