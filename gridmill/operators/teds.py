@@ -162,9 +162,8 @@ def _score_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for key, truth, pred in _rows_of(batch, "key", "truth", "pred"):
-            short = bytes.fromhex(key)
-            if short not in seen:
-                seen.add(short)
+            if key not in seen:
+                seen.add(key)
                 rows.append((key, *_score(truth, pred)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), SCORE_TYPES)], SCORES.names)
@@ -186,7 +185,7 @@ def score_distinct(df: DataFrame, truth: str, pred: str, clean: str = "full", fa
     sent = _settled(df, truth, pred, clean, failure, blank)
     keep = [c for c in sent.columns if c not in ("known", "truth", "pred")]
     is_open = F.col("known").isNull()
-    both = stage(sent.withColumns({"key": F.when(is_open, content_key(F.col("truth"), F.col("pred"))),
+    both = stage(sent.withColumns({"key": F.when(is_open, F.base64(F.unhex(content_key(F.col("truth"), F.col("pred"))))),
                                    "cost": F.when(is_open, pair_cost(F.col("truth"), F.col("pred")))}), "pairs")
     todo = both.where("key IS NOT NULL")
     costs = stage(todo.groupBy("key").agg(F.max("cost").alias("cost"), F.count(F.lit(1)).alias("n")), "costs")
