@@ -11,6 +11,7 @@ Block bytes, little-endian: the magic `GMTB`, id width (u1), documents (u4), doc
 then the low bits, the unary bits and a u4 position for every 64th value.
 """
 
+import json
 import os
 import re
 import struct
@@ -19,18 +20,31 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from gridmill.llm.bpe import Memo, groups
+from gridmill.llm.bpe import Memo
 
 MAGIC = b"GMTB"
 HEAD = struct.Struct("<4sBIIQqII")
 SAMPLE = 64            # one directory entry for so many values
 CHUNKS = 600_000       # chunks remembered per Python worker, and as many again from before
 RUN = 4_096            # documents whose spans a reader holds at a time
+BYTES = 8_000_000      # of texts cut at a time; a longer text is alone
 BLOCK_IDS = 2_000_000  # a block is closed once it has so many ids; a longer document has its own
 
+# Kinds of bytes. Visible: ASCII letters, digits, marks and the apostrophe, the first byte of a longer character; then the space, line
+# breaks and tabs, and what may be anything (control characters, longer blanks, bytes within a character).
+LETTER, DIGIT, MARK, APOSTROPHE, VISIBLE, SPACE, BREAK, UNKNOWN = range(8)
+MAYBE = 8              # first byte of a longer character that may be a blank: the next bytes tell
+KINDS = np.full(256, UNKNOWN, np.uint8)
+KINDS[0x21:0x7f], KINDS[0xc2:0xf5], KINDS[[0xc2, 0xe1, 0xe2, 0xe3]] = MARK, VISIBLE, MAYBE
+KINDS[ord("A"):ord("Z") + 1] = KINDS[ord("a"):ord("z") + 1] = LETTER
+KINDS[ord("0"):ord("9") + 1], KINDS[ord("'")], KINDS[ord(" ")], KINDS[list(b"\t\n\r")] = DIGIT, APOSTROPHE, SPACE, BREAK
+BLANKS = [int.from_bytes(chr(c).encode()) for c in (0x85, 0xa0, 0x1680, 0x180e, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f,
+                                                    0x205f, 0x3000)]
+
 
 class EliasFano:
     """A list of ascending numbers from 0 on, as bytes."""
@@ -134,15 +148,30 @@ class Block:
         return np.frombuffer(self.data, kind, end - start, self.at + start * self.width)
 
 
+def cut_table(plain: bool) -> np.ndarray:
+    """Whether a chunk surely starts at a byte, by the kinds of the byte before it and of itself, and whether the next is visible."""
+    table = np.zeros((8, 8, 2), bool)
+    table[:, SPACE, 1] = True
+    if plain:
+        table[:, BREAK, 1] = table[BREAK, :SPACE] = True
+        for before in (LETTER, DIGIT, MARK, APOSTROPHE):
+            table[before, [SPACE, BREAK]] = True
+            for now in (LETTER, DIGIT, MARK, APOSTROPHE):
+                table[before, now] = before != APOSTROPHE and before != (MARK if now == APOSTROPHE else now)
+    return table.ravel()
+
+
 class Encoder:
     """The library's ids of whole texts, from chunks that it encoded before.
 
-    A byte-level pattern puts a space that stands before a letter into the piece that it starts, so
-    a text may be cut before each such space.
+    A byte-level pattern puts a space that stands before a visible character into the piece that it starts, so a text may be cut
+    before each such space. Where the pattern is the plain one of byte-level files, pieces also part between ASCII letters,
+    digits and marks, and around a line break or tab that stands before a visible character. What follows an
+    apostrophe (contractions) or has other characters beside it is not cut but left to the library. Added tokens that
+    are matched as they stand are chunks; a file with others is cut before spaces only.
     """
 
-    CUT = re.compile(r"(?= [^\s\u180e])")
-    ODD = re.compile(r" [\s\u180e]")
+    WORD = re.compile(r" ?[^\s\u180e]{1,40}")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives the tasks the cores
@@ -150,52 +179,95 @@ class Encoder:
         self.tool = Tokenizer.from_file(path)
         self.width = 2 if self.tool.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        split, added = file.get("pre_tokenizer") or {}, self.tool.get_added_tokens_decoder().values()
+        special = [t.content for t in added if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.plain = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+                      and not file.get("normalizer") and len(special) == len(added))
+        self.table = cut_table(self.plain)
+        self.special = "|".join(map(re.escape, sorted(special, key=len, reverse=True)))
         vocab = self.tool.get_vocab()
-        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
-        self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        self.heads = np.zeros(max(vocab.values()) + 1, bool)
+        self.heads[[i for t, i in vocab.items() if t.startswith("Ġ") or t == "Ċ"]] = True
         self.chunks = Memo(CHUNKS)
 
-    def library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+    def library(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of every text; the library's own objects, some hundred bytes an id, are held for a few texts at a time."""
+        for at in range(0, len(texts), 100):
+            yield from (e.ids for e in self.tool.encode_batch_fast(texts[at:at + 100], add_special_tokens=False))
 
     def learn(self, chunks: list[str]) -> None:
-        """Chunks of one word after one space are sent fifty at a time: each starts with its only spaced token.
-
-        A full stop or comma after a letter is a piece of its own: it is put behind the word without it.
-        """
-        stopped = [c for c in chunks if c[-1] in ".," and c[-2:-1].isalpha() and c[-2:-1].isascii()]
-        bare = {c[:-1] for c in stopped}.union(x[-1] for x in stopped)
-        chunks = self.chunks.missing(bare.union(chunks).difference(stopped))
-        plain = [c for c in chunks if c[0] == " " and " " not in c[1:] and "<|" not in c]
-        other = list(set(chunks).difference(plain))
+        """Short chunks without white space, or behind one space, are sent fifty at a time: each begins with its space or on a line."""
+        spaced, bare, other = [], [], []
+        for c in chunks:
+            (other if not self.plain or not self.WORD.fullmatch(c) else spaced if c[0] == " " else bare).append(c)
         self.chunks.update(zip(other, (np.array(x, self.kind).tobytes() for x in self.library(other))))
-        runs = [plain[i:i + 50] for i in range(0, len(plain), 50)]
-        for run, ids in zip(runs, self.library(["".join(r) for r in runs])):
-            packed = np.array(ids, self.kind)
-            starts = np.flatnonzero(self.spaced[packed])
-            if len(starts) != len(run):
-                self.chunks.update(zip(run, (np.array(x, self.kind).tobytes() for x in self.library(run))))
-                continue
-            data = packed.tobytes()
-            at = [*(starts * self.width).tolist(), len(data)]
-            self.chunks.update(zip(run, [data[i:j] for i, j in zip(at, at[1:])]))
-        for c in stopped:
-            self.chunks[c] = self.chunks[c[:-1]] + self.chunks[c[-1]]
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for some in groups(texts, 4_000_000):
+        for lead, some in (("", spaced), ("\n", bare)):
+            runs = [some[i:i + 50] for i in range(0, len(some), 50)]
+            skip = self.width * len(lead)
+            for run, ids in zip(runs, self.library([lead + lead.join(r) for r in runs])):
+                packed = np.array(ids, self.kind)
+                starts = np.flatnonzero(self.heads[packed])
+                if len(starts) != len(run):
+                    self.chunks.update(zip(run, (np.array(x, self.kind).tobytes() for x in self.library(run))))
+                    continue
+                data = packed.tobytes()
+                at = [*(starts * self.width).tolist(), len(data)]
+                self.chunks.update(zip(run, [data[i + skip:j] for i, j in zip(at, at[1:])]))
+
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all texts, and how many there are up to the end of each text."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]
+        ends = ends - ends[0]
+        if not len(data):
+            return pa.array([], pa.large_string()), ends[1:]
+        kinds = KINDS[data]
+        at = np.flatnonzero(kinds == MAYBE)
+        codes = sum(data[np.minimum(at + i, len(data) - 1)].astype(np.int32) << 16 - 8 * i for i in range(3))
+        kinds[at] = np.where(np.isin(codes, BLANKS) | np.isin(codes >> 8, BLANKS), UNKNOWN, VISIBLE)
+        special = []
+        if self.special:
+            for i in np.flatnonzero(pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False)):
+                text = data[ends[i]:ends[i + 1]].tobytes()
+                special += [(ends[i] + m.start(), ends[i] + m.end()) for m in re.finditer(self.special.encode(), text)]
+        borders = np.concatenate([ends, np.array(special, np.int64).ravel()])
+        place = np.zeros(len(data), np.uint8)
+        place[:-1] = kinds[1:] < SPACE
+        place[borders[borders > 0] - 1] = 0
+        place |= kinds << 1
+        place[1:] |= kinds[:-1] << 4
+        starts = self.table[place]
+        for i, j in special:
+            starts[i:j] = False
+        starts[borders[borders < len(data)]] = True
+        at = np.flatnonzero(starts)
+        offsets = pa.py_buffer(np.append(at, len(data)))
+        return (pa.Array.from_buffers(pa.large_string(), len(at), [None, offsets, pa.py_buffer(data)]),
+                np.searchsorted(at, ends[1:]))
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The packed ids of every text. Equal chunks of a run of texts are looked up once."""
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        total, start = np.append(0, np.cumsum(sizes, dtype=np.int64)), 0
+        while start < len(texts):
+            end = max(start + 1, int(np.searchsorted(total, total[start] + BYTES, "right")) - 1)
             self.chunks.turn()
-            cut = []
-            for t in some:
-                if not t:
-                    cut.append([])
-                elif t[0] == " " or t[-1] == " " or self.ODD.search(t):
-                    cut.append([c for c in self.CUT.split(t) if c])
-                else:
-                    cut.append(t.replace(" ", "\0 ").split("\0") if "\0" not in t else self.CUT.split(t))
-            self.learn(self.chunks.missing(set().union(*cut)))
-            for chunks in cut:
-                yield b"".join(map(self.chunks.__getitem__, chunks))
+            chunks, ends = self.cut(texts.slice(start, end - start))
+            start = end
+            coded = chunks.dictionary_encode()
+            words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            ids = list(map(self.chunks.get, words))
+            new = [i for i, x in enumerate(ids) if x is None]
+            self.learn(self.chunks.missing([words[i] for i in new]))
+            for i in new:
+                ids[i] = self.chunks[words[i]]
+            packed = pa.array(ids, pa.large_binary()).take(coded.indices)
+            at = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1)[np.append(0, ends)].tolist()
+            data = memoryview(packed.buffers()[2] or b"")
+            yield from (data[i:j].tobytes() for i, j in zip(at, at[1:]))
 
 
 @lru_cache(maxsize=2)
@@ -229,7 +301,7 @@ def write_token_table(df: DataFrame, out: str, path: str, end_id: int, key: str
                 "n_ids": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
         for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1).to_pylist())):
+            for k, x in zip(batch.column(0).to_pylist(), tool.encode(batch.column(1))):
                 keys.append(k)
                 ids.append(x + end)
                 size += len(ids[-1]) // tool.width

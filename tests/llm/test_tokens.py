@@ -1,7 +1,10 @@
+import itertools
+import json
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -142,6 +145,62 @@ def test_very_long_texts(spark, tmp_path, word_tool, byte_tool):
     assert read == {i: ids_of(byte_tool, t) + [2] for i, t in enumerate(long)}
 
 
+def packed(tool, texts):
+    return [np.array(ids_of(tool, t), "<u2").tobytes() for t in texts]
+
+
+def test_cuts_change_no_id(byte_tool, texts):
+    encoder, rng = TF.Encoder(BYTE_BPE), random.Random(4)
+    odd = [*"abZ09.,'-_ \n\t\r\x0b\x1c\0", "'s", "é", "漢", "\xa0", "\x85", "\u2003", "\u3000", "’", "\u180e", "\u0301", "²", "🎉", "<|endoftext|>", "<|endof"]
+    some = ["".join(x) for n in range(5) for x in itertools.product("aB1.' \n", repeat=n)]
+    some += ["".join(rng.choices(odd, k=rng.randrange(1, 20))) for _ in range(20_000)] + texts
+    some += ["x  <|endoftext|>  y", "<|endof", "text|>", "<|endoftext|><|endoftext|>\n", None, "", " "]
+    for _ in range(2):
+        assert list(encoder.encode(pa.array(some))) == packed(byte_tool, some)
+    assert list(encoder.encode(pa.array(some)[7:90])) == packed(byte_tool, some[7:90])
+    for none in ([], [None, None], ["", None]):
+        assert list(encoder.encode(pa.array(none, pa.string()))) == [b""] * len(none)
+
+
+def test_repeated_chunks_are_looked_up_once(byte_tool, monkeypatch):
+    looked_up, sent = [], []
+
+    class Memo(TF.Memo):
+        def __getitem__(self, key):
+            looked_up.append(key)
+            return super().__getitem__(key)
+
+        def get(self, key):
+            looked_up.append(key)
+            return super().get(key)
+
+    library = TF.Encoder.library
+    monkeypatch.setattr(TF, "Memo", Memo)
+    monkeypatch.setattr(TF.Encoder, "library", lambda self, texts: sent.extend(texts) or library(self, texts))
+    words = [f"word{x}" for x in "abcdefghijklmnopqrstuvwxyz"]
+    some = [f"{a}.\n{b}-{a}12, {b}" for a in words for b in words]
+    assert list(TF.Encoder(BYTE_BPE).encode(pa.array(some))) == packed(byte_tool, some)
+    assert len(looked_up) < 8 * len(words) and sum(map(len, sent)) < 1_000
+
+
+def test_other_files_are_cut_before_spaces_only(tmp_path):
+    """A pattern that joins marks to words and line breaks to marks, and an added token that takes the blanks before it."""
+    with open(BYTE_BPE, encoding="utf-8") as f:
+        file = json.load(f)
+    split = {"type": "Split", "pattern": {"Regex": r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"},
+             "behavior": "Isolated", "invert": False}
+    file["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [split, file["pre_tokenizer"] | {"use_regex": False}]}
+    (tmp_path / "split.json").write_text(json.dumps(file), encoding="utf-8")
+    with open(BYTE_BPE, encoding="utf-8") as f:
+        file = json.load(f)
+    file["added_tokens"].append(file["added_tokens"][0] | {"id": 50257, "content": "<mask>", "lstrip": True})
+    (tmp_path / "added.json").write_text(json.dumps(file), encoding="utf-8")
+    some = ["one.two (three)\nfour.\n\nfive 12345 -six", ".a.b\t.c", "x.\ny é.z", "a<mask> b <mask>.c\n<mask>"]
+    for name in ("split.json", "added.json"):
+        tool = Tokenizer.from_file(str(tmp_path / name))
+        assert list(TF.Encoder(str(tmp_path / name)).encode(pa.array(some))) == packed(tool, some)
+
+
 def test_block_access(byte_tool):
     data = TF.pack_block([None, 4, 9], [b"\1\0\2\0", b"", b"\3\0"], 2)
     block = TF.Block(data)
