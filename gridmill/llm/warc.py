@@ -86,7 +86,7 @@ class ArchiveWriter(StagedWriter, DataSourceArrowWriter):
                     if out is None or size >= ROLL:
                         if out is not None:
                             out.close()
-                        name = f"pages-{TaskContext.get().partitionId():06}-{len(done.names):04}.warc.gz"
+                        name = f"pages-{TaskContext.get().partitionId():06}-{done.files:04}.warc.gz"
                         out, size = self.open(done, name), 0
                         info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, self.staging + name)}>"),
                                 ("WARC-Date", self.date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
@@ -97,7 +97,7 @@ class ArchiveWriter(StagedWriter, DataSourceArrowWriter):
         finally:
             if out is not None:
                 out.close()
-        return done
+        return self.end(done)
 
 
 class Archive(InputPartition):
