@@ -59,9 +59,10 @@ def clean_html(c: Column) -> Column:
 
     Every wrapper is optional on its own and swallows the white space next to it, so the six
     removals collapse into one pattern per end and a last strip has nothing left to do. Null
-    and '' pass through.
+    and '' pass through. A text that begins and ends with its table has nothing to remove.
     """
-    return _cut_edges(c, _OPENING, _CLOSING)
+    bare = c.startswith("<table") & c.endswith("</table>")
+    return F.when(bare, c).otherwise(_cut_edges(c, _OPENING, _CLOSING))
 
 
 def _occurrences(lowered: Column, tag: str) -> Column:

@@ -99,8 +99,8 @@ def _scorer():
 
 
 def _surely_read(html: Column) -> Column:
-    """Does a text begin with a table and name no spans? Then the table can be read, and equals its copy."""
-    return html.startswith("<table>") & ~F.rlike(html, F.lit("(?iu)(?:col|row)span"))
+    """Does a text begin with a table and set no spans? Then the table can be read, and equals its copy."""
+    return html.startswith("<table>") & ~(F.contains(html, F.lit("=")) & F.rlike(html, F.lit("(?iu)(?:col|row)span")))
 
 
 def _rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
@@ -152,8 +152,8 @@ def score_pairs(df: DataFrame, truth: str, pred: str, clean: str = "full", failu
 
 
 def pair_cost(truth: Column, pred: Column) -> Column:
-    """About what a comparison takes: the product of the numbers of rows and cells, and reading both texts."""
-    nodes = lambda c: F.regexp_count(c, F.lit("(?i)<t[dhr]")).cast("double") + 1
+    """About what a comparison takes: the product of the numbers of elements, and reading both texts."""
+    nodes = lambda c: (F.octet_length(c) - F.octet_length(F.replace(c, F.lit("<"), F.lit("")))) / 2 + 1  # opening and closing tags
     return nodes(truth) * nodes(pred) + (F.length(truth) + F.length(pred)) / 20 + 1
 
 
@@ -220,6 +220,19 @@ def eval_table(truth: DataFrame, preds: DataFrame, stages: list[str], clean: str
     return scored.drop("_f").withColumnRenamed("score_error", "error")
 
 
+def score_made(truth: DataFrame, preds: DataFrame, stages: list[str], clean: str = "full", min_hot: int = HOT_ROWS,
+               tasks: int | None = None) -> DataFrame:
+    """The rows of `eval_table` that can have a score: those of predictions that were made, for samples that are in `truth`.
+
+    What is missing or failed has none, so its rows need not be listed, and a truth row travels once, not once per stage.
+    """
+    made = preds.where(F.col("stage").isin(*stages) & F.col("pred_html").isNotNull() & F.col("error").isNull())
+    made = made.select("sample_id", "stage", "pred_html")
+    pairs = salted_join(truth.select("sample_id", F.col("html_table").alias("truth_html")), made, "sample_id",
+                        hot_keys(made, "sample_id", min_hot))
+    return score_distinct(pairs, "truth_html", "pred_html", clean, None, min_hot, tasks).withColumnRenamed("score_error", "error")
+
+
 def average_scores(scored: DataFrame, by: list[str], policy: str = "zero") -> DataFrame:
     """Mean scores. Policy zero: failures count as 0. Policy skip: failures are left out, and with them the blank pairs of a
     table that was scored with blank = "skip"."""

@@ -53,7 +53,7 @@ def compare_stages(truth: DataFrame, preds: DataFrame, before: str, after: str,
     score_delta is null where either stage has no score or the sample is not in `truth`.
     """
     texts = J.compare_stages(preds, before, after)
-    delta = J.score_delta(E.eval_table(truth, preds, [before, after], clean), before, after, value)
+    delta = J.score_delta(E.score_made(truth, preds, [before, after], clean), before, after, value)
     return texts.join(delta, "sample_id", "left")
 
 

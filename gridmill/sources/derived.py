@@ -22,29 +22,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _row(cells: Column) -> Column:
-    return F.concat(F.lit("<tr><td>"), F.array_join(cells, "</td><td>"), F.lit("</td></tr>"))
+BETWEEN = "</td><td>"
+ROW, END = "<tr><td>", "</td></tr>"
+
+
+def _lines(text: Column) -> Column:
+    """A table row per line; the lines are not taken apart, so that a long text is copied once."""
+    return F.concat(F.lit(ROW), F.replace(text, F.lit("\n"), F.lit(END + ROW)), F.lit(END))
 
 
 def grids(spark: SparkSession, folder: str, read: Callable | None = None) -> DataFrame:
-    """(sample_id, k, head, cells, body, img): the well-formed tables of both sources."""
+    """(sample_id, k, head, body, cut, img): the well-formed tables of both sources; `cut` is `body` without its last 1 to 3 rows."""
     read = read or (lambda name: table(spark, folder, name))
-    docs = read("documents").select(
-        (F.col("doc_id") * 3).alias("sample_id"), F.col("doc_id").alias("k"), F.lit("").alias("head"),
-        F.transform(F.split("text", "\n"), lambda line: F.array(line)).alias("cells"),
-        F.concat(F.lit("img"), F.md5(F.col("text").cast("binary"))).alias("img"))
+    kept = lambda n: F.greatest(n - 1 - (F.col("k") % 3).cast("int"), F.lit(0))
+    k, text = F.col("doc_id"), F.col("text")
+    lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    docs = read("documents").select((k * 3).alias("sample_id"), k.alias("k"), text, lines.alias("n")).select(
+        "sample_id", "k", F.lit("").alias("head"), _lines(text).alias("body"),
+        F.when(kept(F.col("n")) == 0, F.when(text.isNotNull(), "")).otherwise(
+            _lines(F.call_function("substring_index", text, F.lit("\n"), kept(F.col("n"))))).alias("cut"),
+        F.concat(F.lit("img"), F.md5(text.cast("binary"))).alias("img"))
     k = F.col("o_orderkey")
+    rows = F.transform(F.sequence(F.lit(1), (k % 6 + 1).cast("int")), lambda i: F.concat(F.lit(ROW), F.concat_ws(
+        BETWEEN, (F.col("o_custkey") + i).cast("string"), ((k * 7 + i * 3) % 50).cast("string"), F.col("o_orderstatus")), F.lit(END)))
     orders = read("orders").select(
-        (k * 3 + 1).alias("sample_id"), k.alias("k"), F.lit(HEAD).alias("head"),
-        F.transform(F.sequence(F.lit(1), (k % 6 + 1).cast("int")), lambda i: F.array(
-            (F.col("o_custkey") + i).cast("string"), ((k * 7 + i * 3) % 50).cast("string"), F.col("o_orderstatus"),
-        )).alias("cells"),
-        F.concat(F.lit("img"), F.col("o_custkey")).alias("img"))
-    return docs.unionByName(orders).withColumn("body", F.transform("cells", _row))
+        (k * 3 + 1).alias("sample_id"), k.alias("k"), rows.alias("rows"), F.concat(F.lit("img"), F.col("o_custkey")).alias("img")).select(
+        "sample_id", "k", F.lit(HEAD).alias("head"), F.array_join("rows", "").alias("body"),
+        F.array_join(F.slice("rows", 1, kept(F.size("rows"))), "").alias("cut"), "img")
+    return docs.unionByName(orders)
 
 
 def _table(head: Column, body: Column) -> Column:
-    return F.concat(F.lit("<table>"), head, F.array_join(body, ""), F.lit("</table>"))
+    return F.concat(F.lit("<table>"), head, body, F.lit("</table>"))
 
 
 def _dressed(k: Column, tb: Column) -> Column:
@@ -84,12 +93,12 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     rows are missing, where k mod 11 is 3 that of `pre`.
     """
     g = grids(spark, folder)
-    k, n = F.col("k"), F.size("body")
+    k = F.col("k")
     same = _table(F.col("head"), F.col("body"))
-    cut = F.slice("body", 1, F.greatest(n - 1 - (k % 3).cast("int"), F.lit(0)))
-    first_td = lambda new: F.regexp_replace(same, r"^(.*?)<td>", "$1" + new)
+    rest = F.substring(F.col("body"), F.lit(len(ROW) + 1), F.octet_length("body"))
+    first_td = lambda new: _table(F.col("head"), F.concat(F.lit(ROW.removesuffix("<td>") + new), rest))
     m = k % 5
-    pre = (F.when(m == 0, same).when(m == 1, _table(F.col("head"), cut))
+    pre = (F.when(m == 0, same).when(m == 1, _table(F.col("head"), F.col("cut")))
            .when(m == 2, first_td("<td>9")).when(m == 3, first_td('<td colspan="2">')))
     stages = F.inline(F.array(
         F.struct(F.lit("pre").alias("stage"), pre.alias("pred_html")),
